@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import quality_rules
+from quire.llm import byte_bpe, exact_dedup, quality_rules
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -14,3 +14,18 @@ REGISTRY = Registry()
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op1_exact_dedup", exact_dedup.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document, found through the extendible-hash index."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket_depth", "chain")
+
+
+@REGISTRY.query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)

@@ -78,11 +78,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def with_hot_key(rows: DataFrame, facts: DataFrame, key: list[str], by: str, salts: int = SALTS) -> DataFrame:
+def with_hot_key(rows: DataFrame, facts: DataFrame, key: list[str], by: str, salts: int = SALTS, keep_salt: bool = False) -> DataFrame:
     """Left join of rows with facts (one row per key) where a key may hold a third of all rows.
 
     Rows get a salt from ``by``; the distinct (key, salt) pairs, at most ``salts`` a key, take up
     the facts first, so that the wide join runs on (key, salt) and no task gets a whole hot key."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(by)), F.lit(salts)).cast("int"))
     pairs = salted.select(*key, "_salt").distinct()
-    return salted.join(pairs.join(facts, key, "left"), [*key, "_salt"], "left").drop("_salt")
+    joined = salted.join(pairs.join(facts, key, "left"), [*key, "_salt"], "left")
+    return joined if keep_salt else joined.drop("_salt")

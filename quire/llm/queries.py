@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, exact_dedup, quality_rules
+from quire.llm import byte_bpe, exact_dedup, quality_rules, source_mix, warc
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -29,3 +29,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@REGISTRY.query("op5_source_mix", source_mix.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op8_warc", warc.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture, written to archives and read back."""
+    return warc.page_captures(table(spark, sf_dir, "pages"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, exact_dedup, quality_rules, source_mix, warc
+from quire.llm import byte_bpe, exact_dedup, quality_rules, source_mix, token_rollup, toxicity, warc
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -41,3 +41,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's capture, written to archives and read back."""
     return warc.page_captures(table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity scores of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@REGISTRY.query("op4_token_rollup", token_rollup.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents after a load, a revision, a pruning and their replays."""
+    return token_rollup.corpus_totals(table(spark, sf_dir, "documents"))

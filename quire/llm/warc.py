@@ -73,27 +73,32 @@ def capture_bytes(page_id: int | None, copy: int, url: str | None, payload: byte
     )
 
 
-def decide(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """page_id, digest, copy, revisit and first_id, one row per (page_id, digest, copy)."""
+def _keyed(pages: DataFrame) -> DataFrame:
+    """page_id, payload, digest and ``_k``, a key of page_id and payload that is never null."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    seen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), (F.octet_length(payload) >= least).alias("long_enough"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    return rows.withColumn("_k", F.concat("digest", F.lit("/"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+
+
+def decide(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
+    """For each page_id and payload (``_k``): first_id, whether its first copy revisits, and later ones."""
+    seen = _keyed(pages).select("_k", "page_id", "digest", (F.octet_length("payload") >= least).alias("long_enough"))
     seen = written(seen, "warc-digests")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("digest"))
-    firsts = seen.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("group"))
-    found = with_hot_key(seen.withColumn("copy", copy), firsts, ["digest"], "page_id")
-    main = F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == 1)
-    return found.select("page_id", "digest", "copy", (F.col("long_enough") & ~main).alias("revisit"), "first_id")
+    firsts = seen.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_rows"))
+    found = with_hot_key(seen.distinct(), firsts, ["digest"], "_k")
+    main = F.col("page_id").eqNullSafe(F.col("first_id"))
+    return found.select("_k", "first_id", (F.col("long_enough") & ~main).alias("revisit"), F.col("long_enough").alias("again"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> None:
-    """Write the archives of all pages under ``path``, at most CAPTURES_PER_FILE captures each."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    source = source.withColumn("digest", F.sha2("payload", 256))
-    source = source.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
-    facts = decide(pages, least).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("copy").alias("_copy"), "revisit", "first_id")
-    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("copy") == F.col("_copy"))
-    rows = source.join(facts, same).select("page_id", "copy", "url", "payload", "digest", "first_id", "revisit")
+    """Write the archives of all pages under ``path``, at most CAPTURES_PER_FILE captures each.
+
+    The payloads are shuffled once: the join and the count of copies share the key."""
+    joined = _keyed(pages).join(decide(pages, least), "_k")
+    copy = F.row_number().over(Window.partitionBy("_k").orderBy("url"))
+    revisit = F.when(F.col("copy") == 1, F.col("revisit")).otherwise(F.col("again"))
+    rows = joined.withColumn("copy", copy).select("page_id", "copy", "url", "payload", "digest", "first_id", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,16 +224,18 @@ def assemble(records: DataFrame) -> DataFrame:
     edges = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
     edges = edges.union(edges.select("b", "a"))
     mains = records.where("type IN ('response', 'revisit')")
-    ids = mains.select(F.col("record_id").alias("capture"))
-    near = edges.join(ids, edges.b == ids.capture).select("a", "capture").distinct()
-    far = edges.join(near.withColumnRenamed("a", "mid"), F.col("b") == F.col("mid")).select("a", "capture")
-    far = far.join(near.select("a"), "a", "left_anti").join(ids.withColumnRenamed("capture", "a"), "a", "left_anti")
-    member = near.union(far).groupBy("a").agg(F.min("capture").alias("capture"))
-    parts = records.where("type IN ('request', 'metadata')").join(member, records.record_id == member.a)
-    request = parts.where("type = 'request'").groupBy("capture").agg(F.min_by(F.struct("record_id", "target_uri"), "record_id").alias("request"))
-    metadata = parts.where("type = 'metadata'").groupBy("capture").agg(F.min_by(F.struct("record_id", "fields"), "record_id").alias("metadata"))
+    ids = mains.select(F.col("record_id").alias("b"), F.col("record_id").alias("capture"))
+    edges = written(edges.join(ids, "b", "left"), "warc-edges")
+    near = edges.where("capture IS NOT NULL").select("a", "capture")
+    far = edges.where("capture IS NULL").select("a", "b").join(near.withColumnRenamed("a", "b"), "b").select("a", "capture")
+    steps = near.select("a", F.struct(F.lit(1).alias("steps"), "capture").alias("to")).union(far.select("a", F.struct(F.lit(2).alias("steps"), "capture").alias("to")))
+    member = steps.groupBy("a").agg(F.min("to")["capture"].alias("capture"))
+    parts = records.where("type IN ('request', 'metadata')").select("record_id", "type", "target_uri", "fields")
+    parts = parts.join(member, parts.record_id == member.a)
+    pick = lambda kind, *columns: F.min(F.when(F.col("type") == kind, F.struct(*columns))).alias(kind)
+    about = parts.groupBy("capture").agg(pick("request", "record_id", "target_uri"), pick("metadata", "record_id", "fields"))
     main = mains.select(F.col("record_id").alias("capture"), "type", F.struct("record_id", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload").alias("response"))
-    return main.join(request, "capture", "left").join(metadata, "capture", "left")
+    return main.join(about, "capture", "left")
 
 
 def page_captures(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, exact_dedup, quality_rules, source_mix, token_rollup, toxicity, warc
+from quire.llm import byte_bpe, exact_dedup, minhash_dedup, quality_rules, source_mix, token_rollup, toxicity, warc
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -54,3 +54,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents after a load, a revision, a pruning and their replays."""
     return token_rollup.corpus_totals(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op10_minhash_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets have a similarity of 0.85 or more."""
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"), percent=85, width=3)

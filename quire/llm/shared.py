@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +90,51 @@ def with_hot_key(rows: DataFrame, facts: DataFrame, key: list[str], by: str, sal
     pairs = salted.select(*key, "_salt").distinct()
     joined = salted.join(pairs.join(facts, key, "left"), [*key, "_salt"], "left")
     return joined if keep_salt else joined.drop("_salt")
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        values = table.column(key).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _pieces(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+    for s, e in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+        yield table.slice(s, e - s)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], whole: bool = True, together: bool = True) -> Iterator[pa.Table]:
+    """Sorted batches cut where one of the keys, which are never null, changes.
+
+    Tables hold one run each, or with ``together`` several, numbered in a column ``run``. Without
+    ``whole`` a long run comes in several pieces, so that no run need fit into memory."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if not whole:
+            yield from _pieces(table, _starts(table, keys))
+            continue
+        ends = (held[0].slice(0, 1), table.slice(0, 1), table.slice(table.num_rows - 1, 1)) if held else ()
+        if ends and all(len({e.column(k)[0].as_py() for e in ends}) == 1 for k in keys):
+            held.append(table)
+            continue
+        table = pa.concat_tables([*held, table])
+        starts = _starts(table, keys)
+        held = [table.slice(starts[-1])]
+        yield from _closed(table.slice(0, starts[-1]), starts[:-1], together)
+    if held:
+        yield from _closed(pa.concat_tables(held), np.zeros(1, np.int64), together)
+
+
+def _closed(table: pa.Table, starts: np.ndarray, together: bool) -> Iterator[pa.Table]:
+    if not together:
+        yield from _pieces(table, starts)
+    elif table.num_rows:
+        number = np.zeros(table.num_rows, np.int64)
+        number[starts[1:]] = 1
+        yield table.append_column("run", pa.array(number.cumsum()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, exact_dedup, minhash_dedup, quality_rules, source_mix, token_rollup, toxicity, warc
+from quire.llm import byte_bpe, exact_dedup, minhash_dedup, quality_rules, source_mix, suffix_dedup, token_rollup, toxicity, warc
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -60,3 +60,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a similarity of 0.85 or more."""
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
+@REGISTRY.query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of documents before it."""
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), texts=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, exact_dedup, minhash_dedup, quality_rules, source_mix, suffix_dedup, token_rollup, toxicity, warc
+from quire.llm import byte_bpe, exact_dedup, minhash_dedup, pii_surrogates, quality_rules, source_mix, suffix_dedup, token_rollup, toxicity, warc
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -66,3 +66,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages of documents before it."""
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+@REGISTRY.query("op9_pii_surrogates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return pii_surrogates.surrogates(table(spark, sf_dir, "documents"))

@@ -113,3 +113,28 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, limit: int = LONG
     source = _source(docs)
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded_corpus(docs: DataFrame, ranks_path: str, pattern: str, limit: int = LONG) -> DataFrame:
+    """doc_id, source, n_tokens, ids, ids_sha256 and decoded_sha256 of every row, in one pass."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = encoder(ranks_path, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                ids = [np.asarray(encode_text(t, encoding, limit), "<i4") for t in _texts(part.column("text"))]
+                columns = [
+                    part.column("doc_id"),
+                    part.column("source"),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(encoding.decode_bytes(x.tolist())).hexdigest() for x in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    source = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").cast("binary").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

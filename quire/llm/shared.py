@@ -132,9 +132,11 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], whole: bool = True,
 
 
 def _closed(table: pa.Table, starts: np.ndarray, together: bool) -> Iterator[pa.Table]:
+    if not table.num_rows:
+        return
     if not together:
         yield from _pieces(table, starts)
-    elif table.num_rows:
+    else:
         number = np.zeros(table.num_rows, np.int64)
         number[starts[1:]] = 1
         yield table.append_column("run", pa.array(number.cumsum()))

@@ -258,7 +258,7 @@ def file_directory(path: str) -> list[tuple[int, str, int, int]]:
         name = names[at : at + e[5]]
         rows.append([i, name.decode("ascii") if name.isascii() else f"file_{i:05d}", int.from_bytes(e[9:13], "little"), int.from_bytes(e[13:15], "little")])
     placed = sorted((r for r in rows if r[2] > 0), key=lambda r: r[2])
-    for r, end in zip(placed, [*(r[2] for r in placed[1:]), total], strict=True):
+    for r, end in zip(placed, [*(r[2] for r in placed), total][1:], strict=True):
         if end - r[2] > r[3] and (end - r[2] - r[3]) % 65536 == 0:
             r[3] = end - r[2]
     return [tuple(r) for r in rows]

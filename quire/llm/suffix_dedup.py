@@ -44,6 +44,8 @@ REACH = LENGTH - CORE
 RUN_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 LEAST_RANGES = 64
+#: Bytes of answers that may be broadcast.
+FEW_MARKS = 32 << 20
 
 _SEGMENT = 20
 _NO_ID = 2**63 - 1
@@ -118,7 +120,7 @@ class Run:
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _swell(data: bytes) -> bytes:
@@ -297,48 +299,53 @@ def front_decoded(shared: np.ndarray, rest: np.ndarray, width: int = LENGTH) ->
     return out
 
 
-def suffix_pieces(stored: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
+def with_marks(stored: DataFrame, answers: DataFrame) -> DataFrame:
+    """Runs with their answers. These are a hundredth of the texts; up to ``FEW_MARKS`` bytes in all,
+    which is checked, they are broadcast, beyond it the runs are shuffled to them."""
+    marks = answers.groupBy("run").agg(F.collect_list(F.struct("part", "data")).alias("marks"))
+    total = answers.agg(F.sum(F.octet_length("data") + 16)).first()[0] or 0
+    return stored.join(F.broadcast(marks) if total <= FEW_MARKS else marks, "run", "left")
+
+
+def suffix_pieces(marked: DataFrame, bits: int) -> DataFrame:
     """Kind 2: front-coded sorted suffixes per run and range. Kind 3: the run's anchors, in order of
-    position, and which suffix each has."""
+    position, and which suffix each has; their negative parts spread them over tasks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for table in runs(batches, ["run"], together=False):
-            name, run, marks = table.column("run")[0].as_py(), None, {}
-            for kind, part, data in zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data"), strict=True):
-                if kind == 0:
-                    run = _run_of(data.as_py())
-                else:
-                    marks[part] = np.frombuffer(data.as_py(), np.uint8)
-            position, near, far, key, distinct, inverse = _distinct_cores(run, bits)
-            cuts = _cuts(distinct, bits)
-            several = np.zeros(len(distinct), bool)
-            for part, mark in marks.items():
-                several[cuts[part] : cuts[part + 1]] = np.unpackbits(mark, count=cuts[part + 1] - cuts[part])
-            stay = several[inverse]
-            if not stay.any():
-                continue
-            position, near, far, part = position[stay], near[stay], far[stay], (key[stay] >> np.uint64(32)).astype(np.int64)
-            context = np.column_stack([_contexts(run.codes, position), near.astype(np.uint8), far.astype(np.uint8)])
-            head = np.column_stack([(part >> 16).astype(np.uint8), (part >> 8).astype(np.uint8), part.astype(np.uint8)])
-            whole = np.ascontiguousarray(np.column_stack([head, context]) + np.uint8(0))
-            packed = whole.view(f"S{whole.shape[1]}").ravel()
-            order = np.argsort(packed, kind="stable")
-            changed = np.append(True, packed[order[1:]] != packed[order[:-1]])
-            number = np.empty(len(order), np.int64)
-            number[order] = changed.cumsum() - 1
-            first = order[changed]
-            least = np.full(len(first), _NO_ID)
-            np.minimum.at(least, number, run.owners(position))
-            yield 3, -1, name, pack(position.astype(np.int32), number.astype(np.int32), near.astype(np.uint8), far.astype(np.uint8), least)
-            edges = np.searchsorted(part[first], np.arange((1 << bits) + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                s, e = edges[p], edges[p + 1]
-                shared, rest = front_coded(context[first[s:e], :LENGTH])
-                yield 2, int(p), name, pack(np.array([s]), shared, rest, np.ascontiguousarray(context[first[s:e], LENGTH:].T), least[s:e])
-
-    both = stored.selectExpr("0 AS kind", "-1 AS part", "run", "docs AS data").unionByName(answers)
-    dealt = both.repartition("run").sortWithinPartitions("run", "kind", "part")
-    return dealt.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
+        for batch in batches:
+            for name, docs, marks in zip(batch.column("run").to_pylist(), batch.column("docs"), batch.column("marks"), strict=True):
+                yield from run_rows(name, docs.as_py(), {m["part"]: np.frombuffer(m["data"], np.uint8) for m in marks.as_py() or ()})
+
+    def run_rows(name: int, docs: bytes, marks: dict[int, np.ndarray]) -> Iterator[tuple]:
+        run = _run_of(docs)
+        position, near, far, key, distinct, inverse = _distinct_cores(run, bits)
+        cuts = _cuts(distinct, bits)
+        several = np.zeros(len(distinct), bool)
+        for part, mark in marks.items():
+            several[cuts[part] : cuts[part + 1]] = np.unpackbits(mark, count=cuts[part + 1] - cuts[part])
+        stay = several[inverse]
+        if not stay.any():
+            return
+        position, near, far, part = position[stay], near[stay], far[stay], (key[stay] >> np.uint64(32)).astype(np.int64)
+        context = np.column_stack([_contexts(run.codes, position), near.astype(np.uint8), far.astype(np.uint8)])
+        head = np.column_stack([(part >> 16).astype(np.uint8), (part >> 8).astype(np.uint8), part.astype(np.uint8)])
+        whole = np.ascontiguousarray(np.column_stack([head, context]))
+        packed = whole.view(f"S{whole.shape[1]}").ravel()
+        order = np.argsort(packed, kind="stable")
+        changed = np.append(True, packed[order[1:]] != packed[order[:-1]])
+        number = np.empty(len(order), np.int64)
+        number[order] = changed.cumsum() - 1
+        first = order[changed]
+        least = np.full(len(first), _NO_ID)
+        np.minimum.at(least, number, run.owners(position))
+        yield 3, -1 - name % 65536, name, pack(position.astype(np.int32), number.astype(np.int32), near.astype(np.uint8), far.astype(np.uint8), least)
+        edges = np.searchsorted(part[first], np.arange((1 << bits) + 1))
+        for p in np.flatnonzero(np.diff(edges)):
+            s, e = edges[p], edges[p + 1]
+            shared, rest = front_coded(context[first[s:e], :LENGTH])
+            yield 2, int(p), name, pack(np.array([s]), shared, rest, np.ascontiguousarray(context[first[s:e], LENGTH:].T), least[s:e])
+
+    return marked.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
 
 
 def loser_tree(texts: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -423,11 +430,16 @@ def least_ids(lengths: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.n
 
 
 def merged(pieces: DataFrame) -> DataFrame:
-    """Kind 4: per run and range, suffixes that a smaller doc_id has too, with the smallest by offset."""
+    """Kind 4: per run and range, suffixes that a smaller doc_id has too, with the smallest by offset.
+
+    The runs' anchors pass through, so that what is exchanged need not be stored as well."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for table in runs(batches, ["part"], together=False):
             part, names = table.column("part")[0].as_py(), table.column("run").to_pylist()
+            if part < 0:
+                yield from ((3, part, name, data.as_py()) for name, data in zip(names, table.column("data"), strict=True))
+                continue
             loaded = [unpack(d.as_py()) for d in table.column("data")]
             texts = [[bytes(r) for r in front_decoded(shared, rest)] for _, shared, rest, _, _ in loaded]
             took, lengths = loser_tree(texts, [x[1].tolist() for x in loaded])
@@ -446,14 +458,14 @@ def merged(pieces: DataFrame) -> DataFrame:
                     number = place[mine] - (ends[i] - sizes[i]) + loaded[i][0][0]
                     yield 4, part, name, pack(number, found[mine].ravel())
 
-    dealt = pieces.where("kind = 2").repartition("part").sortWithinPartitions("part", "run")
+    dealt = pieces.repartition("part").sortWithinPartitions("part", "run")
     return dealt.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def remains(stored: DataFrame, pieces: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
+def remains(stored: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
     """The documents without repeated bytes."""
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +490,7 @@ def remains(stored: DataFrame, pieces: DataFrame, answers: DataFrame, texts: boo
                     out.append((None if none else doc_id, len(text), lost, spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
-    both = stored.selectExpr("0 AS kind", "-1 AS part", "run", "docs AS data").unionByName(pieces.where("kind = 3")).unionByName(answers)
+    both = stored.selectExpr("0 AS kind", "-1 AS part", "run", "docs AS data").unionByName(answers)
     dealt = both.repartition("run").sortWithinPartitions("run", "kind", "part")
     return dealt.mapInArrow(results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
@@ -521,9 +533,7 @@ def without_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, range_bytes: in
     bits = (max(least_ranges, -(-total // range_bytes)) - 1).bit_length()
     answers = written(shared_cores(core_pieces(stored, bits)), "suffix-cores")
     _release(docs)
-    pieces = written(suffix_pieces(stored, answers, bits), "suffix-pieces")
-    _release(docs)
-    found = written(merged(pieces), "suffix-answers")
+    found = written(merged(suffix_pieces(with_marks(stored, answers), bits)), "suffix-answers")
     _release(docs)
-    out = remains(stored, pieces, found, texts)
+    out = remains(stored, found, texts)
     return out if texts else out.drop("kept")

@@ -28,12 +28,13 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.shared import runs, text_or_empty, written
@@ -520,10 +521,14 @@ def _gone(run: Run, members: list[np.ndarray] | None, found: list[list[np.ndarra
     return change.cumsum()[: len(run.codes)] > 0
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer in use."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are no longer in use.
+
+    Python's references go first, the JVM's cleaner follows a moment later; hence twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def without_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES, least_ranges: int = LEAST_RANGES, texts: bool = True) -> DataFrame:
@@ -532,8 +537,8 @@ def without_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, range_bytes: in
     total = docs.select(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
     bits = (max(least_ranges, -(-total // range_bytes)) - 1).bit_length()
     answers = written(shared_cores(core_pieces(stored, bits)), "suffix-cores")
-    _release(docs)
+    _release(docs.sparkSession)
     found = written(merged(suffix_pieces(with_marks(stored, answers), bits)), "suffix-answers")
-    _release(docs)
+    _release(docs.sparkSession)
     out = remains(stored, found, texts)
     return out if texts else out.drop("kept")

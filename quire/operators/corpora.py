@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import html
-from quire.functions.text import basename, extension, normalize_text, quoted, safe_file_name, stem, strip, wikilink, wikilinks, without_images
+from quire.functions.text import basename, extension, normalize_text, quoted, stem, strip, strip_prolog, wikilinks, without_images
 from quire.operators.chunking import chunk_records, chunk_settings
 from quire.operators.lookup import copied_assets, copied_wiring, file_index, image_source, rewritten_links
 
@@ -108,6 +108,18 @@ def training_corpus(files: DataFrame, arc: str, extensions: list[str] = TRAINING
     return records, skips, training_manifest(records, skips, arc, extensions)
 
 
+def svg_texts(files: DataFrame) -> DataFrame:
+    """(arc, path, svg) of SVG files, without XML declaration; undecodable bytes become U+FFFD."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("arc"), batch.column("path"), pa.array(text, pa.string())], ["arc", "path", "svg"])
+
+    rows = files.where(extension(F.col("path")) == ".svg").select("arc", "path", "content")
+    return rows.mapInArrow(run, "arc string, path string, svg string").withColumn("svg", strip_prolog(F.col("svg")))
+
+
 def training_manifest(records: DataFrame, skips: DataFrame, arc: str, extensions: list[str]) -> DataFrame:
     """One row of counts and lists; only counts and the skips are gathered."""
     both = records.select(F.lit(True).alias("good"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("error")).unionByName(skips.select(F.lit(False).alias("good"), "source_file", "error"))
@@ -213,5 +225,3 @@ def build_vault(files: DataFrame, arc: str, wiring_arc: str | None = None, copy_
         "manifest": vault_manifest(pages, assets, wiring, arc.upper(), wiring_arc, copy_all),
     }
 
-
-__all__ = ["build_vault", "chunk_export", "safe_file_name", "source_documents", "training_corpus", "vault_pages", "wikilink"]

@@ -61,3 +61,11 @@ def write_files(rows: DataFrame, folder: str, name: str, content: str) -> None:
             os.replace(f"{path}.part", path)
 
     rows.select(name, content).foreachPartition(put)
+
+
+def zip_folder(folder: str) -> str:
+    """A folder that the driver mounts, packed beside it; the name has the time in UTC."""
+    import shutil
+    from datetime import UTC, datetime
+
+    return shutil.make_archive(f"{folder}-{datetime.now(UTC):%Y%m%dT%H%M%SZ}", "zip", folder)

@@ -126,4 +126,4 @@ def test_streams(spark, tmp_path):
 
 def test_registry():
     names = entry.queries()
-    assert set(entry.oracle_sql()) <= set(names) and len(names) > 70
+    assert set(entry.oracle_sql()) <= set(names) and len(names) > 60

@@ -78,6 +78,8 @@ def vault(spark: SparkSession, a: argparse.Namespace) -> int:
         named = files.where(F.col("arc") == arc.upper()).withColumn("name", basename(F.col("path")))
         sinks.write_files(named.join(made[key], "name", "left_semi"), f"{out}/{folder}", "name", "content")
     sinks.write_text(sinks.manifest_json(made["manifest"]), spark, f"{out}/manifest.json")
+    for key in ("pages", "links"):
+        made[key].unpersist()
     if a.zip:
         print(sinks.zip_folder(out))
     return 0

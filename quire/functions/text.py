@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space as a character class body (what str.isspace accepts).
-SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Line ends of str.splitlines.
-LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: Unicode white space (what str.isspace accepts): single characters, and as a class body. Characters
+#: below 256 are listed one by one, since regular expressions look those up in a bit set.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A text without white space but blank and LF; runs of ASCII are taken at once.
+NO_RARE_SPACE = "\\A(?:[ -~\\n]++|[\\x7f-\\x84\\x86-\\x9f\\xa1-\\u167f\\u1681-\\u1fff\\u200b-\\u2027\\u202a-\\u202e\\u2030-\\u205e\\u2060-\\u2fff\\u3001-\\x{10ffff}])*+\\z"
+#: Line ends of str.splitlines, and the single characters among them besides LF.
+LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+#: A word: runs of printable ASCII are taken at once, other characters one by one.
+WORD = f"(?:[!-~]++|[^{SPACE}])++"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,11 +28,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE}]+\\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def or_default(text: Column, default: str | Column) -> Column:
@@ -33,16 +41,35 @@ def or_default(text: Column, default: str | Column) -> Column:
     return F.coalesce(F.when(bare != "", bare), default if isinstance(default, Column) else F.lit(default))
 
 
+def has_any(text: Column, parts: Iterable[str]) -> Column:
+    """Whether one of the parts occurs. A search for bytes each is far quicker than a character class."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def _replaced_if(text: Column, parts: tuple[str, ...], pattern: str, by: str) -> Column:
+    """A replacement that runs only where one of the parts occurs, which is quick to see."""
+    return let(text, lambda t: F.when(has_any(t, parts), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def normalize_text(text: Column) -> Column:
     """Line ends to LF, no blanks before them, at most one empty line in a row, stripped."""
-    lf = F.regexp_replace(text, "\\r\\n?", "\n")
-    bare = F.regexp_replace(lf, "[ \\t]+\\n", "\n")
-    return strip(F.regexp_replace(bare, "\\n{3,}", "\n\n"))
+    lf = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    bare = _replaced_if(lf, (" \n", "\t\n"), "[ \\t]+\\n", "\n")
+    return strip(_replaced_if(bare, ("\n\n\n",), "\\n{3,}", "\n\n"))
 
 
 def word_count(text: Column) -> Column:
-    """Runs of characters that are not white space."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    """Runs of characters that are not white space.
+
+    In a text whose words have one blank or LF between them, as most have, counting those gives the
+    same number without a match per word."""
+
+    def of(t: Column) -> Column:
+        bare = F.replace(F.replace(t, F.lit(" ")), F.lit("\n"))
+        simple = ~has_any(t, ("  ", " \n", "\n ", "\n\n")) & t.rlike(NO_RARE_SPACE)
+        return F.when(t == "", 0).when(simple, F.length(t) - F.length(bare) + 1).otherwise(F.regexp_count(t, F.lit(WORD)))
+
+    return let(strip(text), of)
 
 
 def collapse(text: Column) -> Column:
@@ -73,8 +100,13 @@ def sentences(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text, as str.splitlines gives them."""
-    whole = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(whole)
+
+    def of(t: Column) -> Column:
+        plain = F.split(F.when(t.endswith("\n"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t), "\n")
+        rare = F.split(F.regexp_replace(t, f"(?:{LINE_END})\\z", ""), LINE_END)
+        return F.when(t == "", F.array().cast("array<string>")).when(has_any(t, LINE_ENDS), rare).otherwise(plain)
+
+    return let(text, of)
 
 
 def wikilink(label: Column, path: Column) -> Column:

@@ -186,9 +186,9 @@ def with_targets(chosen: DataFrame, links: DataFrame) -> DataFrame:
     return chosen.join(maps, ["arc", "source_file"], "left")
 
 
-def vault_pages(files: DataFrame, arc: str, wiring_arc: str | None = None) -> DataFrame:
+def vault_pages(files: DataFrame, arc: str, wiring_arc: str | None = None, links: DataFrame | None = None) -> DataFrame:
     """Pages of a vault: file names, titles, sections, Markdown with front matter and wiki links."""
-    links = page_links(files, arc, wiring_arc)
+    links = page_links(files, arc, wiring_arc) if links is None else links
     paged = html.pages(with_targets(source_files(files, arc, [".htm", ".html"]), links), "content", "targets")
     parts = html.page_section()
     rows = paged.select("arc", "source_file", html.page_title(stem(F.col("source_file"))).alias("title"), *[c.alias(n) for n, c in parts.items()], wikilinks(F.col("markdown")).alias("markdown"))
@@ -208,14 +208,19 @@ def vault_manifest(pages: DataFrame, assets: DataFrame, wiring_assets: DataFrame
 
 
 def build_vault(files: DataFrame, arc: str, wiring_arc: str | None = None, copy_all: bool = False) -> dict[str, DataFrame]:
-    """pages, alphabetical index, section indexes, summary, assets, wiring assets and manifest."""
+    """pages, alphabetical index, section indexes, summary, assets, wiring assets and manifest.
+
+    Pages and links are persisted, since all results share them: unpersist ``pages`` and ``links``
+    when the results are written."""
     from quire.operators.indexes import alphabetical_index, root_index, section_indexes, section_summary
 
-    pages, index, links = vault_pages(files, arc, wiring_arc), file_index(files), page_links(files, arc, wiring_arc)
+    index, links = file_index(files), page_links(files, arc, wiring_arc).persist()
+    pages = vault_pages(files, arc, wiring_arc, links).persist()
     assets = copied_assets(index, links, arc)
     wiring = copied_wiring(index, links, wiring_arc, copy_all) if wiring_arc else assets.where("false")
     return {
         "pages": pages,
+        "links": links,
         "alphabetical": alphabetical_index(pages),
         "sections": section_indexes(pages),
         "summary": section_summary(pages),

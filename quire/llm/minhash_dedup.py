@@ -50,8 +50,8 @@ MARGIN = 5.5
 CROWD = 2048
 #: Shingles of a group that one task indexes.
 CROWD_SHINGLES = 1 << 21
-#: Ids up to this number (16 MB) may be broadcast; beyond it they are joined by a shuffle.
-FEW_IDS = 2_000_000
+#: Clustered nodes up to this number (some 20 MB) may be broadcast; beyond it a shuffle joins them.
+FEW_IDS = 250_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33, _S29 = np.uint64(33), np.uint64(29)

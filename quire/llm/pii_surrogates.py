@@ -8,21 +8,27 @@ codes, top-level domains, private address ranges, case, script, and the gender o
 
 Distinctness is checked over the whole corpus: of entities that draw the same surrogate the first by
 (attempt, normal form) keeps it, and a surrogate that is itself an entity of the corpus is given up; the
-others draw again until nothing changes. Only entities with a later attempt need a table; it joins
-the rows that hold them. An entity found in a third of all rows is one row after the partial distinct.
+others draw again until nothing changes. Names grow with the attempt, so they can't run out. Formats of
+fixed length can't grow: one with more than a part of ``SPARSE`` of its values in the corpus is dealt by
+rank instead, each value the next one of its format in keyed order. That is one to one however many
+there are, but there a surrogate may be an entity of the corpus (never the one it stands for). Only
+entities with another attempt than 0 need a table; it joins the rows that hold them. An entity found in
+a third of all rows is one row after the partial distinct.
 
 Names are found by a title, or as a known given name before a surname; a surname found in a text is
 then replaced wherever it stands alone in that text.
 
 Defined results: a null text stays null and has no entities; texts without entities are unchanged to
-the byte; rows that repeat are treated alike; a domain in which no free surrogate is found after
-``MOST_ATTEMPTS`` draws raises; an empty table gives an empty result; other columns are ignored by
+the byte; rows that repeat are treated alike; numbers count as the same in any script's digits, octets
+with or without leading zeros; a ``draw`` passed in that finds no free surrogate in ``MOST_ATTEMPTS``
+draws raises; an empty table gives an empty result; other columns are ignored by
 ``surrogates`` and carried unchanged by ``pseudonymised``.
 """
 
 from __future__ import annotations
 
 import hmac
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -35,6 +41,10 @@ from quire.llm.shared import text_or_empty, written
 
 KEY = b"surrogates/1"
 MOST_ATTEMPTS = 64
+#: The attempt of entities whose format is dealt by rank.
+DEALT = -1
+#: Values of a fixed format for each of its entities; with fewer it is dealt by rank.
+SPARSE = 8
 #: Rows with later attempts up to this number may be broadcast; beyond it they are joined by a shuffle.
 FEW_ROWS = 200_000
 
@@ -105,6 +115,8 @@ def iban_rest(iban: str) -> int:
 
 def _normal(kind: str, value: str) -> str | None:
     """The normal form of a match, None if a check digit says it is no entity."""
+    if kind not in ("email", "secret"):
+        value = "".join(str(int(x)) if x.isdecimal() else x for x in value)
     if kind in _DIGIT_KINDS:
         digits = re.sub(r"\D", "", value)
         if kind == "card" and not luhn(digits):
@@ -116,6 +128,8 @@ def _normal(kind: str, value: str) -> str | None:
     if kind == "iban":
         plain = value.replace(" ", "")
         return plain if 15 <= len(plain) <= 34 and iban_rest(plain) == 1 else None
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
     return value.lower() if kind == "email" else value
 
 
@@ -187,28 +201,115 @@ def _redrawn(stream: Iterator[int], text: str, classes: tuple[str, ...] = _CLASS
     return "".join(next((_pick(stream, c) for c in classes if x in c), x if ord(x) < 128 else _pick(stream, _CLASSES[1])) for x in text)
 
 
-def draw(kind: str, normal: str, attempt: int, key: bytes = KEY) -> str:
-    """The surrogate's normal form (names: as written in title case)."""
-    stream = _stream(key, kind, normal, attempt)
+def _kept_octets(octets: list[str]) -> list[str]:
+    return octets[: 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] else 0]
+
+
+def _parts(kind: str, normal: str) -> tuple[str, str] | None:
+    """What stays and what is redrawn of an entity whose format has a fixed length."""
     if kind == "card":
-        body = normal[0] + _redrawn(stream, normal[1:-1])
-        return next(body + d for d in "0123456789" if luhn(body + d))
+        return normal[0], normal[1:-1]
     if kind == "phone":
         country, _, rest = normal.partition("+")
-        return f"{country}+{_redrawn(stream, rest)}"
+        return country, rest
     if kind == "ssn":
-        return _redrawn(stream, normal)
+        return "", normal
+    if kind == "iban":
+        return normal[:2], normal[4:]
+    if kind == "ip":
+        kept = _kept_octets(normal.split("."))
+        return ".".join(kept), normal.split(".", len(kept))[-1]
+    return None
+
+
+def fixed_format(kind: str, normal: str) -> tuple[str | None, float | None]:
+    """The format of an entity and the number of values it has; None where surrogates may grow.
+
+    No draw leaves its format, so formats can be dealt apart from each other."""
+    if (parts := _parts(kind, normal)) is None:
+        return None, None
     if kind == "ip":
-        octets = normal.split(".")
-        fixed = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] else 0
-        return ".".join(octets[:fixed] + [str(1 + (next(stream) << 8 | next(stream)) % 223) for _ in octets[fixed:]])
+        return parts[0], 223.0 ** len(parts[1].split("."))
+    shape = re.sub("[A-Z]", "A", re.sub(r"\d", "9", parts[1]))
+    return f"{parts[0]}/{shape}", 10.0 ** shape.count("9") * 26.0 ** shape.count("A")
+
+
+def _next_in_order(number: int, size: int, key: bytes, name: str) -> int:
+    """The number after this one, all of range(size) in keyed order, the first after the last.
+
+    The order is a Feistel network's, walked until it is back in range."""
+    half = (max(size - 1, 2).bit_length() + 1) // 2
+    low = (1 << half) - 1
+
+    def mixed(i: int, x: int) -> int:
+        return int.from_bytes(hmac.digest(key, f"{name}\0{size}\0{i}\0{x}".encode(), "sha256")) & low
+
+    def place(x: int) -> int:
+        while True:
+            a, b = x >> half, x & low
+            for i in range(8):
+                a, b = b, a ^ mixed(i, b)
+            if (x := a << half | b) < size:
+                return x
+
+    def at(x: int) -> int:
+        while True:
+            a, b = x >> half, x & low
+            for i in reversed(range(8)):
+                a, b = b ^ mixed(i, a), a
+            if (x := a << half | b) < size:
+                return x
+
+    return at((place(number) + 1) % size)
+
+
+def _dealt(text: str, key: bytes, name: str) -> str:
+    """The digits and capitals after these, of the same shape, in keyed order."""
+    classes = [next(c for c in _CLASSES if x in c) for x in text]
+    number = 0
+    for x, c in zip(text, classes, strict=True):
+        number = number * len(c) + c.index(x)
+    number = _next_in_order(number, math.prod(map(len, classes)), key, name)
+    out = []
+    for c in reversed(classes):
+        number, i = divmod(number, len(c))
+        out.append(c[i])
+    return "".join(reversed(out))
+
+
+def _ip(normal: str, octets: Callable[[list[str]], list[str]]) -> str:
+    """An address of the same range; ``octets`` makes new ones of those that are not kept."""
+    found = normal.split(".")
+    kept = _kept_octets(found)
+    while True:
+        found = kept + octets(found[len(kept) :])
+        if _kept_octets(found) == kept:
+            return ".".join(found)
+
+
+def draw(kind: str, normal: str, attempt: int, key: bytes = KEY) -> str:
+    """The surrogate's normal form (names: as written in title case)."""
+    stream = _stream(key, kind, normal, attempt)
+    if (parts := _parts(kind, normal)) is not None:
+        kept, free = parts
+        name = f"{kind}\0{fixed_format(kind, normal)[0]}"
+        if kind == "ip":
+
+            def after(octets: list[str]) -> list[str]:
+                number = _next_in_order(int.from_bytes(bytes(map(int, octets))), 256 ** len(octets), key, name)
+                return [str(x) for x in number.to_bytes(len(octets))]
+
+            return _ip(normal, after if attempt == DEALT else lambda octets: [str(1 + (next(stream) << 8 | next(stream)) % 223) for _ in octets])
+        new = _dealt(free, key, name) if attempt == DEALT else _redrawn(stream, free, _CLASSES[:1] + _CLASSES[2:])
+        if kind == "card":
+            return next(kept + new + d for d in "0123456789" if luhn(kept + new + d))
+        if kind == "iban":
+            return f"{kept}{98 - iban_rest(kept + '00' + new):02d}{new}"
+        return f"{kept}+{new}" if kind == "phone" else new
     if kind == "email":
         user, _, domain = normal.partition("@")
         labels = domain.split(".")
         return ".".join([f"{_redrawn(stream, user)}@{_redrawn(stream, labels[0])}", *(_redrawn(stream, x) for x in labels[1:-1]), labels[-1]])
-    if kind == "iban":
-        body = _redrawn(stream, normal[4:], _CLASSES[:1] + _CLASSES[2:])
-        return f"{normal[:2]}{98 - iban_rest(normal[:2] + '00' + body):02d}{body}"
     if kind == "secret":
         fixed = re.match(r"AKIA|gh[pousr]_|sk-|", normal).end()
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal)
@@ -221,7 +322,9 @@ def draw(kind: str, normal: str, attempt: int, key: bytes = KEY) -> str:
         if attempt == 0 and word in known:
             ranked = sorted(known, key=lambda n: hmac.digest(key, n.encode(), "sha256"))
             return names[known.index(ranked[(ranked.index(word) + 1) % len(ranked)])]
-        return f"{_pick(stream, names)}-{_pick(stream, names)}" if attempt or word not in known else _pick(stream, names)
+        while (drawn := "-".join(_pick(stream, names) for _ in range(2 + attempt))).lower() == word:
+            pass
+        return drawn
     parts = [_pick(stream, SYLLABLES[script]) for _ in range(2 + attempt // 4)]
     return "".join(parts).capitalize() + SURNAME_ENDS.get((gender, script), "")
 
@@ -279,21 +382,30 @@ def later_attempts(found: DataFrame, draw: Draw = draw) -> DataFrame:
             drawn = [draw(*x) for x in zip(kind, normal, attempt, strict=True)]
             # What the surrogate would be as an entity: names are compared without gender.
             plain = [(n.rpartition("/")[2] if k in ("given", "surname") else n) for k, n in zip(kind, normal, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d.lower() if k in ("given", "surname") else d for k, d in zip(kind, drawn, strict=True)], pa.string()), pa.array(plain, pa.string())], ["kind", "normal", "attempt", "drawn", "plain"])
+            forms, rooms = zip(*map(fixed_format, kind, normal), strict=True) if kind else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d.lower() if k in ("given", "surname") else d for k, d in zip(kind, drawn, strict=True)], pa.string()), pa.array(plain, pa.string()), pa.array(forms, pa.string()), pa.array(rooms, pa.float64())], ["kind", "normal", "attempt", "drawn", "plain", "format", "room"])
 
     held = found.select("kind", "normal").distinct().withColumn("attempt", F.lit(0))
-    columns = "kind string, normal string, attempt int, drawn string, plain string"
-    while True:
+    columns = "kind string, normal string, attempt int, drawn string, plain string, format string, room double"
+    now = written(held.mapInArrow(run, columns), "pii-drawn")
+    # At most some thousands, as only addresses and phone numbers have formats of few values.
+    crowded = now.where("format IS NOT NULL").groupBy("kind", "format").agg(F.count(F.lit(1)).alias("_n"), F.first("room").alias("_room"))
+    crowded = written(crowded.where(F.col("_n") * SPARSE > F.col("_room")).select("kind", "format", F.lit(DEALT).alias("_dealt")), "pii-crowded")
+    if not crowded.isEmpty():
+        held = now.join(F.broadcast(crowded), ["kind", "format"], "left").select("kind", "normal", F.coalesce("_dealt", "attempt").alias("attempt"))
         now = written(held.mapInArrow(run, columns), "pii-drawn")
-        first = now.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "normal")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    while True:
+        drawing = now.where(F.col("attempt") != DEALT)
+        first = drawing.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "normal")).alias("_first"), F.count(F.lit(1)).alias("_n"))
         real = now.select("kind", F.col("plain").alias("drawn")).distinct().withColumn("_real", F.lit(True))
         # Given names are dealt among each other, so a surrogate may be a given name of the corpus.
         taken = first.join(real.where("kind <> 'given'"), ["kind", "drawn"], "left").where("_real OR _n > 1")
-        lost = now.join(taken, ["kind", "drawn"]).where(F.col("_real").isNotNull() | (F.struct("attempt", "normal") != F.col("_first"))).select("kind", "normal", F.lit(1).alias("_again"))
+        lost = drawing.join(taken, ["kind", "drawn"]).where(F.col("_real").isNotNull() | (F.struct("attempt", "normal") != F.col("_first"))).select("kind", "normal", F.lit(1).alias("_again"))
         lost = written(lost, "pii-lost")
         if lost.isEmpty():
-            return now.where("attempt > 0").select("kind", "normal", "attempt")
+            return now.where("attempt <> 0").select("kind", "normal", "attempt")
         held = now.select("kind", "normal", "attempt").join(lost, ["kind", "normal"], "left").select("kind", "normal", (F.col("attempt") + F.coalesce("_again", F.lit(0))).alias("attempt"))
+        now = written(held.mapInArrow(run, columns), "pii-drawn")
 
 
 def _with_attempts(rows: DataFrame, found: DataFrame, draw: Draw) -> DataFrame:

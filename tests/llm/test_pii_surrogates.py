@@ -105,3 +105,34 @@ def test_same_again_and_columns(spark):
     got = p.pseudonymised(docs)
     assert got.columns == docs.columns and got.count() == len(cases.ROWS)
     assert p.surrogates(cases.empty(spark)).count() == 0 and p.pseudonymised(cases.empty(spark)).count() == 0
+
+
+def words(n, alphabet):
+    """n capitalised words."""
+    return ["".join((alphabet[i % 20], alphabet[i // 20 % 20], alphabet[i // 400], alphabet[0])).capitalize() for i in range(n)]
+
+
+def test_more_given_names_than_pairs(spark):
+    latin, greek = words(1500, "bcdfghjklmnpqrstvwxz"), words(200, "αβγδεζηθικλμνξοπρστυ")
+    texts = [f"Mr. {n} Weber wrote." for n in latin] + [f"Κυρία {n} Weber wrote." for n in greek]
+    got = [r.text.split()[1] for r in p.surrogates(frame(spark, texts).repartition(4)).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & {*latin, *greek}
+
+
+def test_more_addresses_than_draws(spark):
+    addresses = [f"192.168.{i // 256}.{i % 256}" for i in range(60_000)]
+    texts = [" ".join(addresses[i : i + 500]) for i in range(0, len(addresses), 500)] + ["at 10.0.0.7 and 8.8.4.4", "at 8.8.4.04"]
+    rows = [r.text for r in p.surrogates(frame(spark, texts).repartition(4)).orderBy("doc_id").collect()]
+    got = " ".join(rows[:-2]).split()
+    assert len(set(got)) == len(addresses) and all(x.startswith("192.168.") and x != y for x, y in zip(got, addresses, strict=True))
+    assert rows[-2].split()[1].startswith("10.") and rows[-2].split()[-1] == rows[-1].split()[-1]
+
+
+def test_dealing_is_one_to_one():
+    phones = [f"123+{i:04d}" for i in range(10_000)]
+    got = [p.draw("phone", x, p.DEALT) for x in phones]
+    assert sorted(got) == phones and all(a != b for a, b in zip(got, phones, strict=True))
+    for kind, normal in (("card", "4041894974608795"), ("ssn", "078051120"), ("iban", "GB33BUKB20201555555555"), ("ip", "8.8.4.4")):
+        new = p.draw(kind, normal, p.DEALT)
+        assert new != normal and p.fixed_format(kind, new) == p.fixed_format(kind, normal)
+    assert p.luhn(p.draw("card", "4041894974608795", p.DEALT)) and p.iban_rest(p.draw("iban", "GB33BUKB20201555555555", p.DEALT)) == 1

@@ -8,8 +8,8 @@ codes, top-level domains, private address ranges, case, script, and the gender o
 
 Distinctness is checked over the whole corpus: of entities that draw the same surrogate the first by
 (attempt, normal form) keeps it, and a surrogate that is itself an entity of the corpus is given up; the
-others draw again until nothing changes. Names grow with the attempt, so they can't run out. Formats of
-fixed length can't grow: one with more than a part of ``SPARSE`` of its values in the corpus is dealt by
+others draw again until nothing changes. Names, email addresses and secrets grow with the attempt, so they
+can't run out. Formats of fixed length can't grow: one with more than a part of ``SPARSE`` of its values in the corpus is dealt by
 rank instead, each value the next one of its format in keyed order. That is one to one however many
 there are, but there a surrogate may be an entity of the corpus (never the one it stands for). Only
 entities with another attempt than 0 need a table; it joins the rows that hold them. An entity found in
@@ -20,7 +20,8 @@ then replaced wherever it stands alone in that text.
 
 Defined results: a null text stays null and has no entities; texts without entities are unchanged to
 the byte; rows that repeat are treated alike; numbers count as the same in any script's digits, octets
-with or without leading zeros; a ``draw`` passed in that finds no free surrogate in ``MOST_ATTEMPTS``
+with or without leading zeros; one punctuation mark repeated, such as the line of a form after
+"Password:", is a blank and no secret; a ``draw`` passed in that finds no free surrogate in ``MOST_ATTEMPTS``
 draws raises; an empty table gives an empty result; other columns are ignored by
 ``surrogates`` and carried unchanged by ``pseudonymised``.
 """
@@ -130,6 +131,8 @@ def _normal(kind: str, value: str) -> str | None:
         return plain if 15 <= len(plain) <= 34 and iban_rest(plain) == 1 else None
     if kind == "ip":
         return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "secret" and len(set(value)) == 1 and not value[0].isalnum():
+        return None
     return value.lower() if kind == "email" else value
 
 
@@ -195,6 +198,7 @@ def _pick(stream: Iterator[int], choices: str | list[str]) -> str:
 
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_MARKS = "+/_.~-"
 
 
 def _redrawn(stream: Iterator[int], text: str, classes: tuple[str, ...] = _CLASSES) -> str:
@@ -309,11 +313,18 @@ def draw(kind: str, normal: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "email":
         user, _, domain = normal.partition("@")
         labels = domain.split(".")
-        return ".".join([f"{_redrawn(stream, user)}@{_redrawn(stream, labels[0])}", *(_redrawn(stream, x) for x in labels[1:-1]), labels[-1]])
+        # From the second redrawing on, a letter more for every two attempts.
+        user = _redrawn(stream, user) + "".join(_pick(stream, _CLASSES[1]) for _ in range(attempt // 2))
+        return ".".join([f"{user}@{_redrawn(stream, labels[0])}", *(_redrawn(stream, x) for x in labels[1:-1]), labels[-1]])
     if kind == "secret":
         fixed = re.match(r"AKIA|gh[pousr]_|sk-|", normal).end()
-        hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal)
-        return normal[:fixed] + _redrawn(stream, normal[fixed:], (("0123456789abcdef",) if normal == normal.lower() else ("0123456789ABCDEF",)) if hexadecimal else _CLASSES)
+        free = normal[fixed:]
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", normal):
+            classes = ("0123456789abcdef",) if normal == normal.lower() else ("0123456789ABCDEF",)
+        else:
+            classes = _CLASSES if any(x.isalnum() for x in free) else (_MARKS,)
+        more = classes[0] if len(classes[0]) == 16 else _CLASSES[1]
+        return normal[:fixed] + _redrawn(stream, free, classes) + "".join(_pick(stream, more) for _ in range(attempt // 2))
     gender, script, word = normal.split("/", 2)
     if kind == "given":
         # Known names are dealt among each other by rank of keyed hashes, so they can't collide.

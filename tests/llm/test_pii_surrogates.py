@@ -136,3 +136,14 @@ def test_dealing_is_one_to_one():
         new = p.draw(kind, normal, p.DEALT)
         assert new != normal and p.fixed_format(kind, new) == p.fixed_format(kind, normal)
     assert p.luhn(p.draw("card", "4041894974608795", p.DEALT)) and p.iban_rest(p.draw("iban", "GB33BUKB20201555555555", p.DEALT)) == 1
+
+
+def test_secrets_and_addresses_of_few_symbols(spark):
+    blanks = ["Password: ________", "token: ......", "secret = --------"]
+    few_symbols = [f"token = ______{i}" for i in range(10)] + ["password: -_-_-_~", "pwd = sk-" + "-" * 20, "secret = AKIA--"]
+    mails = ["to -@-.com", "to +@1.com", *(f"to {i}@-.com" for i in range(10))]
+    texts = blanks + few_symbols + mails
+    rows = [r.text for r in p.surrogates(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert rows[: len(blanks)] == blanks
+    assert not set(rows[len(blanks) :]) & set(texts) and len({r.split()[-1] for r in rows}) == len(texts)
+    assert all("@" in r and r.endswith(".com") for r in rows[-len(mails) :])

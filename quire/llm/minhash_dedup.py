@@ -18,7 +18,9 @@ again: any link between two parts has an end outside the largest one. Groups of
 members are split into blocks that share a hub; what the blocks leave apart is then compared with the
 whole group, in blocks of queries. No pairs are emitted, nothing is dropped or capped.
 
-A pair at the threshold shares no band with probability below 3e-7.
+Bands have as many rows as leave a pair at the threshold without a common band with probability
+below 3e-7: 32 bands of 6 rows at 0.85 (2.6e-7), 38 of 5 at 0.8 (2.8e-7). Below a threshold of 0.08
+even bands of one row miss more.
 
 Defined results: null counts as empty; a text without words has an empty set, is linked with nothing
 and stays; fewer words than a shingle make one shingle; a null doc_id counts as larger than any, and a
@@ -41,8 +43,9 @@ from pyspark.sql.window import Window
 from quire.llm.components import components
 from quire.llm.shared import runs, text_or_empty, with_hot_key, written
 
-BANDS, ROWS = 32, 6
-SIZE = BANDS * ROWS
+SIZE = 192
+#: Most probability that a pair at the threshold shares no band.
+MISSED = 3e-7
 BITS = 2
 #: Standard errors of the estimate that a candidate may fall short of the threshold.
 MARGIN = 5.5
@@ -97,11 +100,22 @@ def minima(found: np.ndarray, step: int = 256) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """Rows of minima to rows of BANDS keys."""
-    parts = least.reshape(len(least), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), BANDS)).copy()
-    for i in range(ROWS):
+def missed(percent: int, rows: int) -> float:
+    """Probability that a pair at the threshold shares no band of so many rows."""
+    return (1 - (percent / 100) ** rows) ** (SIZE // rows)
+
+
+def rows_of_bands(percent: int) -> int:
+    """The most rows of a band with which a pair at the threshold is missed at most by MISSED."""
+    return max((r for r in range(1, SIZE + 1) if missed(percent, r) <= MISSED), default=1)
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of minima to rows of band keys; minima that fill no band are left out."""
+    bands = SIZE // rows
+    parts = least[:, : bands * rows].reshape(len(least), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(least), bands)).copy()
+    for i in range(rows):
         key = _mix(key ^ parts[:, :, i])
     return key.view(np.int64)
 
@@ -178,9 +192,10 @@ class Index:
 _SIGNED = "rid long, doc_id long, same long, n long, print binary, sig binary, keys array<long>"
 
 
-def signed(docs: DataFrame, width: int = 3) -> DataFrame:
+def signed(docs: DataFrame, percent: int, width: int = 3) -> DataFrame:
     """A row per document: id, set size and fingerprint, and in the task's first row of each set its
     signature and band keys; written to the shared folder."""
+    in_band = rows_of_bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
@@ -200,7 +215,7 @@ def signed(docs: DataFrame, width: int = 3) -> DataFrame:
             sigs, keys = [None] * len(sizes), [None] * len(sizes)
             if fresh:
                 rows = np.array(least)
-                for i, sig, key in zip(fresh, signatures(rows), band_keys(rows), strict=True):
+                for i, sig, key in zip(fresh, signatures(rows), band_keys(rows, in_band), strict=True):
                     sigs[i], keys[i] = sig.tobytes(), key
             columns = [batch.column("rid"), batch.column("doc_id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "same", "n", "print", "sig", "keys"])
@@ -374,7 +389,7 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, perc
 
 def _grouped(docs: DataFrame, percent: int, width: int, crowd: int) -> DataFrame:
     """rid, doc_id, same, n, component_id and ``first``: whether the row is its component's least."""
-    rows = signed(docs, width)
+    rows = signed(docs, percent, width)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     best = F.min_by(F.struct("rid", "doc_id", "same"), order)
     nodes = rows.where("print IS NOT NULL").groupBy("print").agg(best.alias("best"), F.max(F.struct("sig", "keys")).alias("made"), F.first("n").alias("n"))

@@ -111,3 +111,10 @@ def test_components_of_paths_and_stars(spark):
     edges = [*zip(path, path[1:], strict=False), *((999, k) for k in range(900, 930)), (5, 5)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(path, 100), **dict.fromkeys([*range(900, 930), 999], 900)}
+
+
+def test_bands_follow_the_threshold():
+    assert [m.rows_of_bands(p) for p in (85, 80)] == [6, 5] and m.rows_of_bands(5) == 1
+    assert all(m.missed(p, m.rows_of_bands(p)) < 3e-7 for p in range(8, 100)) and m.missed(80, 6) > 5e-5
+    least = np.arange(3 * m.SIZE, dtype=np.uint64).reshape(3, m.SIZE)
+    assert m.band_keys(least, 6).shape == (3, 32) and m.band_keys(least, 5).shape == (3, 38)

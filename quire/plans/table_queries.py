@@ -331,3 +331,13 @@ def first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[A-Za-z]"))
     return rows.groupBy(T.index_letter(F.col("text")).alias("letter")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@REGISTRY.query("all_text_letters", r"""
+WITH t AS (
+  SELECT upper(left(regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ''), 1)) AS c FROM documents
+)
+SELECT CASE WHEN regexp_matches(c, '^[\p{L}\p{N}]') THEN c ELSE '#' END AS letter, count(*) AS n_rows FROM t GROUP BY 1""")
+def all_text_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by its index letter, those that ``text_letters`` leaves out too."""
+    return table(spark, sf_dir, "documents").groupBy(T.index_letter(F.col("text")).alias("letter")).agg(F.count(F.lit(1)).alias("n_rows"))

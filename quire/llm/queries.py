@@ -56,6 +56,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.corpus_totals(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op4_all_token_rollup")
+def op4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents, none pruned, with the tokens of the byte-level BPE."""
+    import public_tokenizers
+
+    return token_rollup.all_totals(table(spark, sf_dir, "documents"), "byte-bpe-50k/1", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @REGISTRY.query("op10_minhash_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a similarity of 0.85 or more."""

@@ -20,10 +20,13 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import byte_bpe
 from quire.llm.shared import WORD_CLASS, fresh_path, text_or_empty
 
 STATE = "struct<source:string,lang:string,tokenizer:string,tokens:bigint>"
@@ -49,6 +52,20 @@ def inserts(docs: DataFrame, tokenizers: dict = TOKENIZERS, provisional: Column
     return docs.select(F.lit(None).cast(STATE).alias("before"), F.explode(F.array(*states)).alias("after"))
 
 
+def bpe_inserts(docs: DataFrame, tokenizer: str, ranks_path: str, pattern: str) -> DataFrame:
+    """Changes that add every row's count of byte-level BPE tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = byte_bpe.encoder(ranks_path, pattern)
+        for batch in batches:
+            counts = pa.array([len(byte_bpe.encode_text(t.as_py().decode("utf-8", "replace"), encoding)) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), counts], ["source", "lang", "tokens"])
+
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().cast("binary").alias("text"))
+    counted = rows.mapInArrow(run, "source string, lang string, tokens long")
+    return counted.select(F.lit(None).cast(STATE).alias("before"), state(tokenizer, F.col("tokens")).alias("after"))
+
+
 def revisions(docs: DataFrame, old: Column, tokenizers: dict = TOKENIZERS) -> DataFrame:
     """Changes from an old count to the true one."""
     pairs = [F.struct(state(name, old).alias("before"), state(name, count(text_or_empty())).alias("after")) for name, count in tokenizers.items()]
@@ -144,19 +161,32 @@ class Rollup:
                 self._fs.delete(self._path(f"{self.path}/batch/{b}"), True)
 
 
-def corpus_totals(docs: DataFrame) -> DataFrame:
-    """A corpus taken through its life: loaded with the stated n_chars as provisional counts,
-    revised to true counts, rid of wordless documents, with batches replayed in between."""
+def _revised(docs: DataFrame) -> Rollup:
+    """Loaded with the stated n_chars as provisional counts and revised to true counts, with replays."""
     rollup = Rollup(docs.sparkSession, fresh_path(docs.sparkSession, "token-rollup"))
     stated = F.coalesce(F.col("n_chars").cast("bigint"), F.lit(0))
     load, revise = inserts(docs, provisional=stated), revisions(docs, stated)
-    wordless = docs.where(~text_or_empty().rlike(WORD_CLASS))
     rollup.commit("load-1", load)
     rollup.commit("load-1", load)
     rollup.commit("revise-1", revise)
     rollup.compact()
     rollup.commit("revise-1", revise)
-    rollup.commit("prune-1", deletes(wordless))
+    return rollup
+
+
+def corpus_totals(docs: DataFrame) -> DataFrame:
+    """A corpus taken through its life: loaded with the stated n_chars as provisional counts,
+    revised to true counts, rid of wordless documents, with batches replayed in between."""
+    rollup = _revised(docs)
+    rollup.commit("prune-1", deletes(docs.where(~text_or_empty().rlike(WORD_CLASS))))
+    return rollup.totals()
+
+
+def all_totals(docs: DataFrame, tokenizer: str, ranks_path: str, pattern: str) -> DataFrame:
+    """The totals of every document, wordless ones too, with BPE tokens as one more version."""
+    rollup, more = _revised(docs), bpe_inserts(docs, tokenizer, ranks_path, pattern)
+    rollup.commit("bpe-1", more)
+    rollup.commit("bpe-1", more)
     return rollup.totals()
 
 

@@ -53,3 +53,16 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert corpus_totals(cases.empty(spark)).count() == 0
+
+
+def test_all_documents_and_bpe(spark):
+    import public_tokenizers
+
+    from quire.llm import byte_bpe
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoding = byte_bpe.encoder(ranks, public_tokenizers.PATTERN)
+    want = [(d, s, lang, name, n) for d, t, lang, s, _ in cases.ROWS for name, n in (("words/1", len((t or "").split())), ("codepoints/1", len(t or "")), ("bpe", len(byte_bpe.encode_text(t or "", encoding))))]
+    got = [r for r in shown(tr.all_totals(cases.table(spark), "bpe", ranks, public_tokenizers.PATTERN)) if r[2] != "letter-runs/2"]
+    assert got == expected(want)
+    assert tr.all_totals(cases.empty(spark), "bpe", ranks, public_tokenizers.PATTERN).count() == 0

@@ -1,14 +1,18 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Each worker builds the encoder once. A long text is cut before a white-space character that stands
-between two others that are not: no match of the splitting pattern spans such a place and none
-looks back over it, so the parts encode to the ids of the whole. Decoding joins raw bytes, so a
-token that ends inside a character loses nothing.
+Each worker builds the encoder once. A long text is cut where white space begins: no match of the
+splitting pattern spans such a place and none looks back over it, so the parts encode to the ids of
+the whole. A long run of white space is a part too: all of it at the end of a text, else all but its
+last character, is one match, whose ids are found from its bytes without the pattern, as the
+pattern's engine would keep a state for each of its characters. Decoding joins raw bytes, so a token
+that ends inside a character loses nothing. The patterns meant are those of public byte-level BPE
+vocabularies: white space beside one leading blank never shares a match with other characters.
 
 Defined results: a null text encodes like the empty one (no ids); bytes that are not UTF-8 count as
-U+FFFD; an empty table gives an empty result; rows are encoded one by one, repeated ones too;
-columns other than doc_id and text are ignored. The plan is a scan and one Arrow map: no shuffle,
-and memory holds one batch.
+U+FFFD; texts of any length and any runs are encoded whole, in time about proportional to their
+length; an empty table gives an empty result; rows are encoded one by one, so repeated ones give
+equal results and there are no ties; columns other than doc_id and text are ignored. The plan is a
+scan and one Arrow map: no shuffle, and memory holds one batch.
 """
 
 from __future__ import annotations
@@ -26,19 +30,40 @@ from pyspark.sql import functions as F
 #: Texts of more characters than this are cut at safe boundaries.
 LONG = 1 << 16
 
-_SAFE = re.compile(r"(?<=\S)\s(?=\S)")
+#: Runs of white space of at least this length are encoded apart; 2 is the least that can be.
+LONG_RUN = 1000
 
+# The pattern's white space (Unicode's White_Space, without \x1c to \x1f).
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEGINS = re.compile(f"(?<=[^{_WHITE}])[{_WHITE}]")
 
-def safe_parts(text: str, limit: int = LONG) -> Iterator[str]:
-    """The text in parts of about ``limit`` characters that encode independently."""
-    start = 0
-    while len(text) - start > limit:
-        found = _SAFE.search(text, start + limit)
+
+@lru_cache(maxsize=4)
+def _long_runs(least: int) -> re.Pattern:
+    return re.compile(f"[{_WHITE}]{{{least},}}")
+
+
+def _cut(text: str, start: int, end: int, limit: int) -> Iterator[str]:
+    """text[start:end] cut where white space begins, in parts of about ``limit`` characters."""
+    while end - start > limit:
+        found = _BEGINS.search(text, start + limit, end)
+        # Two or more white-space characters belong together, so the next part takes them all.
         if found is None:
             break
         yield text[start : found.start()]
         start = found.start()
-    yield text[start:] if start else text
+    if start < end:
+        yield text[start:end]
+
+
+def safe_parts(text: str, limit: int = LONG, run: int = LONG_RUN) -> Iterator[tuple[str, bool]]:
+    """The text in parts that encode independently, and whether a part is one match of white space."""
+    start = 0
+    for found in _long_runs(max(run, 2)).finditer(text):
+        yield from ((part, False) for part in _cut(text, start, found.start(), limit))
+        start = found.end() if found.end() == len(text) else found.end() - 1
+        yield text[found.start() : start], True
+    yield from ((part, False) for part in _cut(text, start, len(text), limit))
 
 
 @lru_cache(maxsize=4)
@@ -51,11 +76,14 @@ def encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_text(text: str, encoding, limit: int = LONG) -> list[int]:
+def encode_text(text: str, encoding, limit: int = LONG, run: int = LONG_RUN) -> list[int]:
     """The ids of a whole text."""
     if len(text) <= limit:
         return encoding.encode_ordinary(text)
-    return [i for part in safe_parts(text, limit) for i in encoding.encode_ordinary(part)]
+    out: list[int] = []
+    for part, one_match in safe_parts(text, limit, run):
+        out += encoding._encode_single_piece(part) if one_match else encoding.encode_ordinary(part)
+    return out
 
 
 def _texts(column: pa.Array) -> Iterator[str]:

@@ -52,13 +52,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op4_token_rollup", token_rollup.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents after a load, a revision, a pruning and their replays."""
+    """Totals of all documents after a load, a revision, a pruning, its reversal and their replays."""
     return token_rollup.corpus_totals(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.query("op4_all_token_rollup")
-def op4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents, none pruned, with the tokens of the byte-level BPE."""
+@REGISTRY.query("bpe_token_rollup")
+def bpe_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents under the same versions and the byte-level BPE."""
     import public_tokenizers
 
     return token_rollup.all_totals(table(spark, sf_dir, "documents"), "byte-bpe-50k/1", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -5,14 +5,16 @@ A change feed says what became of a document's count under a tokenizer version:
 before, plus the one after), added up by source, language and tokenizer before any shuffle; a batch
 is that small table of additive deltas, and totals are the sum of all committed batches.
 
-A batch commits by renaming its finished folder to its own name. The name is the batch's identity:
-committing it again, after a crash or a replay, changes nothing. Executors lost while the deltas
-are computed only repeat their tasks. ``compact`` folds the committed batches into one base whose
-manifest lists them, so replays stay harmless and reading stays cheap.
+A batch commits by an object of its own name that is written last and names its finished folder.
+The name is the batch's identity: committing it again, after a crash or a replay, changes nothing.
+Executors lost while the deltas are computed only repeat their tasks. ``compact`` folds the
+committed batches into one base whose manifest lists them, so replays stay harmless and reading
+stays cheap. One writer at a time may commit a given batch.
 
 Defined results: null source, language or tokenizer form groups of their own; groups whose
-documents and tokens are all gone vanish from the totals; a null text counts as empty; rows that
-repeat a document count each; empty feeds commit and change nothing; other columns are ignored.
+documents and tokens are all gone vanish from the totals; a null text counts as empty, and texts of
+any length count whole; rows that repeat a document count each, and sums know no ties; empty feeds
+commit and change nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,71 +96,97 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals under ``path``: ``batch/<id>`` folders and, after compaction, ``base/<n>`` folders."""
+    """Totals under ``path``: ``data`` holds folders of deltas, ``batch/<id>`` names a batch's folder,
+    ``base/<n>`` the folder of a compaction's totals and the batches in them.
+
+    A name counts once it is written, a single small object, so a half-written or half-copied folder
+    never does, on object stores either. An empty object is a commit that did not end."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _names(self, folder: str) -> list[str]:
         where = self._path(f"{self.path}/{folder}")
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(where) if x.getLen()) if self._fs.exists(where) else []
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.path}/{name}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str) -> None:
+        """Write one small object; an error if another writer has finished it meanwhile."""
+        where = self._path(f"{self.path}/{name}")
+        empty = self._fs.exists(where) and not self._fs.getFileStatus(where).getLen()
+        stream = self._fs.create(where, empty)
+        stream.write(text.encode())
+        stream.close()
+
+    def _drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
     def _base(self) -> tuple[str | None, set[str]]:
         bases = self._names("base")
         if not bases:
             return None, set()
-        manifest = self.spark.read.text(f"{self.path}/base/{bases[-1]}/manifest", wholetext=True).first()[0]
-        return f"{self.path}/base/{bases[-1]}/totals", set(json.loads(manifest))
+        found = json.loads(self._read(f"base/{bases[-1]}"))
+        return found["data"], set(found["batches"])
+
+    def _listed(self) -> tuple[str | None, set[str], list[str]]:
+        """One look at the folders: the base, the batches that it holds, and the batches beside it.
+
+        Batches are listed first: one that a compaction absorbs in between is then in the newer base
+        as well, and is left out of the list."""
+        names = self._names("batch")
+        base, absorbed = self._base()
+        return base, absorbed, [b for b in names if b not in absorbed]
 
     def committed(self) -> set[str]:
         """The ids of all batches that count."""
-        return self._base()[1] | set(self._names("batch"))
-
-    def _publish(self, staging: str, target: str) -> bool:
-        to = self._path(target)
-        self._fs.mkdirs(to.getParent())
-        if self._fs.exists(to) or not self._fs.rename(self._path(staging), to):
-            self._fs.delete(self._path(staging), True)
-            return False
-        # A rename into a folder that appeared meanwhile nests instead of failing.
-        nested = self._path(f"{target}/{staging.rsplit('/', 1)[-1]}")
-        if self._fs.exists(nested):
-            self._fs.delete(nested, True)
-            return False
-        return True
+        _, absorbed, batches = self._listed()
+        return absorbed | set(batches)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch; False, with nothing changed, if it was committed before."""
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
+        if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", batch_id):
             raise ValueError(f"not a batch id: {batch_id!r}")
         if batch_id in self.committed():
             return False
-        staging = f"{self.path}/staging/{batch_id}-{uuid.uuid4().hex}"
-        signed(changes).write.parquet(staging)
-        return self._publish(staging, f"{self.path}/batch/{batch_id}")
+        data = f"data/{batch_id}-{uuid.uuid4().hex}"
+        signed(changes).write.parquet(f"{self.path}/{data}")
+        if batch_id in self.committed():
+            self._drop(data)
+            return False
+        self._put(f"batch/{batch_id}", data)
+        return True
 
-    def totals(self) -> DataFrame:
+    def totals(self, listed: tuple[str | None, set[str], list[str]] | None = None) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of what is left."""
-        base, absorbed = self._base()
-        paths = [f"{self.path}/batch/{b}" for b in self._names("batch") if b not in absorbed] + ([base] if base else [])
+        base, _, batches = listed or self._listed()
+        paths = [f"{self.path}/{x}" for x in (*(self._read(f"batch/{b}") for b in batches), *([base] if base else []))]
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         total = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return total.where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base, then drop their folders."""
-        absorbed, batches = self.committed(), self._names("batch")
-        name = f"{len(self._names('base')):08d}"
-        staging = f"{self.path}/staging/base-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staging}/totals")
-        self.spark.createDataFrame([(json.dumps(sorted(absorbed)),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
-        if self._publish(staging, f"{self.path}/base/{name}"):
-            for b in batches:
-                self._fs.delete(self._path(f"{self.path}/batch/{b}"), True)
+        """Fold the batches committed so far into a new base, then drop their folders.
+
+        Totals, manifest and what is dropped come from one listing, so a batch that commits meanwhile
+        stays a batch. Of two compactions at a time one fails: a base's name is its number."""
+        listed, name = self._listed(), f"{len(self._names('base')):08d}"
+        old, absorbed, batches = listed
+        data = f"data/base-{uuid.uuid4().hex}"
+        self.totals(listed).write.parquet(f"{self.path}/{data}")
+        folders = [self._read(f"batch/{b}") for b in batches]
+        self._put(f"base/{name}", json.dumps({"data": data, "batches": sorted(absorbed | set(batches))}))
+        for gone in (*(f"batch/{b}" for b in batches), *folders, *([old] if old else [])):
+            self._drop(gone)
 
 
 def _revised(docs: DataFrame) -> Rollup:
@@ -175,10 +203,12 @@ def _revised(docs: DataFrame) -> Rollup:
 
 
 def corpus_totals(docs: DataFrame) -> DataFrame:
-    """A corpus taken through its life: loaded with the stated n_chars as provisional counts,
-    revised to true counts, rid of wordless documents, with batches replayed in between."""
-    rollup = _revised(docs)
-    rollup.commit("prune-1", deletes(docs.where(~text_or_empty().rlike(WORD_CLASS))))
+    """A corpus taken through its life: loaded with the stated n_chars as provisional counts, revised
+    to true counts, rid of wordless documents and given them back, with batches replayed in between."""
+    rollup, wordless = _revised(docs), docs.where(~text_or_empty().rlike(WORD_CLASS))
+    rollup.commit("prune-1", deletes(wordless))
+    rollup.commit("prune-1", deletes(wordless))
+    rollup.commit("restore-1", inserts(wordless))
     return rollup.totals()
 
 
@@ -192,7 +222,7 @@ def all_totals(docs: DataFrame, tokenizer: str, ranks_path: str, pattern: str) -
 
 ORACLE = r"""
 WITH d AS (
-  SELECT source, lang, coalesce(text, '') AS t FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\x20\x09-\x0D]')
+  SELECT source, lang, coalesce(text, '') AS t FROM documents
 ), c AS (
   SELECT source, lang, 'words/1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM d
   UNION ALL SELECT source, lang, 'codepoints/1', length(t) FROM d

@@ -1,6 +1,7 @@
-"""Semantic units and overlapping chunks of Markdown, folded inside each row: no shuffle, no Python.
+"""Semantic units and overlapping chunks of Markdown, inside each row: no shuffle, no Python.
 
-The folds carry positions only; texts are cut out of the line and unit arrays afterwards."""
+Time grows with the text: blocks are the matches of one pattern, pieces are packed by a pattern over
+a string with a character for each word, and only the chunks of a text, which are few, are folded."""
 
 from __future__ import annotations
 
@@ -23,54 +24,33 @@ def _span(s: Column, e: Column) -> Column:
     return F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))
 
 
-def blocks(markdown: Column) -> Column:
-    """Blocks of normalised Markdown: a heading is one, empty lines end one, fences stay whole."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("open"), F.lit(False).alias("fenced"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        i, opened, fenced, out = acc["i"] + 1, acc["open"], acc["fenced"], acc["out"]
-        begun = F.when(opened > 0, opened).otherwise(i)
-        fence, blank, heading = line.startswith("```"), line == "", line.rlike(f"^#{{1,6}}[{SPACE}]+")
-
-        def state(open_: Column, fenced_: Column, out_: Column) -> Column:
-            return F.struct(i.alias("i"), open_.cast("int").alias("open"), fenced_.alias("fenced"), out_.alias("out"))
-
-        no, closed = F.lit(0), F.when(opened > 0, F.concat(out, _span(opened, i - 1))).otherwise(out)
-        return (
-            F.when(fence & fenced, state(no, F.lit(False), F.concat(out, _span(begun, i))))
-            .when(fence, state(begun, F.lit(True), out))
-            .when(fenced, state(begun, fenced, out))
-            .when(blank, state(no, fenced, closed))
-            .when(heading, state(no, fenced, F.concat(closed, _span(i, i))))
-            .otherwise(state(begun, fenced, out))
-        )
+# Of lines joined by LF: a heading; a line that neither is one nor opens a fence; a fence with all up to
+# the line that closes it, or to the end. Quantifiers are possessive, so matching takes no stack.
+_HEADING = f"#{{1,6}}(?!\\n)[{SPACE}]"
+_PLAIN = f"(?!```|{_HEADING})[^\\n]++(?:\\n|\\z)"
+_FENCE = "```[^\\n]*+(?:\\n(?!```)[^\\n]*+)*+(?:\\n```[^\\n]*+)?+"
+_BLOCK = f"(?m)^(?:{_HEADING}[^\\n]*+|(?=[^\\n])(?:{_PLAIN})*+(?:{_FENCE})?+)"
+#: Stands between groups of pieces; as a line end it is in none.
+_BETWEEN = "\x1e"
 
-    def end(acc: Column) -> Column:
-        return F.when(acc["open"] > 0, F.concat(acc["out"], _span(acc["open"], acc["i"]))).otherwise(acc["out"])
 
-    def cut(rows: Column) -> Column:
-        spans = F.aggregate(rows, start, step, end)
-        return F.transform(spans, lambda x: strip(F.array_join(F.slice(rows, x["s"], x["e"] - x["s"] + 1), "\n")))
-
-    return let(F.transform(lines(markdown), rstrip), cut)
+def blocks(markdown: Column) -> Column:
+    """Blocks of normalised Markdown: a heading is one, empty lines end one, fences stay whole."""
+    text = F.array_join(F.transform(lines(markdown), rstrip), "\n")
+    return F.transform(F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0)), strip)
 
 
 def packed(pieces: Column, target: int) -> Column:
-    """Pieces joined by LF into groups of at most ``target`` words; a larger piece stands alone."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(1).alias("s"), F.lit(0).alias("words"), F.array().cast(_SPAN).alias("out"))
+    """Pieces joined by LF into groups of at most ``target`` words; a larger piece stands alone.
 
-    def step(acc: Column, words: Column) -> Column:
-        i = acc["i"] + 1
-        full = (i > acc["s"]) & (acc["words"] + words > target)
-        return F.struct(
-            i.alias("i"),
-            F.when(full, i).otherwise(acc["s"]).alias("s"),
-            F.when(full, words).otherwise(acc["words"] + words).alias("words"),
-            F.when(full, F.concat(acc["out"], _span(acc["s"], i - 1))).otherwise(acc["out"]).alias("out"),
-        )
-
-    spans = F.aggregate(F.transform(pieces, word_count), start, step, lambda acc: F.concat(acc["out"], _span(acc["s"], acc["i"])))
-    return F.transform(spans, lambda x: strip(F.array_join(F.slice(pieces, x["s"], x["e"] - x["s"] + 1), "\n")))
+    Each piece is as many characters as it has words, the last one of another kind, so a group is the
+    longest match that ends a piece within ``target`` characters."""
+    marks = F.array_join(F.transform(pieces, lambda p: F.concat(F.repeat(F.lit("w"), word_count(p) - 1), F.lit("."))), "")
+    groups = F.regexp_extract_all(marks, F.lit(f"[w.]{{0,{target - 1}}}\\.|w*+\\."), F.lit(0))
+    # One mark for each piece, with a bar after the last of a group.
+    ends = F.regexp_extract_all(F.replace(F.array_join(groups, "|"), F.lit("w")), F.lit("\\.\\|?"), F.lit(0))
+    text = F.array_join(F.zip_with(pieces, ends, lambda p, e: F.concat(p, F.when(e == ".", "\n").otherwise(_BETWEEN))), "")
+    return F.transform(F.split(text, _BETWEEN), strip)
 
 
 def split_block(block: Column, target: int) -> Column:
@@ -97,22 +77,26 @@ def chunk_spans(words: Column, target: int, overlap: int) -> Column:
     A chunk ends before the unit that would take it over ``target``; the next begins at the last
     unit from which its predecessor still has ``overlap`` words, at least one unit back, and always
     takes the unit that did not fit."""
-    sums = F.aggregate(words, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
 
-    def fold(total: Column) -> Column:
-        start = F.struct(F.lit(1).alias("s"), F.array().cast(_SPAN).alias("out"))
+    def fold(counts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(1).alias("s"), F.lit(0).alias("words"), F.array().cast(_SPAN).alias("out"))
+
+        def tail(s: Column, before: Column) -> Column:
+            """How many of the units from ``s`` to ``before`` are repeated, and their words."""
+            none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+            more = lambda acc, w: F.struct((acc["n"] + 1).alias("n"), (acc["words"] + w).alias("words"))
+            backwards = F.reverse(F.slice(counts, s, before - s + 1))
+            return F.aggregate(backwards, none, lambda acc, w: F.when((acc["n"] > 0) & (acc["words"] >= overlap), acc).otherwise(more(acc, w)))
 
-        def step(acc: Column, i: Column) -> Column:
-            at = lambda k: F.get(total, k)
-            full = (i > acc["s"]) & (at(i) - at(acc["s"] - 1) > target)
-            back = F.filter(F.sequence(acc["s"], i - 1), lambda k: at(i - 1) - at(k - 1) >= overlap)
-            begin = F.coalesce(F.try_element_at(back, F.lit(-1)), acc["s"])
-            return F.when(full, F.struct(begin.cast("int").alias("s"), F.concat(acc["out"], _span(acc["s"], i - 1)).alias("out"))).otherwise(acc)
+        def step(acc: Column, w: Column) -> Column:
+            i = acc["i"] + 1
+            grown = F.struct(i.alias("i"), acc["s"].alias("s"), (acc["words"] + w).alias("words"), acc["out"].alias("out"))
+            begun = lambda t: F.struct(i.alias("i"), (i - t["n"]).alias("s"), (t["words"] + w).alias("words"), F.concat(acc["out"], _span(acc["s"], i - 1)).alias("out"))
+            return F.when((i > acc["s"]) & (acc["words"] + w > target), let(tail(acc["s"], i - 1), begun)).otherwise(grown)
 
-        n = F.size(words)
-        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.concat(acc["out"], _span(acc["s"], n)))
+        return F.aggregate(counts, start, step, lambda acc: F.concat(acc["out"], _span(acc["s"], acc["i"])))
 
-    return F.when(F.size(words) > 0, let(sums, fold)).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(words) > 0, let(words, fold)).otherwise(F.array().cast(_SPAN))
 
 
 def with_units(docs: DataFrame, markdown: str = "text", target: int = TARGET_WORDS, column: str = "units") -> DataFrame:

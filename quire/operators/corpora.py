@@ -44,11 +44,15 @@ def page_text(data: bytes) -> tuple[str, str]:
 
 
 def converted(files: DataFrame, converters: dict[str, Converter] | None = None) -> DataFrame:
-    """files with converted_title, markdown and error in place of their content."""
+    """files with converted_title, markdown and error in place of their content.
+
+    Rows with a column ``page`` (title and Markdown) that is not null are converted already."""
     known = dict(CONVERTERS if converters is None else converters)
-    keep = [c for c in files.columns if c != "content"]
+    paged, keep = "page" in files.columns, [c for c in files.columns if c not in ("content", "page")]
 
-    def one(ext: str, data: bytes | None) -> tuple[str | None, str | None, str | None]:
+    def one(ext: str, data: bytes | None, page: dict | None) -> tuple[str | None, str | None, str | None]:
+        if page is not None:
+            return page["title"], page["markdown"], None
         if ext not in known:
             return None, None, f"no converter for {ext or 'files without extension'}"
         try:
@@ -58,7 +62,8 @@ def converted(files: DataFrame, converters: dict[str, Converter] | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(e.as_py(), d.as_py()) for e, d in zip(batch.column("ext"), batch.column("content"), strict=True)]
+            pages = batch.column("page").to_pylist() if paged else [None] * batch.num_rows
+            rows = [one(e.as_py(), d.as_py(), p) for e, d, p in zip(batch.column("ext"), batch.column("content"), pages, strict=True)]
             if rows:
                 made = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "converted_title", "markdown", "error"])
@@ -86,7 +91,12 @@ def source_columns() -> list[Column]:
 def training_corpus(files: DataFrame, arc: str, extensions: list[str] = TRAINING_EXTENSIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, skips, manifest) of an archive's documents; records and skips make up the sources."""
     chosen = source_files(files, arc, extensions)
-    about = html.pages(chosen.withColumn("_html", F.when(_is_page(), F.col("content"))), "_html").drop("refs", "markdown")
+    # Pages are parsed once, for metadata and text, unless another converter is registered for them.
+    own = all(CONVERTERS.get(x) is page_text for x in (".htm", ".html"))
+    about = html.pages(chosen.withColumn("_html", F.when(_is_page(), F.col("content"))), "_html", fields=("meta", "heading", "markdown") if own else ("meta", "heading"))
+    if own:
+        page = F.when(_is_page(), F.struct(F.get("heading", F.lit(4)).alias("title"), "markdown"))
+        about = about.withColumns({"page": page, "content": F.when(~_is_page(), F.col("content"))}).drop("markdown")
     rows = converted(about).withColumn("text", normalize_text(F.coalesce("markdown", F.lit(""))))
     parts = html.page_section()
     pick = lambda name, other: F.when(_is_page(), parts[name]).otherwise(other).alias(name)
@@ -137,7 +147,7 @@ def source_documents(files: DataFrame, arc: str, extensions: list[str] = CHUNK_E
     """Documents with normalised Markdown; empty ones are left out."""
     chosen = source_files(files, arc, extensions)
     links = page_links(files, arc, None)
-    paged = html.pages(with_targets(chosen.where(_is_page()), links), "content", "targets")
+    paged = html.pages(with_targets(chosen.where(_is_page()), links), "content", "targets", ("meta", "heading", "markdown"))
     parts = html.page_section()
     pages_ = paged.select("arc", "source_file", "ext", html.page_title(stem(F.col("source_file"))).alias("title"), *[parts[c].alias(c) for c in ("section_code", "section_title", "subsection_title")], without_images(F.col("markdown")).alias("markdown"))
     other = converted(chosen.where(~_is_page())).where("error IS NULL")
@@ -169,7 +179,7 @@ def chunk_manifest(records: DataFrame, settings: dict[str, int]) -> DataFrame:
 def page_links(files: DataFrame, arc: str, wiring_arc: str | None) -> DataFrame:
     """(arc, source_file, kind, raw, target, asset) of all references of an archive's pages."""
     chosen = source_files(files, arc, [".htm", ".html"])
-    refs = html.pages(chosen, "content").select("arc", "source_file", F.explode("refs").alias("r")).select("arc", "source_file", F.col("r.kind").alias("ref"), F.col("r.raw").alias("raw"))
+    refs = html.pages(chosen, "content", fields=("refs",)).select("arc", "source_file", F.explode("refs").alias("r")).select("arc", "source_file", F.col("r.kind").alias("ref"), F.col("r.raw").alias("raw"))
     refs = refs.distinct().withColumn("wiring_arc", F.lit(wiring_arc).cast("string"))
     index = file_index(files)
     hrefs = rewritten_links(refs.where("ref = 'href'"), index, href="raw")
@@ -189,7 +199,7 @@ def with_targets(chosen: DataFrame, links: DataFrame) -> DataFrame:
 def vault_pages(files: DataFrame, arc: str, wiring_arc: str | None = None, links: DataFrame | None = None) -> DataFrame:
     """Pages of a vault: file names, titles, sections, Markdown with front matter and wiki links."""
     links = page_links(files, arc, wiring_arc) if links is None else links
-    paged = html.pages(with_targets(source_files(files, arc, [".htm", ".html"]), links), "content", "targets")
+    paged = html.pages(with_targets(source_files(files, arc, [".htm", ".html"]), links), "content", "targets", ("meta", "heading", "markdown"))
     parts = html.page_section()
     rows = paged.select("arc", "source_file", html.page_title(stem(F.col("source_file"))).alias("title"), *[c.alias(n) for n, c in parts.items()], wikilinks(F.col("markdown")).alias("markdown"))
     head = F.concat_ws("\n", F.lit("---"), _field("title", quoted(F.col("title"))), _field("source_file", F.col("source_file")), _field("arc", F.col("book")), _field("section_code", F.col("section_code")), _field("section_title", quoted(F.col("section_title"))), _field("subsection_title", quoted(F.col("subsection_title"))), F.lit("---"), F.lit(""))

@@ -24,13 +24,13 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("page_titles", f"SELECT page_id, {TITLE} AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html.pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+    rows = html.pages(table(spark, sf_dir, "pages").select("page_id", "html"), fields=("meta", "heading"))
     return rows.select("page_id", html.page_title(F.concat(F.lit("P"), F.col("page_id").cast("string"))).alias("title"))
 
 
 @REGISTRY.query("page_links", "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html.pages(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.explode("refs").alias("r"))
+    rows = html.pages(table(spark, sf_dir, "pages").select("page_id", "html"), fields=("refs",)).select("page_id", F.explode("refs").alias("r"))
     return rows.where("r.kind = 'href'").groupBy("page_id", F.col("r.raw").alias("href")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,7 +115,7 @@ def training_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("page_markdown")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of every page; its form is this library's own, so no SQL says the same."""
-    return html.pages(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown", F.sha2("markdown", 256).alias("content_sha256"))
+    return html.pages(table(spark, sf_dir, "pages").select("page_id", "html"), fields=("markdown",)).select("page_id", "markdown", F.sha2("markdown", 256).alias("content_sha256"))
 
 
 @REGISTRY.query("vault_pages")

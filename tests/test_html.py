@@ -44,6 +44,9 @@ def test_pipe_tables():
     assert h.normalize_pipe_tables(fine) == fine
     assert h.normalize_pipe_tables("| only |") == "| only |"
     assert h.normalize_pipe_tables("x || y") == "x || y"
+    assert h.normalize_pipe_tables("text\n| a |\n| b |\ntext") == "text\n| a |\n| --- |\n| b |\ntext"
+    assert h.normalize_pipe_tables("a \\| b || c \\| d") == "a \\| b || c \\| d"
+    assert h.normalize_pipe_tables("a | b || c | d || e | f").split("\n") == ["| a | b |", "| --- | --- |", "| c | d |", "| e | f |"]
 
 
 def files(spark):

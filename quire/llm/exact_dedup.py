@@ -1,37 +1,54 @@
-"""Exact dedup through an extendible-hash index in the shared folder.
-
-A text's key is the first 64 bits of the SHA-256 of its normalised bytes. Map tasks send one body
-per distinct text they hold, with the local count and best row, so a group of copies costs a task
-one body however large it is. Keys are cut into ranges by their leading bits; the owner of a range
-builds its part of the directory: a bucket that holds more than ``capacity`` keys splits on the
-next bit, and where its depth equals the directory's the directory doubles. Equal keys share a
-chain whose members are told apart by comparing bytes. The buckets' entries form a Parquet table in
-the shared folder, written by Spark tasks that commit, so a lost executor's range is rebuilt alone.
-
-Rows find their entry by digest. A hot digest is spread over salts (``with_hot_key``).
-
-Defined results: null counts as the empty text, and all empty or white-space texts are equal; of
-equal texts the row with most code points stays, then the smallest doc_id (null last); of rows that
-repeat both doc_id and text, one is kept; an empty table gives an empty result; other columns are
-ignored by ``exact_groups`` and carried unchanged by ``exact_dedup``.
+"""Exact dedup through an extendible-hash index on shared files.
+
+A text's key is the first 64 bits of the SHA-256 of its normalised bytes. Three tables in the shared
+folder make the index; Spark tasks write them and commit, so a lost executor's part is made again
+alone:
+
+* the heap: a row per document, with the number (``ref``) of an equal text that its map task has met,
+  and the text itself in the row that met it first. So a group of copies costs a task one text however
+  large it is; a task compares bytes with the texts that it still holds, which a bound limits.
+* the buckets: the owners of key ranges, cut by the leading bits, read the heap's texts and insert them
+  into their part of the directory. A bucket that holds more than ``capacity`` keys splits on the next
+  bit, and where its depth equals the directory's the directory doubles. Equal keys share a chain, whose
+  members are told apart by comparing bytes. A row of the table is a ref with its bucket, its chain's
+  member and the first ref of that member, which stands for the text.
+* the directory is what the buckets' depths and prefixes say. ``probe`` makes a range's directory again
+  from the stored texts, looks up the keys of further documents and lets the chains decide by bytes.
+
+There are many ranges to a task, dealt in order, so tasks are about equally large; a task holds the
+texts of one range at a time. Groups are added up by ref before text, and rows find their group by ref:
+no key in a shuffle has more rows than a map task.
+
+Defined results: null counts as the empty text, and all empty or white-space texts are equal; very
+long texts are hashed and compared whole; of equal texts the row with most code points stays, on ties
+the one with the smallest doc_id (null last), and of rows that repeat both one; an empty table gives
+an empty result; other columns are ignored by ``exact_groups`` and carried unchanged, whatever their
+names, by ``exact_dedup``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quire.llm.shared import SPACE, SPACE_CLASS, text_or_empty, with_hot_key, written
+from quire.llm.shared import SPACE, written
 
 #: Keys a bucket may hold before it splits.
 CAPACITY = 256
-#: Normalised bytes that one owner is meant to hold at a time.
-OWNER_BYTES = 16 << 20
+#: Bytes of texts that the range of an owner is meant to have.
+OWNER_BYTES = 4 << 20
+#: Bytes of texts that a task is meant to own, and the least ranges of a task.
+TASK_BYTES, LEAST_RANGES = 64 << 20, 16
+#: Bytes of texts that a map task holds to find its copies.
+HELD_BYTES = 32 << 20
+KEY_BITS = 64
 
 
 class Bucket:
@@ -58,6 +75,10 @@ class Directory:
     def find(self, key: int) -> Bucket:
         return self.slots[self._slot(key)]
 
+    def lookup(self, key: int, body: bytes) -> object | None:
+        """The entry of an equal body under this key."""
+        return next((held for known, held in self.find(key).chains.get(key, ()) if known == body), None)
+
     def insert(self, key: int, body: bytes, entry: object) -> object:
         """The entry of an equal body under this key, else ``entry``, newly chained."""
         bucket = self.find(key)
@@ -96,133 +117,177 @@ def normalised(data: bytes) -> bytes:
     return data.translate(None, SPACE)
 
 
-def _better(a: tuple | None, b: tuple) -> tuple:
-    """Of two (code points, doc_id) pairs the one that stays."""
-    rank = lambda x: (-x[0], x[1] is None, x[1] or 0)
-    return b if a is None or rank(b) < rank(a) else a
+def _key(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:8], "big") >> (64 - bits)
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), text.cast("binary").alias("text"))
+class _Held:
+    """The texts that a map task still holds, by key, with their numbers."""
 
+    def __init__(self, bits: int, most: int) -> None:
+        self.bits, self.most, self.size, self.texts = bits, most, 0, {}
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (32 bytes) and normalised length of every row."""
+    def ref(self, body: bytes, new: int) -> tuple[int, int, bool]:
+        """The key, the number of an equal text or else ``new``, and whether it is new."""
+        key = _key(hashlib.sha256(body).digest(), self.bits)
+        for known, number in self.texts.get(key, ()):
+            if known == body:
+                return key, number, False
+        if self.size > self.most:
+            self.texts.clear()
+            self.size = 0
+        self.texts.setdefault(key, []).append((body, new))
+        self.size += len(body)
+        return key, new, True
+
+
+def make_heap(docs: DataFrame, columns: list[str], key_bits: int = KEY_BITS, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """The heap of documents with these columns, named c0, c1, ..., which hold doc_id and text.
+
+    Beside them: rid (a number of the row), n (code points), key, ref, size and ``text``, the bytes of
+    the original text in the first row of a ref, else null."""
+    at = columns.index("text") if "text" in columns else None
+    kept = docs.select(*[(F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = kept.withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    names = [f"c{i}" for i in range(len(columns))]
+    source = rows.select(*names, "id", "n", *([] if at is not None else ["text"]))
+    from_ = names[at] if at is not None else "text"
+    made = [StructField(c, LongType()) for c in ("rid", "key", "ref", "size")] + [StructField("text", BinaryType())]
+    schema = StructType([StructField(f.name, f.dataType) for f in source.schema if f.name in (*names, "id", "n")] + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rid = _Held(key_bits, held_bytes), TaskContext.get().partitionId() << 33
         for batch in batches:
-            bodies = [normalised(x.as_py()) for x in batch.column("text")]
-            columns = [batch.column("doc_id"), pa.array([hashlib.sha256(x).digest() for x in bodies], pa.binary()), pa.array([len(x) for x in bodies], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "size"])
-
-    return _source(docs).mapInArrow(run, "doc_id long, digest binary, size long")
-
-
-_LOCAL = pa.schema([("owner", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("n", pa.int64()), ("keep_id", pa.int64()), ("rows", pa.int64())])
+            out: list[list] = [[], [], [], [], []]
+            for value in batch.column(from_):
+                data = value.as_buffer()
+                data = b"" if data is None else data.to_pybytes()
+                body = normalised(data)
+                key, ref, new = held.ref(body, rid)
+                for column, x in zip(out, (rid, key - (1 << 64) if key >> 63 else key, ref, len(data), data if new else None), strict=True):
+                    column.append(x)
+                rid += 1
+            same = [batch.column(c) for c in (*names, "id", "n")]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary()), strict=True))], schema.names)
 
+    return written(source.mapInArrow(run, schema), "exact-heap")
 
-def _local(docs: DataFrame, depth: int) -> DataFrame:
-    """Per task and distinct text: its body once, then its best row and row count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
-
-        def place(digest: bytes) -> tuple[int, int]:
-            key = int.from_bytes(digest[:8], "big")
-            return key >> (64 - depth) if depth else 0, key - (1 << 64) if key >> 63 else key
-
-        for batch in batches:
-            rows = []
-            for doc_id, n, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "text")), strict=True):
-                body = normalised(text)
-                digest = hashlib.sha256(body).digest()
-                found = held.get(digest)
-                if found is None:
-                    held[digest] = [(n, doc_id), 1]
-                    rows.append((*place(digest), digest, body, None, None, None))
-                else:
-                    found[0] = _better(found[0], (n, doc_id))
-                    found[1] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LOCAL, strict=True)], schema=_LOCAL)
-        rows = [(*place(d), d, None, best[0], best[1], count) for d, (best, count) in held.items()]
-        for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 10_000], strict=True), _LOCAL, strict=True)], schema=_LOCAL)
 
-    return _source(docs).mapInArrow(run, "owner long, key long, digest binary, body binary, n long, keep_id long, rows long")
-
-
-_INDEX = pa.schema([("owner", pa.int64()), ("bucket_depth", pa.int32()), ("bucket", pa.int64()), ("chain", pa.int32()), ("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_BUCKETS = "ref long, text_ref long, owner long, bucket_depth int, bucket long, key long, chain int, digest binary"
+_BUCKET_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
 
 class _Text:
-    """What the index holds for one distinct text."""
+    """What a chain holds beside a text's bytes: the refs that have it, and its place."""
 
-    __slots__ = ("best", "digest", "rows")
+    __slots__ = ("chain", "depth", "digest", "prefix", "refs")
 
     def __init__(self, digest: bytes) -> None:
-        self.digest, self.best, self.rows = digest, None, 0
-
-
-def _own(depth: int, capacity: int):
-    """The work of an owner task: its ranges arrive one after the other, bodies before counts."""
-
-    def range_rows(owner: int, directory: Directory) -> Iterator[tuple]:
-        for bucket in directory.buckets():
-            for chain in bucket.chains.values():
-                for place, (_, text) in enumerate(chain):
-                    yield owner, depth + bucket.depth, bucket.prefix, place, text.digest, text.best[1], text.rows
-
-    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 10_000], strict=True), _INDEX, strict=True)], schema=_INDEX)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, directory, texts = None, None, {}
-        for batch in batches:
-            for owner, key, digest, body, n, keep_id, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if owner != now:
-                    if directory is not None:
-                        yield from out(list(range_rows(now, directory)))
-                    now, directory, texts = owner, Directory(capacity, depth), {}
-                if body is not None:
-                    text = directory.insert(key & (2**64 - 1), body, texts.get(digest) or _Text(digest))
-                    if text.digest != digest or texts.setdefault(digest, text) is not text:
-                        raise ValueError("two different texts share a SHA-256")
-                else:
-                    text = texts[digest]
-                    text.best = _better(text.best, (n, keep_id))
-                    text.rows += count
-        if directory is not None:
-            yield from out(list(range_rows(now, directory)))
-
-    return run
-
-
-def build_index(docs: DataFrame, total_bytes: int, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES) -> DataFrame:
-    """The index table in the shared folder: one entry per distinct text."""
-    depth = max(0, (max(1, -(-total_bytes // owner_bytes)) - 1).bit_length())
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    depth = max(depth, parts.bit_length())
-    routed = _local(docs, depth).repartition(parts, "owner")
-    ordered = routed.sortWithinPartitions("owner", F.col("body").isNull())
-    entries = ordered.mapInArrow(_own(depth, capacity), "owner long, bucket_depth int, bucket long, chain int, digest binary, keep_id long, group_size long")
-    return written(entries, "exact-index")
-
-
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES) -> DataFrame:
+        self.digest, self.refs = digest, []
+
+
+@dataclass
+class Index:
+    """The stored index: the heap, the buckets' table and how keys are cut into ranges."""
+
+    heap: DataFrame
+    buckets: DataFrame
+    depth: int
+    parts: int
+    capacity: int
+    key_bits: int
+
+    def owner(self) -> Column:
+        """The range of a key: its leading ``depth`` bits."""
+        return F.shiftrightunsigned("key", self.key_bits - self.depth) if self.depth else F.lit(0).cast("long")
+
+    def dealt(self, texts: DataFrame) -> DataFrame:
+        """Rows (ref, key, probing, text) dealt to owners in key order, a range's stored texts first."""
+        rows = texts.select("ref", "key", "probing", "text", self.owner().alias("owner"))
+        part = F.shiftright(F.col("owner") * self.parts, self.depth).cast("int")
+        return rows.repartitionById(self.parts, part).sortWithinPartitions("owner", "probing", "ref")
+
+    def owned(self, texts: DataFrame) -> DataFrame:
+        """The work of the owners: stored texts are inserted; of those that probe, the refs are added to
+        an equal stored text's, if there is one. A row for each ref that has a text."""
+        depth, capacity, bits = self.depth, self.capacity, self.key_bits
+
+        def range_rows(owner: int, directory: Directory) -> list[tuple]:
+            out = []
+            for bucket in directory.buckets():
+                for key, chain in bucket.chains.items():
+                    for place, (_, text) in enumerate(chain):
+                        known = text.refs[0]
+                        out += [(ref, known, owner, depth + bucket.depth, bucket.prefix, key - (1 << 64) if key >> 63 else key, place, text.digest) for ref in text.refs]
+            return out
+
+        def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 10_000):
+                columns = zip(*rows[i : i + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BUCKET_TYPES, strict=True)], [x.split()[0] for x in _BUCKETS.split(", ")])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, directory = None, Directory(capacity, depth, bits)
+            for batch in batches:
+                for ref, key, probing, data, owner in zip(*(batch.column(c) for c in ("ref", "key", "probing", "text", "owner")), strict=True):
+                    if owner.as_py() != now:
+                        yield from batches_of(range_rows(now, directory))
+                        now, directory = owner.as_py(), Directory(capacity, depth, bits)
+                    body, number = normalised(data.as_py()), key.as_py() & (1 << bits) - 1
+                    if probing.as_py():
+                        text = directory.lookup(number, body)
+                    else:
+                        text = directory.insert(number, body, _Text(hashlib.sha256(body).digest()))
+                    if text is not None:
+                        text.refs.append(ref.as_py())
+            yield from batches_of(range_rows(now, directory))
+
+        return self.dealt(texts).mapInArrow(run, _BUCKETS)
+
+
+def _texts(heap: DataFrame, probing: bool) -> DataFrame:
+    return heap.where("text IS NOT NULL").select("ref", "key", F.lit(probing).alias("probing"), "text")
+
+
+def build_index(heap: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES, key_bits: int = KEY_BITS) -> Index:
+    """The index of a heap, its buckets written to the shared folder."""
+    total = heap.where("text IS NOT NULL").agg(F.sum("size")).first()[0] or 0
+    parts = max(int(heap.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    ranges = max(-(-total // owner_bytes), LEAST_RANGES * parts)
+    depth = min((ranges - 1).bit_length(), key_bits)
+    index = Index(heap, heap, depth, min(parts, 1 << depth), capacity, key_bits)
+    index.buckets = written(index.owned(_texts(heap, False)), "exact-buckets")
+    return index
+
+
+def probe(index: Index, docs: DataFrame) -> DataFrame:
+    """doc_id, and for further documents whose text the index has, the ref that stands for it."""
+    heap = make_heap(docs.select("doc_id", "text"), [], index.key_bits)
+    new = heap.select("rid", F.col("id").alias("doc_id"), F.col("ref").alias("own"))
+    # Refs of the probes are told from stored ones by their sign.
+    probes = _texts(heap, True).withColumn("ref", -1 - F.col("ref"))
+    found = index.owned(_texts(index.heap, False).unionByName(probes)).where("ref < 0").select((-1 - F.col("ref")).alias("own"), "text_ref")
+    return new.join(found, "own", "left").select("doc_id", "text_ref")
+
+
+def _groups(index: Index) -> DataFrame:
+    """text_ref, with the row that stays (first_rid, keep_id) and the number of rows."""
+    order = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), "id", "rid")
+    by_ref = index.heap.groupBy("ref").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
+    found = by_ref.join(index.buckets.select("ref", "text_ref"), "ref").groupBy("text_ref").agg(F.min("best").alias("best"), F.sum("rows").alias("group_size"))
+    return found.select("text_ref", F.col("best.rid").alias("first_rid"), F.col("best.id").alias("keep_id"), "group_size")
+
+
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES, key_bits: int = KEY_BITS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket_depth, chain."""
-    rows = written(digests(docs), "exact-digests")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    index = build_index(docs, total, capacity, owner_bytes).select("digest", "keep_id", "group_size", "bucket_depth", "chain")
-    found = with_hot_key(rows.select("doc_id", "digest"), index, ["digest"], "doc_id", keep_salt=True)
-    turn = F.row_number().over(Window.partitionBy("digest", "_salt", "doc_id").orderBy("keep_id"))
+    index = build_index(make_heap(docs, [], key_bits, held_bytes), capacity, owner_bytes, key_bits)
+    facts = index.buckets.select("ref", "text_ref", "digest", "bucket_depth", "chain").join(_groups(index), "text_ref").drop("text_ref")
+    found = index.heap.select("rid", "id", "ref").join(facts, "ref")
     return found.select(
-        "doc_id",
+        F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"),
+        (F.col("rid") == F.col("first_rid")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "bucket_depth",
         "chain",
@@ -231,11 +296,10 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = O
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents without copies, all their columns unchanged."""
-    stay = exact_groups(docs, capacity).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_digest", F.sha2(F.regexp_replace(text_or_empty(), SPACE_CLASS, ""), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")) & (F.col("_digest") == F.col("_sha"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy("_digest"))
-    return rows.join(stay, same, "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*[rows[c] for c in docs.columns])
+    index = build_index(make_heap(docs, docs.columns), capacity)
+    rows = index.heap.select("rid", *[f"c{i}" for i in range(len(docs.columns))])
+    stay = _groups(index).select(F.col("first_rid").alias("rid"))
+    return rows.join(stay, "rid", "left_semi").drop("rid").toDF(*docs.columns)
 
 
 ORACLE = r"""

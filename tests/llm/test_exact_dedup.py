@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from quire.llm import exact_dedup as x
 from quire.llm.exact_dedup import Directory, exact_dedup, exact_groups
 from tests.llm import cases
 
@@ -27,10 +28,12 @@ def order(rows):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("capacity", [1, 256])
-def test_groups(spark, capacity):
+@pytest.mark.parametrize(("capacity", "key_bits", "held"), [(1, 64, 0), (256, 64, x.HELD_BYTES), (4, 16, 100), (1, 2, x.HELD_BYTES), (2, 1, 0)])
+def test_groups(spark, capacity, key_bits, held):
+    """Short keys put different texts into one chain; bytes tell them apart."""
     rows = cases.ROWS + [(100 + i, f"text {i % 37}", "en", "a", 1) for i in range(300)]
-    got = exact_groups(cases.table(spark, rows).repartition(5), capacity, owner_bytes=200).collect()
+    got = exact_groups(cases.table(spark, rows).repartition(5), capacity, 200, key_bits, held).collect()
+    assert (max(r.chain for r in got) > 0) == (key_bits < 16)
     assert order([(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got]) == order(brute(rows))
 
 
@@ -44,6 +47,49 @@ def test_dedup_keeps_columns(spark):
     assert len(kept) == len(cases.ROWS)
 
 
+def test_one_key_for_two_texts(spark):
+    """Two texts that share all 16 bits of their key are kept apart, in the build and by a probe."""
+    seen, i = {}, 0
+    while (key := x._key(hashlib.sha256(b"text%d" % i).digest(), 16)) not in seen:
+        seen[key] = i
+        i += 1
+    docs = spark.createDataFrame([(1, f"text{seen[key]}"), (2, f"text {i}"), (3, f"text{i}"), (4, f"text {seen[key]}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in exact_groups(docs.repartition(2), key_bits=16).collect()}
+    assert [got[d].keep_id for d in (1, 2, 3, 4)] == [4, 2, 2, 4] and {r.chain for r in got.values()} == {0, 1}
+    index = x.build_index(x.make_heap(docs.where("doc_id <> 1"), [], 16), key_bits=16)
+    found = {r.doc_id: r.text_ref for r in x.probe(index, docs.union(spark.createDataFrame([(5, "other"), (None, None)], docs.schema))).collect()}
+    assert found[1] == found[4] != found[2] == found[3] and found[5] is None and found[None] is None
+
+
+def test_buckets_are_stored(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    index = x.build_index(x.make_heap(docs, []), capacity=3)
+    rows = index.buckets.collect()
+    sizes = {}
+    for r in rows:
+        key = r.key & (1 << 64) - 1
+        assert key >> (64 - r.bucket_depth) == r.owner << (r.bucket_depth - index.depth) | r.bucket
+        sizes.setdefault((r.owner, r.bucket_depth, r.bucket), set()).add(key)
+    assert len(rows) == 500 and max(map(len, sizes.values())) <= 3
+    dealt = index.dealt(x._texts(index.heap, False)).groupBy(x.F.spark_partition_id()).count().collect()
+    assert len(dealt) == index.parts and max(r["count"] for r in dealt) < 2 * 500 / index.parts
+
+
+def test_any_column_names(spark):
+    names = ["rid", "key", "ref", "size", "n", "id", "c0", "c1", "text_ref", "owner", "_digest", "_turn", "_stay", "_sha", "a.b"]
+    docs = cases.table(spark, extra=False).select("*", *[x.F.concat(x.F.lit(f"{c} "), "doc_id").alias(c) for c in names])
+    got = exact_dedup(docs)
+    assert got.columns == docs.columns
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert all(tuple(r) == tuple(rows[r.doc_id]) for r in got.collect()) and exact_groups(docs).count() == docs.count()
+
+
+def test_very_long_text(spark):
+    text = "ab c" * 500_000
+    docs = spark.createDataFrame([(1, text), (2, text.replace(" ", "")), (3, text + "d")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in exact_groups(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_empty_table(spark):
     assert exact_groups(cases.empty(spark)).count() == 0
     assert exact_dedup(cases.empty(spark)).count() == 0

@@ -11,9 +11,11 @@ row at the cut gives only the words that are left.
 No range holds more than about ``RANGE_ROWS`` rows or 1/256 of a source, so a hot source is spread
 over as many tasks as any other rows; only doc_id, source, size and key are shuffled.
 
-Defined results: null or wordless texts have size 0 and are never taken; a null source is a source
-of its own, after the others; equal keys are ordered by doc_id; an empty table gives an empty
-result; other columns are ignored by ``mix`` and carried unchanged by ``mixed_documents``.
+Defined results: null or wordless texts have size 0 and are never taken; very long texts count whole; a
+null source is a source of its own, after the others; ties between equal keys, such as those of rows
+with one doc_id or none, are ordered by doc_id and size, and rows that repeat both take their turns in
+any order, which changes no result; an empty table gives an empty result; other columns are ignored
+by ``mix`` and carried unchanged, whatever their names, by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ WITH ranked AS (
     all_w - CAST(coalesce(sum(w) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest_w
   FROM ordered
 ), open AS (
-  SELECT *, min(CASE WHEN cap * rest_w >= rest * w THEN pos END) OVER () AS first_open FROM before
+  SELECT *, min(CASE WHEN CAST(cap AS DOUBLE) * rest_w >= CAST(rest AS DOUBLE) * w THEN pos END) OVER () AS first_open FROM before
 ), final AS (
   SELECT *, max(CASE WHEN pos = first_open THEN rest END) OVER () AS open_rest,
     max(CASE WHEN pos = first_open THEN rest_w END) OVER () AS open_w
@@ -117,10 +119,12 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, range_rows: int = RANGE_R
     turn = Window.partitionBy("_id", "_size").orderBy("_id")
     plan = plan.withColumn("_turn", F.row_number().over(turn.orderBy(F.desc("_copies"))))
     size = F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.withColumn("_n", size)
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_n").orderBy("doc_id")))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & (F.col("_row") == F.col("_turn"))
-    return rows.join(plan, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[rows[c] for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("doc_id").cast("long").alias("_doc"), size.alias("_n"))
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_doc", "_n").orderBy("_doc")))
+    match = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & (F.col("_row") == F.col("_turn"))
+    taken_rows = rows.join(plan, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return taken_rows.select(*names).toDF(*docs.columns)
 
 
 ORACLE = rf"""

@@ -5,6 +5,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.llm.source_mix import mix, mixed_documents, targets
 from tests.llm import cases
@@ -69,6 +70,16 @@ def test_documents_follow_the_mix(spark):
     assert got.count() == want
 
 
+def test_any_column_names(spark):
+    docs = cases.table(spark, cases.ROWS + [(None, "no id here", "en", "c", 1)], extra=False)
+    for name in ("_n", "_copies", "_copy", "_id", "_doc", "_row", "_turn", "_size", "c0", "c1", "taken", "a.b"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.lit(" of "), F.coalesce("text", F.lit("none"))))
+    got = mixed_documents(docs)
+    rows = {tuple(map(str, r)) for r in docs.collect()}
+    assert got.columns == docs.columns and {tuple(map(str, r)) for r in got.collect()} <= rows
+    assert got.count() == mixed_documents(docs.select("doc_id", "text", "source")).count() > 0
+
+
 def test_empty_table(spark):
     assert mix(cases.empty(spark)).count() == 0
     assert mixed_documents(cases.empty(spark)).count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import basename
-from quire.operators import corpora, lookup, scoring
+from quire.operators import corpora, lookup, ordered, scoring
 from quire.operators.chunking import OVERLAP_WORDS, TARGET_WORDS, chunk_settings
 from quire.sources import archive, sinks
 
@@ -41,17 +41,21 @@ def list_archives(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> int:
     files, ext = archive.archives(spark, a.input), archive.wanted_extensions(a.ext) if a.ext else None
-    rows = archive.extract(files, ext).where("error IS NULL")
+    rows = archive.extracted(archive.read_raw(spark, a.input, ext)).where("error IS NULL")
+    # Of archives of one name the last by path stays.
+    rows = ordered.last_wins(rows, ["arc", "filename"], ["path"])
     sinks.write_files(rows.withColumn("name", F.concat("arc", F.lit("/"), "filename")), a.output, "name", "payload")
     _show(archive.extract_totals(files, ext))
     return 0
 
 
 def probe(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = scoring.probe(archive.with_raw(archive.archives(spark, a.input)), a.name)
+    rows = scoring.probe(archive.read_raw(spark, a.input), a.name)
     if rows.isEmpty():
         return 1
-    sinks.write_files(rows.withColumn("path", F.concat("arc", F.lit("/"), "entry_index", F.lit("/"), "file_name")), a.output, "path", "payload")
+    # Of archives of one name the last by path stays.
+    rows = ordered.last_wins(rows, ["arc", "entry_index", "file_name"], ["path"])
+    sinks.write_files(rows.withColumn("out", F.concat("arc", F.lit("/"), "entry_index", F.lit("/"), "file_name")), a.output, "out", "payload")
     _show(rows.select("arc", "entry_index", "variant", F.octet_length("payload").alias("n_bytes"), "sha256"))
     return 0
 
@@ -61,7 +65,7 @@ def score(spark: SparkSession, a: argparse.Namespace) -> int:
     report = scoring.read_report(spark, a.report)
     if scoring.mismatches(report, a.limit).isEmpty():
         return 1
-    scored = scoring.score_report(report, archive.with_raw(archive.archives(spark, a.input)), spark.read.parquet(a.remote), a.limit)
+    scored = scoring.score_report(report, archive.read_raw(spark, a.input), spark.read.parquet(a.remote), a.limit)
     sinks.write_report(scored.coalesce(1), a.output)
     _show(scoring.status_counts(spark.read.csv(a.output, header=True)))
     return 0
@@ -88,7 +92,7 @@ def vault(spark: SparkSession, a: argparse.Namespace) -> int:
 def training(spark: SparkSession, a: argparse.Namespace) -> int:
     ext = archive.wanted_extensions(a.ext, tuple(corpora.TRAINING_EXTENSIONS))
     records, _, manifest = corpora.training_corpus(extracted_files(spark, a.root), a.arc, ext)
-    sinks.write_jsonl(records, f"{a.output}/{a.arc.upper()}/training_corpus")
+    sinks.write_jsonl(records, f"{a.output}/{a.arc.upper()}/training_corpus", order=["source_path"])
     sinks.write_text(sinks.manifest_json(manifest), spark, f"{a.output}/{a.arc.upper()}/manifest.json")
     return 0
 
@@ -101,7 +105,7 @@ def chunks(spark: SparkSession, a: argparse.Namespace) -> int:
     corpora.chunk_export(extracted_files(spark, a.root), arc, wiring, target, overlap, ext).write.parquet(f"{out}/records")
     # The records are read back, so that three sinks cost one pass over the pages.
     records = spark.read.parquet(f"{out}/records")
-    sinks.write_jsonl(records.drop("file_name"), f"{out}/chunks")
+    sinks.write_jsonl(records.drop("file_name"), f"{out}/chunks", order=["source_path", "chunk_index"])
     sinks.write_files(records, f"{out}/notes", "file_name", "text")
     sinks.write_text(sinks.manifest_json(corpora.chunk_manifest(records, {"target_words": target, "overlap_words": overlap})), spark, f"{out}/manifest.json")
     return 0

@@ -36,26 +36,37 @@ def starts(data: Column, *prefixes: bytes, fold: bool = False) -> Column:
     return reduce(lambda a, b: a | b, map(one, prefixes))
 
 
+# Signatures of content types in their order: prefixes, whether ASCII case matters not,
+# whether a brace must follow among the first 50 bytes, extension.
+SIGNATURES = [
+    ((b"GIF89a", b"GIF87a"), False, False, ".gif"),
+    ((b"\x89PNG\r\n\x1a\n",), False, False, ".png"),
+    ((b"\xff\xd8",), False, False, ".jpg"),
+    ((b"%PDF",), False, False, ".pdf"),
+    ((b"<html",), True, False, ".htm"),
+    ((b"<svg",), True, False, ".svg"),
+    ((b"<workunit>",), True, False, ".xml"),
+    ((b"; ",), False, False, ".wcf"),
+    ((b"A ", b"A{", b"BO", b"/*", b".p", b".P"), False, True, ".css"),
+    ((b"body ", b"body{", b"a {co", b"a{col"), True, False, ".css"),
+]
+
+
 def sniff_extension(data: Column) -> Column:
-    """A file extension from the first bytes; the first rule that fits decides."""
-    # Signatures of the content types.
+    """A file extension from the first bytes; the first signature that fits decides."""
     brace = F.instr(F.decode(F.substring(data, F.lit(1), F.lit(50)), "ISO-8859-1"), "{") > 0
-    rules = [
-        (starts(data, b"GIF89a", b"GIF87a"), ".gif"),
-        (starts(data, b"\x89PNG\r\n\x1a\n"), ".png"),
-        (starts(data, b"\xff\xd8"), ".jpg"),
-        (starts(data, b"%PDF"), ".pdf"),
-        (starts(data, b"<html", fold=True), ".htm"),
-        (starts(data, b"<svg", fold=True), ".svg"),
-        (starts(data, b"<workunit>", fold=True), ".xml"),
-        (starts(data, b"; "), ".wcf"),
-        (starts(data, b"A ", b"A{", b"BO", b"/*", b".p", b".P") & brace, ".css"),
-        (starts(data, b"body ", b"body{", b"a {co", b"a{col", fold=True), ".css"),
-    ]
+    rules = [(starts(data, *prefixes, fold=fold) & (brace if braced else F.lit(True)), ext) for prefixes, fold, braced, ext in SIGNATURES]
     first = reduce(lambda chain, rule: chain.when(*rule), rules[1:], F.when(*rules[0]))
     return first.otherwise(".bin")
 
 
+def sniffed(data: bytes) -> str:
+    """The same for one value, from the same signatures."""
+    low = data[:16].lower()
+    fits = (ext for prefixes, fold, braced, ext in SIGNATURES if (low if fold else data).startswith(prefixes) and (not braced or b"{" in data[:50]))
+    return next(fits, ".bin")
+
+
 def common_prefix(a: Column, b: Column, bits: int = 31) -> Column:
     """Length of the longest common prefix, by halving steps."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])

@@ -30,7 +30,8 @@ def first_entries(entries: DataFrame, names: DataFrame) -> DataFrame:
     """Of the entries that are asked for, the first of each name by archive and position."""
     wanted = names.select(F.lower(basename(F.col("filename"))).alias("key")).distinct()
     rows = entries.withColumn("key", F.lower("filename")).join(wanted, "key", "left_semi")
-    return keep_first(rows, ["key"], [F.col("arc"), F.col("entry_index")])
+    paths = [F.col("path")] if "path" in entries.columns else []
+    return keep_first(rows, ["key"], [F.col("arc"), *paths, F.col("entry_index")])
 
 
 def best_candidates(scored: DataFrame, keys: list[str], out: list[str]) -> DataFrame:

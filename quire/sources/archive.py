@@ -1,14 +1,17 @@
 """Archives as tables: directory archives, and block archives whose names are inferred.
 
-``read_entries`` works on any file system that Spark reads. ``ArchiveSource`` is a Python data source
-for files of any size on a mounted file system: it reads the directory only and then byte ranges, so
-one archive becomes many partitions, and filters on names are applied before any payload is read."""
+``entries_of`` reads the directory of one archive through a function that gives byte ranges. Two ways
+lead to it: ``archives`` takes whole files from any store that Spark reads (up to 2 GiB each) and cuts
+their entries out in the same scan, without a shuffle; the data source ``archive`` takes files on a mounted
+file system, reads directories only and then byte ranges, so that one archive becomes many
+partitions. Both test names before any payload is read or decoded. Archives are told apart by their
+paths, as two folders may hold archives of one name."""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,17 +19,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from quire.functions.binary import little_endian, sniff_extension, starts, tag_text
+from quire.functions.binary import sniffed, starts
 from quire.functions.decode import BLOCK_MAGIC, BadReference, decoded, parse_block
 from quire.functions.text import extension
-from quire.operators.ordered import repaired_sizes
 
 # Fixed values of the formats: magics, the directory's start and the width of its entries.
 DIRECTORY_MAGIC, BLOCKS_MAGIC = b"BAY POD\x02", b"POD BAY\x01"
 DIRECTORY_AT, ENTRY_SIZE = 16, 16
 
-ENTRY = "arc string, entry_index int, filename string, data_offset bigint, size bigint"
+ENTRY = "path string, arc string, entry_index int, filename string, data_offset bigint, size bigint"
 ARC_NAME = "^(.*/)?([^/]*?)(\\.[^./]*)?$"
+#: Bytes of a batch of entries.
+BATCH_BYTES = 16 << 20
+
+#: ``size`` bytes of an archive from an offset on.
+Read = Callable[[int, int], bytes]
+
+
+@dataclass(frozen=True)
+class Entry:
+    """One entry: its place in the directory, its name, where it lies."""
+
+    index: int
+    name: str
+    offset: int
+    size: int
 
 
 def archive_name(path: Column) -> Column:
@@ -44,18 +61,28 @@ def container_kind(content: Column) -> Column:
     return F.when(starts(content, DIRECTORY_MAGIC), "directory").when(starts(content, BLOCKS_MAGIC), "blocks").otherwise("unknown")
 
 
-def directory_entries(files: DataFrame) -> DataFrame:
-    """Entries of directory archives, decoded from the bytes by SQL functions, sizes repaired."""
-    rows = files.where(container_kind(F.col("content")) == "directory")
-    count = little_endian(F.col("content"), 10, 3).cast("int")
-    rows = rows.withColumn("_n", count).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.withColumn("_e", F.substring("content", F.col("_i") * ENTRY_SIZE + DIRECTORY_AT + 1, F.lit(ENTRY_SIZE))).where(F.octet_length("_e") == ENTRY_SIZE)
-    entry = F.col("_e")
-    name = F.substring("content", (F.col("_n") * ENTRY_SIZE + DIRECTORY_AT + 2 + little_endian(entry, 2, 3)).cast("int"), little_endian(entry, 6, 1).cast("int"))
-    text = F.decode(name, "ISO-8859-1")
-    plain = F.when(~text.rlike("[^\\x00-\\x7f]"), text).otherwise(F.format_string("file_%05d", "_i"))
-    found = rows.select("arc", F.col("_i").alias("entry_index"), plain.alias("filename"), little_endian(entry, 10, 4).alias("data_offset"), little_endian(entry, 14, 2).alias("size"), "archive_size")
-    return repaired_sizes(found)
+def _number(data: bytes, at: int, width: int) -> int:
+    return int.from_bytes(data[at : at + width], "little")
+
+
+def directory_entries(read: Read, total: int) -> list[Entry]:
+    """Entries of a directory archive; names that are not ASCII get a number.
+
+    Sizes are stored modulo 65,536: one is the gap to the next offset where that differs from it by a
+    multiple of 65,536. Entries without an offset keep theirs."""
+    head = read(0, DIRECTORY_AT)
+    table = read(DIRECTORY_AT, _number(head, 9, 3) * ENTRY_SIZE)
+    names = read(DIRECTORY_AT + _number(head, 9, 3) * ENTRY_SIZE + 1, max(_number(head, 13, 3), 1 << 16))
+    rows = [table[i : i + ENTRY_SIZE] for i in range(0, len(table) - ENTRY_SIZE + 1, ENTRY_SIZE)]
+    offsets = sorted((_number(row, 9, 4), i) for i, row in enumerate(rows) if any(row[9:13]))
+    ends = {i: end for (_, i), end in zip(offsets, [*(at for at, _ in offsets[1:]), total], strict=False)}
+    out = []
+    for i, row in enumerate(rows):
+        at, stored, name_at = _number(row, 9, 4), _number(row, 13, 2), _number(row, 1, 3)
+        name, gap = names[name_at : name_at + row[5]], ends.get(i, at) - at
+        size = gap if gap > stored and (gap - stored) % 65536 == 0 else stored
+        out.append(Entry(i, name.decode("ascii") if name.isascii() else f"file_{i:05d}", at, size))
+    return out
 
 
 @dataclass
@@ -83,63 +110,81 @@ def scan_blocks(data: bytes) -> list[Block]:
     return out
 
 
-_BLOCK_ROW = pa.schema([("arc", pa.string()), ("entry_index", pa.int32()), ("data_offset", pa.int64()), ("size", pa.int64()), ("payload", pa.binary())])
+def named_blocks(arc: str, blocks: list[Block]) -> list[Entry]:
+    """Blocks with inferred names, without empty ones and work-unit descriptions.
 
+    The last work unit that names a file names the largest page (the first of equally large ones);
+    other pages are numbered, style sheets derive from it, everything else is numbered by type."""
+    kinds = {b.index: sniffed(b.payload) for b in blocks if b.payload}
+    units = [re.search(rb"(?i)<filename>([^<]+)</filename>", b.payload) for b in blocks if b.payload and kinds[b.index] == ".xml"]
+    main = next((name for m in reversed(units) if m and (name := m[1].decode("ascii", "replace").strip())), None)
+    pages = [b for b in blocks if kinds.get(b.index) == ".htm"]
+    largest = max(pages, key=lambda b: len(b.payload), default=None)
+    stem, base, count, out = os.path.splitext(main)[0] if main else arc.lower(), arc.lower(), {}, []
+    for b in blocks:
+        kind = kinds.get(b.index)
+        if kind in (None, ".xml"):
+            continue
+        n = count[kind] = count.get(kind, 0) + 1
+        names = {".htm": main if main and b is largest else f"{stem}_{n}.htm", ".wcf": f"{base}.wcf", ".css": f"{stem}s.htm"}
+        out.append(Entry(b.index, names.get(kind, f"{base}_{n}{kind}"), b.start, b.size))
+    return out
 
-def block_rows(files: DataFrame) -> DataFrame:
-    """(arc, entry_index, data_offset, size, payload) of every block of block archives."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for arc, content in zip(batch.column("arc"), batch.column("content"), strict=True):
-                blocks = scan_blocks(content.as_py())
-                if blocks:
-                    columns = [[arc.as_py()] * len(blocks), [b.index for b in blocks], [b.start for b in blocks], [b.size for b in blocks], [b.payload for b in blocks]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK_ROW, strict=True)], schema=_BLOCK_ROW)
+def entries_of(arc: str, read: Read, total: int) -> list[Entry]:
+    """The entries of one archive; unknown containers have none. Of a directory archive no payload is
+    read; a block archive has to be read whole, as its names lie in it."""
+    magic = read(0, 8)
+    if magic == BLOCKS_MAGIC:
+        return named_blocks(arc, scan_blocks(read(0, total)))
+    return directory_entries(read, total) if magic == DIRECTORY_MAGIC else []
 
-    rows = files.where(container_kind(F.col("content")) == "blocks").select("arc", "content")
-    return rows.mapInArrow(run, "arc string, entry_index int, data_offset bigint, size bigint, payload binary")
 
+def _has(extensions: list[str] | None, name: str) -> bool:
+    """Whether a name has one of the extensions, in any case; all have if none are given."""
+    return not extensions or os.path.splitext(name)[1].lower() in extensions
 
-def named_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks with inferred names, without empty ones and work-unit descriptions.
 
-    The last work unit that names a file names the largest page (the first of equally large ones);
-    other pages are numbered, style sheets derive from it, everything else is numbered by type."""
-    from pyspark.sql.window import Window
-
-    rows = blocks.where(F.octet_length("payload") > 0).withColumn("ext", sniff_extension(F.col("payload")))
-    text = F.decode("payload", "ISO-8859-1")
-    unit = F.when(starts(F.col("payload"), b"<workunit>", fold=True), F.trim(F.coalesce(tag_text(text, "filename"), F.lit(""))))
-    page = F.col("ext") == ".htm"
-    about = rows.withColumn("_unit", F.when(unit != "", unit)).groupBy("arc").agg(
-        F.max_by("_unit", F.when(F.col("_unit").isNotNull(), F.col("entry_index"))).alias("main"),
-        F.max(F.when(page, F.struct(F.octet_length("payload").alias("n"), (-F.col("entry_index")).alias("i")))).alias("_largest"),
-        F.count_if(page).alias("_pages"),
-    )
-    number = F.row_number().over(Window.partitionBy("arc", "ext").orderBy("entry_index"))
-    rows = rows.join(about, "arc").withColumn("_n", number).where("ext <> '.xml'")
-    arc, main = F.lower("arc"), F.col("main")
-    stem = F.coalesce(F.regexp_replace(main, "(?<=.)\\.[^.]*$", ""), arc)
-    is_main = main.isNotNull() & ((F.col("_largest.i") == -F.col("entry_index")) | (F.col("_pages") == 1))
-    name = (
-        F.when((F.col("ext") == ".htm") & is_main, main)
-        .when(F.col("ext") == ".htm", F.concat(stem, F.lit("_"), F.col("_n").cast("string"), F.lit(".htm")))
-        .when(F.col("ext") == ".wcf", F.concat(arc, F.lit(".wcf")))
-        .when(F.col("ext") == ".css", F.concat(stem, F.lit("s.htm")))
-        .otherwise(F.concat(arc, F.lit("_"), F.col("_n").cast("string"), "ext"))
-    )
-    return rows.select("arc", "entry_index", name.alias("filename"), "data_offset", "size", "payload")
+def _from_files(files: DataFrame, extensions: list[str] | None, payload: bool) -> DataFrame:
+    """Entries, cut out of the files' content in the scan; batches are bounded by bytes."""
+    schema = pa.schema([("path", pa.string()), ("arc", pa.string()), ("entry_index", pa.int32()), ("filename", pa.string()), ("data_offset", pa.int64()), ("size", pa.int64())] + [("raw", pa.binary())] * payload)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for path, arc, value in zip(batch.column("path").to_pylist(), batch.column("arc").to_pylist(), batch.column("content"), strict=True):
+                data = memoryview(value.as_buffer() or b"")
+                for e in entries_of(arc, lambda at, n, data=data: bytes(data[at : at + n]), len(data)):
+                    row = (path, arc, e.index, e.name, e.offset, e.size)
+                    if not _has(extensions, e.name):
+                        continue
+                    if payload:
+                        raw = bytes(data[e.offset : e.offset + e.size]) if e.offset else b""
+                        if not raw:
+                            continue
+                        row, held = (*row, raw), held + len(raw)
+                    rows.append(row)
+                    if held > BATCH_BYTES or len(rows) >= 10_000:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    known = files.where(container_kind(F.col("content")) != "unknown").select("path", "arc", "content")
+    return known.mapInArrow(run, ENTRY + (", raw binary" if payload else ""))
 
 
 def list_entries(files: DataFrame) -> DataFrame:
     """Entries of all archives without payloads; unknown containers have none."""
-    return directory_entries(files).select("arc", "entry_index", "filename", "data_offset", "size").unionByName(named_blocks(block_rows(files)).drop("payload"))
+    return _from_files(files, None, False)
 
 
 def skipped_archives(files: DataFrame) -> DataFrame:
-    """(arc, magic) of files that are no known container."""
-    return files.where(container_kind(F.col("content")) == "unknown").select("arc", F.hex(F.substring("content", 1, 8)).alias("magic"))
+    """(path, arc, magic) of files that are no known container."""
+    return files.where(container_kind(F.col("content")) == "unknown").select("path", "arc", F.hex(F.substring("content", 1, 8)).alias("magic"))
 
 
 def wanted_extensions(values: list[str] | str | None, default: tuple[str, ...] = ()) -> list[str]:
@@ -152,29 +197,42 @@ def wanted_extensions(values: list[str] | str | None, default: tuple[str, ...] =
 def with_raw(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
     """Entries with their raw bytes; those without offset, size or bytes are left out.
 
-    The extension test runs on the directory, before any bytes are cut out."""
-    entries = list_entries(files)
-    if extensions:
-        entries = entries.where(extension(F.col("filename")).isin(extensions))
-    joined = entries.where("data_offset <> 0 AND size <> 0").join(files.select("arc", "content"), "arc")
-    cut = F.substring("content", (F.col("data_offset") + 1).cast("int"), F.col("size").cast("int"))
-    return joined.select("arc", "entry_index", "filename", "data_offset", "size", cut.alias("raw")).where(F.octet_length("raw") > 0)
+    Extensions are tested on the directory, before any bytes are cut out."""
+    return _from_files(files, extensions, True)
 
 
-def extract(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
-    """Entries with decoded payloads; of entries with the same name in an archive the last stays."""
+def read_raw(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
+    """The same of all archives under a path: by the data source, which reads only the entries with
+    these extensions, where the path is mounted, else from whole files."""
+    mounted = path.removeprefix("file://")
+    if not os.path.exists(mounted):
+        return with_raw(archives(spark, path), extensions)
+    register(spark)
+    source = spark.read.format("archive").option("payload", "true").option("extensions", ",".join(extensions or ()))
+    return source.load(mounted).where(F.octet_length("raw") > 0)
+
+
+def extracted(raw: DataFrame) -> DataFrame:
+    """Raw entries with decoded payloads; of entries with the same name in an archive the last stays."""
     from quire.operators.ordered import last_wins
 
-    rows = decoded(with_raw(files, extensions)).where("error IS NOT NULL OR octet_length(payload) > 0")
-    return last_wins(rows, ["arc", "filename"], ["entry_index"])
+    rows = decoded(raw).where("error IS NOT NULL OR octet_length(payload) > 0")
+    return last_wins(rows, ["path", "filename"], ["entry_index"])
+
+
+def extract(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
+    """Entries of archives with decoded payloads."""
+    return extracted(with_raw(files, extensions))
 
 
 def extract_totals(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
-    """n_files, n_skipped and n_bytes per archive and, with a null arc, over all."""
-    entries = list_entries(files).select("arc", "entry_index")
-    rows = decoded(with_raw(files, extensions)).where("octet_length(payload) > 0").select("arc", "entry_index", F.octet_length("payload").alias("n"))
-    both = entries.join(rows, ["arc", "entry_index"], "left")
-    return both.rollup("arc").agg(F.count_if(F.col("n").isNotNull()).alias("n_files"), F.count_if(F.col("n").isNull()).alias("n_skipped"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_bytes"))
+    """n_files, n_skipped and n_bytes per archive and, with nulls for path and arc, over all."""
+    entries = list_entries(files).select("path", "arc", "entry_index")
+    rows = decoded(with_raw(files, extensions)).where("octet_length(payload) > 0").select("path", "entry_index", F.octet_length("payload").alias("n"))
+    both = entries.join(rows, ["path", "entry_index"], "left").groupBy("path", "arc")
+    counts = both.agg(F.count_if(F.col("n").isNotNull()).alias("n_files"), F.count_if(F.col("n").isNull()).alias("n_skipped"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_bytes"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_files", "n_skipped", "n_bytes")]
+    return counts.unionByName(counts.agg(*sums), allowMissingColumns=True)
 
 
 def extension_histogram(entries: DataFrame) -> DataFrame:
@@ -182,15 +240,30 @@ def extension_histogram(entries: DataFrame) -> DataFrame:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, entries: list[tuple[int, str, int, int]]) -> None:
+    def __init__(self, path: str, entries: list[Entry]) -> None:
         self.path, self.entries = path, entries
 
 
+def _arc_of(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
+def file_entries(path: str) -> list[Entry]:
+    """The entries of an archive on a mounted file system."""
+    with open(path, "rb") as file:
+
+        def read(at: int, n: int) -> bytes:
+            file.seek(at)
+            return file.read(n)
+
+        return entries_of(_arc_of(path), read, os.path.getsize(path))
+
+
 class ArchiveReader(DataSourceReader):
-    """Plans byte ranges of directory archives and whole block archives."""
+    """Plans byte ranges of the entries that filters on extension, name and archive leave."""
 
-    def __init__(self, path: str, payload: bool, range_bytes: int) -> None:
-        self.path, self.payload, self.range_bytes = path, payload, range_bytes
+    def __init__(self, path: str, payload: bool, range_bytes: int, extensions: list[str]) -> None:
+        self.path, self.payload, self.range_bytes, self.extensions = path, payload, range_bytes, extensions
         self.names: set[str] | None = None
         self.arcs: set[str] | None = None
 
@@ -212,14 +285,14 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in self._files():
-            arc = os.path.splitext(os.path.basename(path))[0]
-            if self.arcs is not None and arc not in self.arcs:
+            if self.arcs is not None and _arc_of(path) not in self.arcs:
                 continue
-            entries = [e for e in file_directory(path) if self.names is None or e[1] in self.names]
             held, size = [], 0
-            for e in entries:
+            for e in file_entries(path):
+                if (self.names is not None and e.name not in self.names) or not _has(self.extensions, e.name):
+                    continue
                 held.append(e)
-                size += e[3]
+                size += e.size
                 if size >= self.range_bytes:
                     out.append(_Range(path, held))
                     held, size = [], 0
@@ -228,77 +301,17 @@ class ArchiveReader(DataSourceReader):
         return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        arc = os.path.splitext(os.path.basename(partition.path))[0]
         with open(partition.path, "rb") as file:
-            for index, name, offset, size in partition.entries:
-                row = (arc, index, name, offset, size)
+            for e in partition.entries:
+                row = (partition.path, _arc_of(partition.path), e.index, e.name, e.offset, e.size)
                 if self.payload:
-                    file.seek(offset)
-                    row += (file.read(size) if offset and size else b"",)
+                    file.seek(e.offset)
+                    row += (file.read(e.size) if e.offset and e.size else b"",)
                 yield row
 
 
-def file_directory(path: str) -> list[tuple[int, str, int, int]]:
-    """(index, name, offset, size) of a file's entries; a directory archive's payloads aren't read."""
-    total = os.path.getsize(path)
-    with open(path, "rb") as file:
-        head = file.read(DIRECTORY_AT)
-        if head.startswith(BLOCKS_MAGIC):
-            return _named(os.path.splitext(os.path.basename(path))[0], scan_blocks(head + file.read()))
-        if not head.startswith(DIRECTORY_MAGIC):
-            return []
-        count, names_size = (int.from_bytes(head[i : i + 3], "little") for i in (9, 13))
-        table = file.read(count * ENTRY_SIZE)
-        file.seek(DIRECTORY_AT + count * ENTRY_SIZE + 1)
-        names = file.read(max(names_size, 1 << 16))
-    rows = []
-    for i in range(min(count, len(table) // ENTRY_SIZE)):
-        e = table[i * ENTRY_SIZE : (i + 1) * ENTRY_SIZE]
-        at = int.from_bytes(e[1:4], "little")
-        name = names[at : at + e[5]]
-        rows.append([i, name.decode("ascii") if name.isascii() else f"file_{i:05d}", int.from_bytes(e[9:13], "little"), int.from_bytes(e[13:15], "little")])
-    placed = sorted((r for r in rows if r[2] > 0), key=lambda r: r[2])
-    for r, end in zip(placed, [*(r[2] for r in placed), total][1:], strict=True):
-        if end - r[2] > r[3] and (end - r[2] - r[3]) % 65536 == 0:
-            r[3] = end - r[2]
-    return [tuple(r) for r in rows]
-
-
-def _named(arc: str, blocks: list[Block]) -> list[tuple[int, str, int, int]]:
-    """Names of a file's blocks, one archive at a time; the rules are those of ``named_blocks``."""
-    kinds = {b.index: _sniffed(b.payload) for b in blocks if b.payload}
-    units = [re.search(rb"(?i)<filename>([^<]+)</filename>", b.payload) for b in blocks if b.payload and b.payload[:10].lower() == b"<workunit>"]
-    main = next((m[1].decode("ascii", "replace").strip() for m in reversed(units) if m), None)
-    pages = [b for b in blocks if kinds.get(b.index) == ".htm"]
-    largest = max(pages, key=lambda b: len(b.payload), default=None)
-    stem, base, count, out = os.path.splitext(main)[0] if main else arc.lower(), arc.lower(), {}, []
-    for b in blocks:
-        kind = kinds.get(b.index)
-        if kind in (None, ".xml"):
-            continue
-        n = count[kind] = count.get(kind, 0) + 1
-        names = {".htm": main if main and (b is largest or len(pages) == 1) else f"{stem}_{n}.htm", ".wcf": f"{base}.wcf", ".css": f"{stem}s.htm"}
-        out.append((b.index, names.get(kind, f"{base}_{n}{kind}"), b.start, b.size))
-    return out
-
-
-def _sniffed(payload: bytes) -> str:
-    low = payload[:11].lower()
-    for head, ext in ((b"GIF89a", ".gif"), (b"GIF87a", ".gif"), (b"\x89PNG\r\n\x1a\n", ".png"), (b"\xff\xd8", ".jpg"), (b"%PDF", ".pdf")):
-        if payload.startswith(head):
-            return ext
-    for head, ext in ((b"<html", ".htm"), (b"<svg", ".svg"), (b"<workunit>", ".xml")):
-        if low.startswith(head):
-            return ext
-    if payload.startswith(b"; "):
-        return ".wcf"
-    if payload[:2] in (b"A ", b"A{", b"BO", b"/*", b".p", b".P") and b"{" in payload[:50] or low[:5] in (b"body ", b"body{", b"a {co", b"a{col"):
-        return ".css"
-    return ".bin"
-
-
 class ArchiveSource(DataSource):
-    """``spark.read.format("archive").option("payload", "true").load(path)``."""
+    """``spark.read.format("archive").option("payload", "true").option("extensions", ".htm").load(path)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -311,7 +324,8 @@ class ArchiveSource(DataSource):
         return ENTRY + (", raw binary" if self._payload() else "")
 
     def reader(self, schema: object) -> ArchiveReader:
-        return ArchiveReader(self.options["path"], self._payload(), int(self.options.get("rangeBytes", 32 << 20)))
+        extensions = wanted_extensions(self.options.get("extensions", ""))
+        return ArchiveReader(self.options["path"], self._payload(), int(self.options.get("rangeBytes", 32 << 20)), extensions)
 
 
 def register(spark: SparkSession) -> None:

@@ -4,15 +4,33 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    """One JSON object per line, nulls included, text unescaped."""
+def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """One JSON object per line, nulls included, text unescaped; with an order, the files in order of
+    their names hold the rows in it, sorted by ranges and not in one task."""
+    rows = rows.orderBy(*order) if order else rows
     rows.write.option("ignoreNullFields", "false").json(path)
 
 
+def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows with ``place``, their number in the order of files and lines.
+
+    Rows are numbered inside each file; how many rows the files before it have comes from their
+    counts, one row a file."""
+    rows = spark.read.schema(schema).json(path)
+    columns = rows.columns
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select(F.col("_file").alias("_f"), F.coalesce(before, F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_file").orderBy("_id"))
+    return rows.withColumn("_number", number).join(starts, F.col("_file") == F.col("_f")).select(*columns, (F.col("_before") + F.col("_number")).alias("place"))
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """A CSV with a header; null is the empty field."""
     rows.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import binary as B
 from quire.sources import archive as a
 from tests import encode as e
 
@@ -71,6 +72,41 @@ def test_data_source(spark, folder):
     assert some.count() == 2
 
 
+def test_archives_of_one_name(spark, tmp_path):
+    """Two folders hold archives of one name: each entry gets the bytes of its own."""
+    for folder, text in (("x", b"first"), ("y", b"second")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "SEB.arc").write_bytes(e.directory_archive([(b"A.TXT", text), (b"B.TXT", text * 2)]))
+    for rows in (a.extract(a.archives(spark, str(tmp_path))), a.extracted(a.read_raw(spark, str(tmp_path)))):
+        got = sorted((r.path.split("/")[-2], r.filename, bytes(r.payload)) for r in rows.collect())
+        assert got == [("x", "A.TXT", b"first"), ("x", "B.TXT", b"firstfirst"), ("y", "A.TXT", b"second"), ("y", "B.TXT", b"secondsecond")]
+    totals = a.extract_totals(a.archives(spark, str(tmp_path))).collect()
+    assert sorted((r.n_files, r.n_bytes) for r in totals) == [(2, 15), (2, 18), (4, 33)]
+
+
+def test_entries_are_cut_in_the_scan(spark, folder):
+    plan = a.with_raw(a.archives(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_only_wanted_entries_are_read(spark, folder, monkeypatch):
+    reader = a.ArchiveReader(folder, True, 1 << 20, [".htm"])
+    names = [x.name for p in reader.partitions() for x in p.entries]
+    assert names and all(n.lower().endswith(".htm") for n in names)
+    rows = a.read_raw(spark, f"file://{folder}", [".htm"]).collect()
+    assert sorted(r.filename for r in rows) == sorted(names)
+
+
+def test_both_sniffers():
+    import itertools
+
+    for prefixes, fold, braced, ext in B.SIGNATURES:
+        for prefix in prefixes:
+            assert B.sniffed(prefix + b" {") == ext and (not fold or B.sniffed(prefix.upper()) == ext)
+            assert not braced or b"{" in prefix or B.sniffed(prefix) != ext
+    assert B.sniffed(b"") == ".bin" and len(list(itertools.chain(*(p for p, *_ in B.SIGNATURES)))) == 19
+
+
 def test_wanted_extensions():
     assert a.wanted_extensions("htm, .PDF,,") == [".htm", ".pdf"]
     assert a.wanted_extensions(None, (".x",)) == [".x"] == a.wanted_extensions(" , ", (".x",))

@@ -163,8 +163,12 @@ def chunk_export(files: DataFrame, arc: str, wiring_arc: str | None = None, targ
     docs = source_documents(files, arc, extensions)
     if wiring_arc:
         docs = docs.unionByName(source_documents(files, wiring_arc, extensions))
-    role = F.when(F.col("arc") == F.lit((wiring_arc or "").upper()), "wiring").otherwise("manual")
-    return chunk_records(docs, F.lit(arc.upper()), role, target, overlap)
+    return chunk_records(docs, F.lit(arc.upper()), role_of(F.col("arc"), wiring_arc), target, overlap)
+
+
+def role_of(arc: Column, wiring_arc: str | None) -> Column:
+    """``wiring`` for documents of the paired archive, else ``manual``."""
+    return F.when(arc == F.lit((wiring_arc or "").upper()), "wiring").otherwise("manual")
 
 
 def chunk_manifest(records: DataFrame, settings: dict[str, int]) -> DataFrame:

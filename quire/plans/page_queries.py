@@ -34,6 +34,11 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("r.kind = 'href'").groupBy("page_id", F.col("r.raw").alias("href")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@REGISTRY.query("referenced_set", "SELECT DISTINCT unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def referenced_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.page_links(page_files(spark, sf_dir), "PAG", None).where("kind <> 'image'").select(F.col("raw").alias("href")).distinct()
+
+
 #: References of five forms per page, resolved against an archive that has a third of their files.
 REFS = """SELECT page_id, unnest(['P' || (page_id + 1) || '.htm#top', 'img' || page_id || '.GIF', 'http://x.org/a.htm', '/tpsasps/2colframeset.asp?leftside=L.htm&rightside=R' || page_id || '.htm',
   'w' || page_id || '.svg', '/x/ep_main.asp?CELL=' || page_id, 'missing.htm?x=1', '', 'mailto:a@b.org']) AS href FROM pages"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import binary as B
 from quire.functions import text as T
-from quire.operators import indexes, lookup, ordered, scoring
+from quire.operators import corpora, indexes, lookup, ordered, scoring
 from quire.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -65,18 +65,13 @@ def largest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("last_named", "SELECT user_id, arg_max(props, event_id) AS props FROM events WHERE event_type = 'click' GROUP BY user_id")
 def last_named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'click'").groupBy("user_id").agg(F.max_by("props", "event_id").alias("props"))
+    return ordered.best_per_group(table(spark, sf_dir, "events").where("event_type = 'click'"), ["user_id"], [F.col("event_id")], ["props"])
 
 
-@REGISTRY.query("ext_histogram", "SELECT source, lang, count(*) AS n_rows, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY ROLLUP (source, lang)")
-def ext_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length("text")).alias("n_bytes"))
-
-
-@REGISTRY.query("conditional_counts", "SELECT count(*) FILTER (WHERE toxic = 1) AS exact, count(*) FILTER (WHERE toxic = 0 AND quality = 1) AS best_candidate, count(*) FILTER (WHERE quality = 0) AS errors FROM labels")
+@REGISTRY.query("conditional_counts", "SELECT count(*) FILTER (WHERE toxic = 1) AS exact, count(*) FILTER (WHERE toxic = 0 AND quality = 1) AS best_candidate, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS errors FROM labels")
 def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
-    return table(spark, sf_dir, "labels").agg(F.count_if(toxic).alias("exact"), F.count_if(~toxic & good).alias("best_candidate"), F.count_if(~good).alias("errors"))
+    status = F.when(F.col("toxic") == 1, "exact_match").when(F.col("quality") == 1, "best_candidate").otherwise("no_candidates")
+    return scoring.status_counts(table(spark, sf_dir, "labels").select(status.alias("status")))
 
 
 @REGISTRY.query("status_left_join", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_local_entry' WHEN l.quality = 1 THEN 'exact_match' ELSE 'mismatch' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -114,8 +109,7 @@ def wiring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def role_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("DOC").alias("arc"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("EEB").alias("arc"), "text")
-    role = F.when(F.col("arc") == "EEB", "wiring").otherwise("manual")
-    return a.unionByName(b).select("id", role.alias("role"), F.length("text").alias("n_chars"))
+    return a.unionByName(b).select("id", corpora.role_of(F.col("arc"), "eeb").alias("role"), F.length("text").alias("n_chars"))
 
 
 @REGISTRY.query("asset_union", "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -123,12 +117,6 @@ def asset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@REGISTRY.query("referenced_set", "SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
-def referenced_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select(F.explode(hrefs).alias("href")).distinct()
-
-
 #: Candidates of a text against a trusted copy: as it is, normalised, without its first character,
 #: and with a tail. The copy is the text without blanks at its end and with one changed byte.
 SCORED = r"""
@@ -291,21 +279,6 @@ def arc_file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.find_arc_files(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), arc.alias("arc"), name.alias("name")), lookup.file_index(customer_files(spark, sf_dir)))
 
 
-#: Archives that are present, as files: manuals, wiring and recalls, by customer key.
-PRESENT = "('SE2', 'SE2ALPHAINDEX.HTM'), ('SEB', 'X.HTM'), ('SCA', 'X.HTM'), ('SEI', 'SEIALPHAINDEX.HTM'), ('EE2', 'A.SVG'), ('EEI', 'A.SVG'), ('EEK', 'A.SVG'), ('R12', 'X.HTM'), ('RAB', 'X.HTM'), ('VEM', 'X.HTM')"
-
-
-def present_index(spark: SparkSession) -> DataFrame:
-    rows = [(a, f"{a}/{n}") for a, n in [("SE2", "SE2ALPHAINDEX.HTM"), ("SEB", "X.HTM"), ("SCA", "X.HTM"), ("SEI", "SEIALPHAINDEX.HTM"), ("EE2", "A.SVG"), ("EEI", "A.SVG"), ("EEK", "A.SVG"), ("R12", "X.HTM"), ("RAB", "X.HTM"), ("VEM", "X.HTM")]]
-    return lookup.file_index(spark.createDataFrame(rows, "arc string, path string"))
-
-
-@REGISTRY.query("catalogue_page", """SELECT 'SE2 2014 F-150 /SE2/SE2ALPHAINDEX.HTM + Wiring (EE2)' || chr(10) || 'SEB 2014 Mustang /SEB/' || chr(10) || 'SCA 2012–2014 Focus Electric /SCA/' || chr(10) ||
-  'SEI 2014 F-53 Motorhome / F-59 Stripped Chassis /SEI/SEIALPHAINDEX.HTM' || chr(10) || 'VEM Hybrid Reference /VEM/' AS manuals, 'EEI' || chr(10) || 'EEK' AS unmatched_wiring, 'R12' || chr(10) || 'RAB' AS recalls""")
-def catalogue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.home_page(spark, present_index(spark))
-
-
 @REGISTRY.query("visible_names", "SELECT p_partkey, p_name AS name FROM part WHERE p_partkey % 10 <> 0")
 def visible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("."), "p_name")).otherwise(F.col("p_name"))
@@ -327,17 +300,11 @@ def first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.first_entries(entries, names).select("key", "arc", "entry_index")
 
 
-@REGISTRY.query("text_letters", "SELECT upper(left(ltrim(text), 1)) AS letter, count(*) AS n_rows FROM documents WHERE regexp_matches(text, '^[A-Za-z]') GROUP BY 1")
-def text_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[A-Za-z]"))
-    return rows.groupBy(T.index_letter(F.col("text")).alias("letter")).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-@REGISTRY.query("all_text_letters", r"""
+@REGISTRY.query("text_letters", r"""
 WITH t AS (
   SELECT upper(left(regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ''), 1)) AS c FROM documents
 )
 SELECT CASE WHEN regexp_matches(c, '^[\p{L}\p{N}]') THEN c ELSE '#' END AS letter, count(*) AS n_rows FROM t GROUP BY 1""")
-def all_text_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document by its index letter, those that ``text_letters`` leaves out too."""
+def text_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by its index letter."""
     return table(spark, sf_dir, "documents").groupBy(T.index_letter(F.col("text")).alias("letter")).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -15,26 +15,30 @@ enough to sort the suffixes that start at anchors, each with the ``REACH`` bytes
    shares with the last winner, so no byte of a known prefix is compared again. The lengths shared
    by neighbours of the merged order give the classes of equal strings at every offset.
 5. Answers go back to the runs: for each suffix and offset the smallest doc_id that has the string.
+   A run finds its anchors and the order of its suffixes anew, which is cheaper than sending them.
 
 Within a run equal suffixes travel once, so a passage that a third of all documents share costs an
-owner one entry a run. A step's memory is a run or a range, whatever the corpus; nothing is dropped.
-
-Defined results: null counts as empty; texts shorter than ``LENGTH`` bytes lose nothing; a null doc_id
-counts as larger than any; rows with the same doc_id do not remove each other's bytes; an empty table
-gives an empty result; columns other than doc_id and text are ignored.
+owner one entry a run. A step's memory is a run (a text longer than ``run_bytes`` is a run of its
+own) or a range, of which hot passages make up one entry a run; nothing is dropped. Runs send one
+piece to each range that they have anchors of, so beyond some ten thousand ranges ``run_bytes`` and
+``range_bytes`` have to grow with the corpus.
+
+Defined results: null counts as empty; texts shorter than ``LENGTH`` bytes lose nothing; very long
+texts are searched whole; a null doc_id counts as larger than any; rows with the same doc_id, repeated
+ones too, tie and do not remove each other's bytes; an empty table gives an empty result; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import runs, text_or_empty, written
@@ -45,7 +49,7 @@ REACH = LENGTH - CORE
 RUN_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 LEAST_RANGES = 64
-#: Bytes of answers that may be broadcast.
+#: Bytes of answers that may be broadcast; with more, runs are shuffled to them.
 FEW_MARKS = 32 << 20
 
 _SEGMENT = 20
@@ -269,10 +273,11 @@ def shared_cores(pieces: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
 
 
-def _contexts(codes: np.ndarray, position: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+def _fill_contexts(codes: np.ndarray, position: np.ndarray, out: np.ndarray, step: int = 1 << 15) -> None:
     """Rows of LENGTH codes from each position on, then the REACH codes before it, nearest first."""
     offsets = np.concatenate([np.arange(LENGTH), -1 - np.arange(REACH)])
-    return np.concatenate([codes[position[i : i + step, None] + offsets] for i in range(0, max(1, len(position)), step)])
+    for i in range(0, len(position), step):
+        out[i : i + step] = codes[position[i : i + step, None] + offsets]
 
 
 def _shared_with_last(rows: np.ndarray) -> np.ndarray:
@@ -300,55 +305,86 @@ def front_decoded(shared: np.ndarray, rest: np.ndarray, width: int = LENGTH) ->
     return out
 
 
-def with_marks(stored: DataFrame, answers: DataFrame) -> DataFrame:
-    """Runs with their answers. These are a hundredth of the texts; up to ``FEW_MARKS`` bytes in all,
+def with_marks(stored: DataFrame, answers: DataFrame, few_marks: int = FEW_MARKS) -> DataFrame:
+    """Runs with their answers. These are a hundredth of the texts; up to ``few_marks`` bytes in all,
     which is checked, they are broadcast, beyond it the runs are shuffled to them."""
     marks = answers.groupBy("run").agg(F.collect_list(F.struct("part", "data")).alias("marks"))
     total = answers.agg(F.sum(F.octet_length("data") + 16)).first()[0] or 0
-    return stored.join(F.broadcast(marks) if total <= FEW_MARKS else marks, "run", "left")
+    return stored.join(F.broadcast(marks) if total <= few_marks else marks, "run", "left")
+
+
+@dataclass
+class Members:
+    """The anchors of a run that are left, in order of position, and which distinct suffix each has;
+    of each suffix, in sorted order, the range, the context and the smallest doc_id."""
+
+    position: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    number: np.ndarray
+    part: np.ndarray
+    context: np.ndarray
+    least: np.ndarray
+
+
+def members(run: Run, marks: list | None, bits: int) -> Members | None:
+    """What the answers about its cores leave of a run; None if that is nothing."""
+    if not marks:
+        return None
+    position, near, far, key, distinct, inverse = _distinct_cores(run, bits)
+    cuts = _cuts(distinct, bits)
+    several = np.zeros(len(distinct), bool)
+    for m in marks:
+        s, e = cuts[m["part"]], cuts[m["part"] + 1]
+        several[s:e] = np.unpackbits(np.frombuffer(m["data"], np.uint8), count=e - s)
+    stay = several[inverse]
+    if not stay.any():
+        return None
+    position, near, far, part = position[stay], near[stay].astype(np.uint8), far[stay].astype(np.uint8), (key[stay] >> np.uint64(32)).astype(np.uint32)
+    del key, distinct, inverse, several, stay
+    # A row has the range, the context and the two offsets; rows sort as byte strings.
+    rows = np.empty((len(position), 4 + LENGTH + REACH + 2), np.uint8)
+    rows[:, :4] = part.astype(">u4").view(np.uint8).reshape(-1, 4)
+    _fill_contexts(run.codes, position, rows[:, 4:-2])
+    rows[:, -2], rows[:, -1] = near, far
+    packed = rows.view(f"S{rows.shape[1]}").ravel()
+    order = np.argsort(packed, kind="stable").astype(np.int32)
+    rows, packed = None, packed[order]
+    changed = np.append(True, packed[1:] != packed[:-1])
+    number = np.empty(len(order), np.int32)
+    number[order] = changed.cumsum(dtype=np.int32) - 1
+    least = np.full(int(changed.sum()), _NO_ID)
+    np.minimum.at(least, number, run.owners(position))
+    context = packed[changed].view(np.uint8).reshape(len(least), -1)[:, 4:]
+    return Members(position, near, far, number, part[order[changed]], context, least)
 
 
 def suffix_pieces(marked: DataFrame, bits: int) -> DataFrame:
-    """Kind 2: front-coded sorted suffixes per run and range. Kind 3: the run's anchors, in order of
-    position, and which suffix each has; their negative parts spread them over tasks."""
+    """Front-coded sorted suffixes per run and range."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for name, docs, marks in zip(batch.column("run").to_pylist(), batch.column("docs"), batch.column("marks"), strict=True):
-                yield from run_rows(name, docs.as_py(), {m["part"]: np.frombuffer(m["data"], np.uint8) for m in marks.as_py() or ()})
-
-    def run_rows(name: int, docs: bytes, marks: dict[int, np.ndarray]) -> Iterator[tuple]:
-        run = _run_of(docs)
-        position, near, far, key, distinct, inverse = _distinct_cores(run, bits)
-        cuts = _cuts(distinct, bits)
-        several = np.zeros(len(distinct), bool)
-        for part, mark in marks.items():
-            several[cuts[part] : cuts[part + 1]] = np.unpackbits(mark, count=cuts[part + 1] - cuts[part])
-        stay = several[inverse]
-        if not stay.any():
-            return
-        position, near, far, part = position[stay], near[stay], far[stay], (key[stay] >> np.uint64(32)).astype(np.int64)
-        context = np.column_stack([_contexts(run.codes, position), near.astype(np.uint8), far.astype(np.uint8)])
-        head = np.column_stack([(part >> 16).astype(np.uint8), (part >> 8).astype(np.uint8), part.astype(np.uint8)])
-        whole = np.ascontiguousarray(np.column_stack([head, context]))
-        packed = whole.view(f"S{whole.shape[1]}").ravel()
-        order = np.argsort(packed, kind="stable")
-        changed = np.append(True, packed[order[1:]] != packed[order[:-1]])
-        number = np.empty(len(order), np.int64)
-        number[order] = changed.cumsum() - 1
-        first = order[changed]
-        least = np.full(len(first), _NO_ID)
-        np.minimum.at(least, number, run.owners(position))
-        yield 3, -1 - name % 65536, name, pack(position.astype(np.int32), number.astype(np.int32), near.astype(np.uint8), far.astype(np.uint8), least)
-        edges = np.searchsorted(part[first], np.arange((1 << bits) + 1))
-        for p in np.flatnonzero(np.diff(edges)):
-            s, e = edges[p], edges[p + 1]
-            shared, rest = front_coded(context[first[s:e], :LENGTH])
-            yield 2, int(p), name, pack(np.array([s]), shared, rest, np.ascontiguousarray(context[first[s:e], LENGTH:].T), least[s:e])
+                found = members(_run_of(docs.as_py()), marks.as_py(), bits)
+                if found is None:
+                    continue
+                edges = np.searchsorted(found.part, np.arange((1 << bits) + 1))
+                for p in np.flatnonzero(np.diff(edges)):
+                    s, e = edges[p], edges[p + 1]
+                    shared, rest = front_coded(found.context[s:e, :LENGTH])
+                    yield 2, int(p), name, pack(np.array([s]), shared, rest, np.ascontiguousarray(found.context[s:e, LENGTH:].T), found.least[s:e])
 
     return marked.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
 
 
+def _first_difference(x: bytes, y: bytes, known: int) -> int:
+    """Where two texts of one length differ, their length if nowhere; the known prefix is not read."""
+    for d in range(known, len(x)):
+        if x[d] != y[d]:
+            return d
+    return len(x)
+
+
 def loser_tree(texts: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int]]:
     """Merge sorted runs: the run of each output and the prefix that it shares with the output before.
 
@@ -361,12 +397,9 @@ def loser_tree(texts: list[list[bytes]], shared: list[list[int]]) -> tuple[list[
     loser, known = [-1] * k, [0] * k
 
     def first_match(a: int, b: int) -> tuple[int, int, int]:
-        x, y, d = now[a], now[b], 0
-        if x == y:
-            return a, b, len(x)
-        while x[d] == y[d]:
-            d += 1
-        return (a, b, d) if x[d] < y[d] else (b, a, d)
+        x, y = now[a], now[b]
+        d = _first_difference(x, y, 0)
+        return (a, b, d) if x[d:] <= y[d:] else (b, a, d)
 
     # Nodes 1 to k - 1 are matches, k to 2k - 1 the runs; all start with nothing known.
     winner = [0] * (2 * k)
@@ -392,16 +425,9 @@ def loser_tree(texts: list[list[bytes]], shared: list[list[int]]) -> tuple[list[
             elif other == h and h >= 0:
                 rival = loser[node]
                 x, y = now[w], now[rival]
-                if x == y:
-                    known[node] = len(x)
-                else:
-                    d = h
-                    while x[d] == y[d]:
-                        d += 1
-                    if y[d] < x[d]:
-                        loser[node], known[node], w = w, d, rival
-                    else:
-                        known[node] = d
+                d = known[node] = _first_difference(x, y, h)
+                if d < len(x) and y[d] < x[d]:
+                    loser[node], w = w, rival
             node >>= 1
     return out, lengths
 
@@ -431,16 +457,11 @@ def least_ids(lengths: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.n
 
 
 def merged(pieces: DataFrame) -> DataFrame:
-    """Kind 4: per run and range, suffixes that a smaller doc_id has too, with the smallest by offset.
-
-    The runs' anchors pass through, so that what is exchanged need not be stored as well."""
+    """Kind 4: per run and range, suffixes that a smaller doc_id has too, with the smallest by offset."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for table in runs(batches, ["part"], together=False):
             part, names = table.column("part")[0].as_py(), table.column("run").to_pylist()
-            if part < 0:
-                yield from ((3, part, name, data.as_py()) for name, data in zip(names, table.column("data"), strict=True))
-                continue
             loaded = [unpack(d.as_py()) for d in table.column("data")]
             texts = [[bytes(r) for r in front_decoded(shared, rest)] for _, shared, rest, _, _ in loaded]
             took, lengths = loser_tree(texts, [x[1].tolist() for x in loaded])
@@ -466,21 +487,15 @@ def merged(pieces: DataFrame) -> DataFrame:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def remains(stored: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
+def remains(marked: DataFrame, answers: DataFrame, bits: int, texts: bool) -> DataFrame:
     """The documents without repeated bytes."""
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["run"], together=False):
-            members, found = None, []
-            for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-                if kind == 0:
-                    ids, null, docs = _load(data.as_py())
-                elif kind == 3:
-                    members = unpack(data.as_py())
-                else:
-                    found.append(unpack(data.as_py()))
+            ids, null, docs = _load(table.column("data")[0].as_py())
+            found = [unpack(data.as_py()) for data in table.column("data")[1:]]
             run = Run(ids, docs)
-            gone = _gone(run, members, found)
+            gone = _gone(run, members(run, table.column("marks")[0].as_py(), bits), found)
             for i in range(0, len(docs), 2000):
                 out = []
                 for doc_id, none, text, start in zip(ids[i : i + 2000].tolist(), null[i : i + 2000], docs[i : i + 2000], run.starts[i : i + 2000], strict=True):
@@ -491,54 +506,39 @@ def remains(stored: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
                     out.append((None if none else doc_id, len(text), lost, spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
-    both = stored.selectExpr("0 AS kind", "-1 AS part", "run", "docs AS data").unionByName(answers)
+    both = marked.selectExpr("0 AS kind", "-1 AS part", "run", "docs AS data", "marks").unionByName(answers, allowMissingColumns=True)
     dealt = both.repartition("run").sortWithinPartitions("run", "kind", "part")
     return dealt.mapInArrow(results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _gone(run: Run, members: list[np.ndarray] | None, found: list[list[np.ndarray]]) -> np.ndarray | None:
+def _gone(run: Run, own: Members | None, found: list[list[np.ndarray]]) -> np.ndarray | None:
     """Which codes of the run's buffer are removed."""
-    if members is None:
+    if own is None:
         return None
-    position, number, near, far, least = members
-    owner = run.owners(position.astype(np.int64))
-    answer = np.full(len(least), -1)
-    table = [least]
-    for numbers, ids in found:
-        answer[numbers] = len(table) and sum(len(t) // (REACH + 1) for t in table[1:]) + np.arange(len(numbers))
-        table.append(ids)
-    answers = np.concatenate(table[1:]).reshape(-1, REACH + 1) if found else np.empty((0, REACH + 1), np.int64)
-    change = np.zeros(len(run.codes) + LENGTH + 1, np.int32)
+    owner = run.owners(own.position)
+    answer = np.full(len(own.least), -1)
+    told = np.concatenate([numbers for numbers, _ in found]) if found else np.empty(0, np.int64)
+    answer[told] = np.arange(len(told))
+    answers = np.concatenate([ids for _, ids in found]).reshape(-1, REACH + 1) if found else np.empty((0, REACH + 1), np.int64)
+    begins = np.zeros(len(run.codes), bool)
     for offset in range(REACH + 1):
-        here = np.flatnonzero((near <= offset) & (offset <= far))
-        which = answer[number[here]]
-        smallest = least[number[here]]
-        told = which >= 0
-        smallest[told] = answers[which[told], offset]
-        start = position[here[smallest < owner[here]]].astype(np.int64) - offset
-        np.add.at(change, start, 1)
-        np.add.at(change, start + LENGTH, -1)
-    return change.cumsum()[: len(run.codes)] > 0
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer in use.
-
-    Python's references go first, the JVM's cleaner follows a moment later; hence twice."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def without_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES, least_ranges: int = LEAST_RANGES, texts: bool = True) -> DataFrame:
+        here = np.flatnonzero((own.near <= offset) & (offset <= own.far))
+        which = answer[own.number[here]]
+        smallest = own.least[own.number[here]]
+        smallest[which >= 0] = answers[which[which >= 0], offset]
+        begins[own.position[here[smallest < owner[here]]] - offset] = True
+    # A code goes if a repeated string begins at one of the LENGTH places up to it.
+    gone = begins.cumsum(dtype=np.int32)
+    gone[LENGTH:] -= gone[:-LENGTH].copy()
+    return gone > 0
+
+
+def without_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES, least_ranges: int = LEAST_RANGES, texts: bool = True, few_marks: int = FEW_MARKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the remaining bytes."""
     stored = pack_runs(docs, run_bytes)
     total = docs.select(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
     bits = (max(least_ranges, -(-total // range_bytes)) - 1).bit_length()
-    answers = written(shared_cores(core_pieces(stored, bits)), "suffix-cores")
-    _release(docs.sparkSession)
-    found = written(merged(suffix_pieces(with_marks(stored, answers), bits)), "suffix-answers")
-    _release(docs.sparkSession)
-    out = remains(stored, found, texts)
+    marked = with_marks(stored, written(shared_cores(core_pieces(stored, bits)), "suffix-cores"), few_marks)
+    found = written(merged(suffix_pieces(marked, bits)), "suffix-answers")
+    out = remains(marked, found, bits, texts)
     return out if texts else out.drop("kept")

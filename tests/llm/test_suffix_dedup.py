@@ -52,17 +52,27 @@ def tricky():
     return rows
 
 
-@pytest.mark.parametrize("run_bytes", [3000, s.RUN_BYTES])
-def test_against_brute_force(spark, run_bytes):
+@pytest.mark.parametrize(("run_bytes", "ranges", "few_marks"), [(3000, 8, 0), (3000, 1024, s.FEW_MARKS), (s.RUN_BYTES, 8, s.FEW_MARKS)])
+def test_against_brute_force(spark, run_bytes, ranges, few_marks):
+    """With answers shuffled and broadcast, few and many runs and ranges."""
     rows = tricky()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert got(df, run_bytes=run_bytes, least_ranges=8) == brute(rows)
+    assert got(df, run_bytes=run_bytes, least_ranges=ranges, few_marks=few_marks) == brute(rows)
 
 
 def test_documents_against_brute_force(spark):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(300)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert got(spark.createDataFrame(rows, "doc_id long, text string"), run_bytes=100_000) == brute(rows)
+    assert got(docs.repartition(3), run_bytes=300_000, range_bytes=100_000) == brute(rows)
+    assert got(docs) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    one, two = text(400_000), text(300_000)
+    rows = [(1, one), (2, two + one[1000:200_000] + two[:90_000]), (3, "ab" * 500_000), (4, "b" + "ab" * 100)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), run_bytes=200_000) == brute(rows)
 
 
 def test_remaining_bytes(spark):
@@ -97,3 +107,19 @@ def test_loser_tree(k):
         at[w] += 1
     assert out == sorted(x for r in runs for x in r)
     assert lengths == [0, *(common(a, b) for a, b in zip(out, out[1:], strict=False))]
+
+
+def test_known_prefixes_are_not_compared(monkeypatch):
+    """A byte of a run's text is read once as its own and at most once for each place that it loses."""
+    read, plain = [], s._first_difference
+
+    def counted(x, y, known):
+        d = plain(x, y, known)
+        read.append(min(d + 1, len(x)) - known)
+        return d
+
+    monkeypatch.setattr(s, "_first_difference", counted)
+    runs = [sorted(b"p" * 40 + bytes([i, j]) for j in range(60)) for i in range(8)]
+    shared = [[0] + [41] * 59 for _ in runs]
+    s.loser_tree(runs, shared)
+    assert sum(read) <= 8 * 42 + 2 * 8 * 60

@@ -15,11 +15,14 @@ there are, but there a surrogate may be an entity of the corpus (never the one i
 entities with another attempt than 0 need a table; it joins the rows that hold them. An entity found in
 a third of all rows is one row after the partial distinct.
 
-Names are found by a title, or as a known given name before a surname; a surname found in a text is
-then replaced wherever it stands alone in that text.
+Names are found by a title, or as a known given name before a surname that is no common word; names
+found in a text are then replaced wherever they stand alone in that text, in capitals too. What has
+neither a title nor one of the given names beside it is not found, so this finds fewer names than a
+trained tagger would. Streets are found by a house number and a word for a street.
 
 Defined results: a null text stays null and has no entities; texts without entities are unchanged to
-the byte; rows that repeat are treated alike; numbers count as the same in any script's digits, octets
+the byte; very long texts are searched whole; rows that repeat are treated alike; ties between entities
+that draw the same surrogate go by attempt and normal form; numbers count as the same in any script's digits, octets
 with or without leading zeros; one punctuation mark repeated, such as the line of a form after
 "Password:", is a blank and no secret; a ``draw`` passed in that finds no free surrogate in ``MOST_ATTEMPTS``
 draws raises; an empty table gives an empty result; other columns are ignored by
@@ -33,6 +36,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,24 +50,32 @@ MOST_ATTEMPTS = 64
 DEALT = -1
 #: Values of a fixed format for each of its entities; with fewer it is dealt by rank.
 SPARSE = 8
-#: Rows with later attempts up to this number may be broadcast; beyond it they are joined by a shuffle.
+#: Rows with later attempts up to this number may be broadcast; with more, a shuffle joins them.
 FEW_ROWS = 200_000
 
 # Given names by gender and script.
 GIVEN = {
-    ("f", "latin"): "Anna Maria Laura Julia Emma Sophie Clara Elena Sarah Laura Marie Lucia Carmen Isabel Claire Camille Helga Ingrid Jane Mary Linda Susan Emily Olivia Nina Paula".split(),
-    ("m", "latin"): "John James Robert Michael David Thomas Peter Paul Hans Karl Stefan Jürgen Pierre Jean Louis Antoine Carlos Miguel Pablo Diego José Daniel Martin Andrew Simon Victor".split(),
+    ("f", "latin"): "Anna Maria Laura Julia Emma Sophie Clara Elena Sarah Marie Lucia Carmen Isabel Claire Camille Helga Ingrid Jane Mary Linda Susan Emily Olivia Nina Paula Ada Alice Barbara Charlotte Elizabeth Heike Helen Karen Katharina Margaret Monika Patricia Petra Rachel Sabine Teresa Ursula".split(),
+    ("m", "latin"): "John James Robert Michael David Thomas Peter Paul Hans Karl Stefan Jürgen Pierre Jean Louis Antoine Carlos Miguel Pablo Diego José Daniel Martin Andrew Simon Victor Charles Christopher Francisco Frank George Henry Javier Klaus Kevin Ludwig Luis Matthew Richard Steven Uwe William Wolfgang".split(),
+    ("n", "latin"): "Alex Chris Dominique Jo Kim Robin Sam Sascha".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Владимир Павел".split(),
     ("f", "greek"): "Μαρία Ελένη Άννα Σοφία Κατερίνα Βασιλική Γεωργία Δήμητρα".split(),
     ("m", "greek"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Παναγιώτης Σπύρος Πέτρος".split(),
 }
-GIVEN = {k: list(dict.fromkeys(v)) for k, v in GIVEN.items()}
+for _script in ("cyrillic", "greek"):
+    GIVEN["n", _script] = GIVEN["f", _script] + GIVEN["m", _script]
 # Titles by gender.
 TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Mlle Señora Sra Señorita Srta Госпожа Κυρία".split(),
     "m": "Mr Mister Sir Herr Herrn Monsieur Señor Sr Господин Κύριος".split(),
+    "n": "Dr Doctor Prof Professor Docteur Доктор Профессор".split(),
 }
+# Words that are no surnames when they follow a given name in capitals.
+NO_SURNAMES = frozenset("a an and are as at be but by can could did do does for from had has have he her his if in is it its may might must not of on or said say says she should so that the then they this to was were what when where who will with would street road avenue lane und der die das ist war hat et le la les est y el los las es".split())
+# Words of streets that stay in a surrogate.
+STREETS = frozenset("street st road rd avenue ave lane ln drive dr boulevard blvd square court rue place calle avenida plaza de du des del la le les los las".split())
+STREET_ENDS = ("straße", "strasse", "allee", "gasse", "platz", "weg")
 # Syllables of made-up surnames by script.
 SYLLABLES = {
     "latin": "bar bel bor cal cor dan del dor fal fen gar gil hal har hel jor kal ken kor lan lin lor mal mar mel mor nal nor pal per ral ren ros sal sel sor tal ten tor val ven vor wal wen win zel".split(),
@@ -72,12 +84,12 @@ SYLLABLES = {
 }
 SURNAME_ENDS = {("f", "cyrillic"): "ова", ("m", "cyrillic"): "ов", ("f", "greek"): "ίδου", ("m", "greek"): "ίδης"}
 
-_GENDER = {name.lower(): gender for (gender, _), names in GIVEN.items() for name in names}
+_GENDER = {name.lower(): gender for (gender, script), names in GIVEN.items() for name in names if gender != "n" or script == "latin"}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]"
 _NAME = rf"{_CAPITAL}[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)?"
 _TITLED = re.compile(rf"\b(?P<title>{'|'.join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))})\.?\s(?P<one>{_NAME})(?:\s(?P<two>{_NAME}))?")
 _NAMED = re.compile(rf"\b(?P<one>{'|'.join(n for v in GIVEN.values() for n in v)})\s(?P<two>{_NAME})")
-_MAY_BE_NAMED = re.compile("|".join(sorted({n for v in (*GIVEN.values(), *TITLES.values()) for n in v})))
+_SURNAME_AGAIN = 3  # letters that a name must have to be replaced where it stands alone
 
 _PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_.~-]{6,})")),
@@ -87,6 +99,10 @@ _PATTERNS = [
     ("card", re.compile(r"(?<![\w.-])(?P<value>\d(?:[ -]?\d){12,18})(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?P<value>\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\2\d{4})(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])(?P<value>\d{3}-\d{2}-\d{4})(?![\w-])")),
+    ("street", re.compile(r"(?<![\w.,-])(?P<value>\d{1,5}[A-Za-z]? (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Square|Court))\b")),
+    ("street", re.compile(rf"\b(?P<value>[A-ZÄÖÜ][a-zäöüß]+(?:{'|'.join(STREET_ENDS)}) \d{{1,4}}[a-z]?)\b")),
+    ("street", re.compile(r"(?<![\w.,-])(?P<value>\d{1,4},? (?:rue|avenue|boulevard|place) (?:(?:de|du|des|la|le|les) )*[A-ZÉÈ][a-zéèêàçîôû]+)\b")),
+    ("street", re.compile(r"\b(?P<value>(?:Calle|Avenida|Plaza) (?:(?:de|del|la|los|las) )*[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+,? \d{1,4})\b")),
     ("ip", re.compile(r"(?<![\w.])(?P<value>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)")),
 ]
 _DIGIT_KINDS = ("card", "phone", "ssn")
@@ -97,6 +113,18 @@ Span = tuple[int, int, str, str]
 Draw = Callable[[str, str, int], str]
 
 
+@lru_cache(maxsize=1)
+def _names():
+    """Finds any given name or title in a text."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for name in {n for v in (*GIVEN.values(), *TITLES.values()) for n in v}:
+        found.add_word(name, None)
+    found.make_automaton()
+    return found
+
+
 def script_of(word: str) -> str:
     name = unicodedata.name(word[0], "")
     return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
@@ -133,37 +161,41 @@ def _normal(kind: str, value: str) -> str | None:
         return ".".join(str(int(x)) for x in value.split("."))
     if kind == "secret" and len(set(value)) == 1 and not value[0].isalnum():
         return None
-    return value.lower() if kind == "email" else value
+    return value.lower() if kind in ("email", "street") else value
 
 
 def _name_spans(text: str) -> Iterator[Span]:
-    surnames: dict[str, str] = {}
+    alone: dict[str, tuple[str, str]] = {}
 
     def named(match: re.Match, group: str, part: str, gender: str) -> Span:
         word = match[group]
-        if part == "surname":
-            surnames[word] = f"{gender}/{script_of(word)}/{word.lower()}"
-            return (*match.span(group), "surname", surnames[word])
-        return (*match.span(group), "given", f"{gender}/{script_of(word)}/{word.lower()}")
+        normal = f"{gender}/{script_of(word)}/{word.lower()}"
+        if len(word) >= _SURNAME_AGAIN:
+            for form in (word, word.upper()):
+                alone.setdefault(form, (part, normal))
+        return (*match.span(group), part, normal)
 
     for match in _TITLED.finditer(text):
-        gender = "f" if match["title"] in TITLES["f"] else "m"
-        if match["two"]:
+        gender = next(g for g, titles in TITLES.items() if match["title"] in titles)
+        if gender == "n":
+            gender = _GENDER.get(match["one"].lower(), "n")
+        if match["two"] and match["two"].lower() not in NO_SURNAMES:
             yield named(match, "one", "given", gender)
             yield named(match, "two", "surname", gender)
         elif match["one"].lower() in _GENDER:
             yield named(match, "one", "given", gender)
-        else:
+        elif match["one"].lower() not in NO_SURNAMES:
             yield named(match, "one", "surname", gender)
     for match in _NAMED.finditer(text):
         gender = _GENDER[match["one"].lower()]
-        yield named(match, "one", "given", gender)
-        if match["two"].lower() in _GENDER:
+        if match["two"].lower() in NO_SURNAMES:
             continue
-        yield named(match, "two", "surname", gender)
-    if surnames:
-        for match in re.finditer(rf"\b(?:{'|'.join(map(re.escape, surnames))})\b", text):
-            yield (*match.span(), "surname", surnames[match[0]])
+        yield named(match, "one", "given", gender)
+        if match["two"].lower() not in _GENDER:
+            yield named(match, "two", "surname", gender)
+    if alone:
+        for match in re.finditer(rf"\b(?:{'|'.join(map(re.escape, alone))})\b", text):
+            yield (*match.span(), *alone[match[0]])
 
 
 def spans(text: str) -> list[Span]:
@@ -174,7 +206,7 @@ def spans(text: str) -> list[Span]:
             for match in pattern.finditer(text):
                 if (normal := _normal(kind, match["value"])) is not None:
                     found.append((*match.span("value"), kind, normal))
-    if _MAY_BE_NAMED.search(text):
+    if next(_names().iter(text), None):
         found += _name_spans(text)
     taken: list[Span] = []
     for span in sorted(found, key=lambda s: s[0]):
@@ -291,6 +323,23 @@ def _ip(normal: str, octets: Callable[[list[str]], list[str]]) -> str:
             return ".".join(found)
 
 
+def _made_up(stream: Iterator[int], script: str, attempt: int) -> str:
+    """A made-up name, a syllable longer for every four attempts."""
+    return "".join(_pick(stream, SYLLABLES[script]) for _ in range(2 + attempt // 4))
+
+
+def _street_word(stream: Iterator[int], word: str, attempt: int) -> str:
+    """A word of a street's surrogate: words for streets stay, numbers and names are drawn."""
+    if word in STREETS:
+        return word
+    if any(x.isdigit() for x in word):
+        # The first digit is not zero, nor are letters beside the number redrawn.
+        first = _pick(stream, _CLASSES[0][1:])
+        return first + _redrawn(stream, word[1:], _CLASSES[:1])
+    end = next((e for e in STREET_ENDS if word.endswith(e)), "")
+    return _made_up(stream, "latin", attempt) + end
+
+
 def draw(kind: str, normal: str, attempt: int, key: bytes = KEY) -> str:
     """The surrogate's normal form (names: as written in title case)."""
     stream = _stream(key, kind, normal, attempt)
@@ -316,6 +365,8 @@ def draw(kind: str, normal: str, attempt: int, key: bytes = KEY) -> str:
         # From the second redrawing on, a letter more for every two attempts.
         user = _redrawn(stream, user) + "".join(_pick(stream, _CLASSES[1]) for _ in range(attempt // 2))
         return ".".join([f"{user}@{_redrawn(stream, labels[0])}", *(_redrawn(stream, x) for x in labels[1:-1]), labels[-1]])
+    if kind == "street":
+        return " ".join(_street_word(stream, word, attempt) for word in normal.split(" "))
     if kind == "secret":
         fixed = re.match(r"AKIA|gh[pousr]_|sk-|", normal).end()
         free = normal[fixed:]
@@ -336,8 +387,7 @@ def draw(kind: str, normal: str, attempt: int, key: bytes = KEY) -> str:
         while (drawn := "-".join(_pick(stream, names) for _ in range(2 + attempt))).lower() == word:
             pass
         return drawn
-    parts = [_pick(stream, SYLLABLES[script]) for _ in range(2 + attempt // 4)]
-    return "".join(parts).capitalize() + SURNAME_ENDS.get((gender, script), "")
+    return _made_up(stream, script, attempt).capitalize() + SURNAME_ENDS.get((gender, script), "")
 
 
 def rendered(kind: str, raw: str, surrogate: str) -> str:
@@ -348,6 +398,8 @@ def rendered(kind: str, raw: str, surrogate: str) -> str:
     if kind == "iban":
         symbols = iter(surrogate)
         return "".join(x if x == " " else next(symbols) for x in raw)
+    if kind == "street":
+        return " ".join(new.capitalize() if old[:1].isupper() else new for old, new in zip(raw.split(" "), surrogate.split(" "), strict=True))
     if kind in ("given", "surname"):
         return surrogate.upper() if raw.isupper() and len(raw) > 1 else surrogate
     return "".join(s.upper() if x.isupper() else s for x, s in zip(raw, surrogate, strict=True)) if kind == "email" and len(raw) == len(surrogate) else surrogate
@@ -419,18 +471,18 @@ def later_attempts(found: DataFrame, draw: Draw = draw) -> DataFrame:
         now = written(held.mapInArrow(run, columns), "pii-drawn")
 
 
-def _with_attempts(rows: DataFrame, found: DataFrame, draw: Draw) -> DataFrame:
+def _with_attempts(rows: DataFrame, found: DataFrame, draw: Draw, few_rows: int) -> DataFrame:
     """Rows (with doc_id as ``_id``, hash as ``_same``) with ``_again``: their entities' attempts."""
     again = written(found.join(later_attempts(found, draw), ["kind", "normal"]), "pii-again")
     some = again.dropDuplicates(["doc_id", "same", "kind", "normal"]).groupBy(F.col("doc_id").alias("_d"), F.col("same").alias("_s")).agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias("_again"))
-    some = F.broadcast(some) if again.count() <= FEW_ROWS else some
+    some = F.broadcast(some) if again.count() <= few_rows else some
     return rows.join(some, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_same") == F.col("_s")), "left").drop("_d", "_s")
 
 
-def surrogates(docs: DataFrame, draw: Draw = draw) -> DataFrame:
+def surrogates(docs: DataFrame, draw: Draw = draw, few_rows: int = FEW_ROWS) -> DataFrame:
     """doc_id, n_entities, kinds (distinct, in order) and the text with surrogates."""
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("_same"), F.col("text").cast("string").alias("text"))
-    joined = _with_attempts(rows, occurrences(docs), draw).select("_id", "text", "_again")
+    joined = _with_attempts(rows, occurrences(docs), draw, few_rows).select("_id", "text", "_again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,13 +499,13 @@ def surrogates(docs: DataFrame, draw: Draw = draw) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_entities long, kinds string, text string")
 
 
-def pseudonymised(docs: DataFrame, draw: Draw = draw) -> DataFrame:
+def pseudonymised(docs: DataFrame, draw: Draw = draw, few_rows: int = FEW_ROWS) -> DataFrame:
     """The documents with surrogates in their texts, all other columns unchanged."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
     rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_same", F.xxhash64(text_or_empty()))
     rows = rows.toDF(*names, "_id", "_same")
-    joined = _with_attempts(rows, occurrences(docs), draw).select(*names, "_again")
+    joined = _with_attempts(rows, occurrences(docs), draw, few_rows).select(*names, "_again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -43,7 +43,7 @@ def pairs(text, new):
 def test_detects(spark):
     rows = {r.doc_id: r for r in p.surrogates(frame(spark, TEXTS)).collect()}
     assert rows[0].kinds == "email,ip,phone" and rows[1].n_entities == 3 and rows[2].n_entities == 3
-    assert rows[3].kinds == "given,surname" and rows[3].n_entities == 7
+    assert rows[3].kinds == "given,surname" and rows[3].n_entities == 8
     assert rows[5].kinds == "iban,ip,ssn"
     assert rows[6].text == TEXTS[6] and rows[6].n_entities == 0
     for i, text in enumerate(TEXTS):
@@ -92,6 +92,68 @@ def test_surrogate_is_no_entity_of_the_corpus(spark):
     assert taken not in rows[0] and len(set(rows.values())) == 2
 
 
+def test_names_and_streets():
+    """What is found and what is not, by hand."""
+    found = lambda text: [(text[a:b], kind) for a, b, kind, _ in p.spans(text)]
+    assert found("Ludwig Becker met Heike Becker and Ada Lovelace") == [("Ludwig", "given"), ("Becker", "surname"), ("Heike", "given"), ("Becker", "surname"), ("Ada", "given"), ("Lovelace", "surname")]
+    assert found("the Simon Says game, Sir John Is late") == [("John", "given")]
+    assert found("Mr. John Miller came. MILLER left, John stayed, a miller too") == [("John", "given"), ("Miller", "surname"), ("MILLER", "surname"), ("John", "given")]
+    assert found("Dr. Ngozi Okafor, Prof. Weber, Dr. Anna Weber")[:3] == [("Ngozi", "given"), ("Okafor", "surname"), ("Weber", "surname")]
+    assert [k.split("/")[0] for *_, k in p.spans("Dr. Anna Roth")] == ["f", "f"]
+    streets = ["12 Baker Street", "221B North Hill Road", "Lindenstraße 7a", "10, rue de la Paix", "Calle del Sol 15"]
+    assert [found(f"at {x}, on Monday") for x in streets] == [[(x, "street")] for x in streets]
+    assert found("5 Big Houses, street 12, weg 3, in 2024 Street") == []
+
+
+def test_street_surrogates(spark):
+    texts = ["12 Baker Street", "Lindenstraße 7a", "10, rue de la Paix", "Calle del Sol 15", "again 12 Baker Street."]
+    rows = [r.text for r in p.surrogates(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"[1-9]\d [A-Z][a-z]+ Street", rows[0]) and rows[4] == f"again {rows[0]}."
+    assert re.fullmatch(r"[A-Z][a-z]+straße [1-9]a", rows[1]) and re.fullmatch(r"[1-9]\d, rue de la [A-Z][a-z]+", rows[2])
+    assert re.fullmatch(r"Calle del [A-Z][a-z]+ [1-9]\d", rows[3]) and not set(rows) & set(texts)
+
+
+def brute(texts, draw):
+    """The surrogates of a corpus by one loop over its entities, without tables."""
+    entities = sorted({x[2:] for t in texts for x in p.spans(t)})
+    plain = lambda kind, normal: normal.rpartition("/")[2] if kind in ("given", "surname") else normal
+    real = {(k, plain(k, n)) for k, n in entities if k != "given"}
+    formats = {}
+    for k, n in entities:
+        form, room = p.fixed_format(k, n)
+        if form is not None:
+            formats.setdefault((k, form), [room, []])[1].append((k, n))
+    attempt = dict.fromkeys(entities, 0)
+    for room, members in formats.values():
+        if len(members) * p.SPARSE > room:
+            attempt.update(dict.fromkeys(members, p.DEALT))
+    while True:
+        drawn = {e: draw(*e, a) for e, a in attempt.items() if a != p.DEALT}
+        shown = {e: d.lower() if e[0] in ("given", "surname") else d for e, d in drawn.items()}
+        first, lost = {}, []
+        for e in sorted(drawn, key=lambda e: (attempt[e], e[1])):
+            key = (e[0], shown[e])
+            if key in real or key in first:
+                lost.append(e)
+            first.setdefault(key, e)
+        if not lost:
+            break
+        for e in lost:
+            attempt[e] += 1
+    return [p.replaced(t, attempt, draw)[0] for t in texts]
+
+
+@pytest.mark.parametrize("few_rows", [0, p.FEW_ROWS])
+def test_against_brute_force(spark, few_rows):
+    """Real documents, crowded formats and names that collide, rows with later attempts shuffled and
+    broadcast."""
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    texts = docs + TEXTS + [f"Mr. {n} Weber wrote from 192.168.{i % 7}.{i % 251}" for i, n in enumerate(words(700, "bcdfghjklmnpqrstvwxz"))]
+    texts += [f"pwd = abc{i:03d} and {i}-@-.com" for i in range(200)]
+    got = [r.text for r in p.surrogates(frame(spark, texts).repartition(5), few_rows=few_rows).orderBy("doc_id").collect()]
+    assert got == brute(texts, p.draw)
+
+
 def test_too_few_values(spark):
     with pytest.raises(Exception, match="no free surrogate"):
         p.surrogates(frame(spark, ["ip 5.6.7.8", "ip 5.6.7.9"]), draw=lambda kind, normal, attempt: "same").collect()

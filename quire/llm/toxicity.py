@@ -8,11 +8,12 @@ doc_id and labels are no features.
 The fit takes a bounded sample: the ``sample`` labelled training rows of least hash. Training rows
 are those whose crc32(doc_id as text) is not divisible by five; that remainder also makes four folds.
 A training row's lexicon features come from lexicons mined without its fold and the calibration
-from trees fitted without it, so neither sees its own label. Only the counts of the ``terms`` best
-terms and the feature rows of the sample reach the driver. Scoring is one Arrow map over all rows.
+from trees fitted without it, so neither sees its own label. Only the counts of the sample's terms that
+are above the odds, and its feature rows, reach the driver. Scoring is one Arrow map over all rows.
 
-Defined results: null counts as the empty text and gets a score like any other; a text's score does
-not depend on other rows scored; label rows with null toxic are ignored and repeated ones count
+Defined results: null counts as the empty text and gets a score like any other; very long texts are
+read whole, all features being counts and rates; a text's score does not depend on other rows scored,
+so repeated rows score alike; ties between splits go to the first feature and cut; label rows with null toxic are ignored and repeated ones count
 once, toxic if any is; without both classes every score is the share of toxic labels (0 without
 labels); a null doc_id is never held out and has no label; an empty table gives an empty result;
 columns other than doc_id and text are ignored by ``score`` and kept by ``not_toxic``.
@@ -35,8 +36,6 @@ from quire.llm.shared import text_or_empty, written
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 20_000
-#: Most mined terms.
-TERMS = 4_000
 FOLDS = 5
 LEAST_DOCS = 4
 LEAST_ODDS = 2.5
@@ -157,8 +156,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return written(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
 
 
-def term_counts(rows: DataFrame, terms: int = TERMS) -> list:
-    """For the most telling terms, the toxic and other training rows of each fold that hold them."""
+def _log_odds(toxic: Column, other: Column, all_toxic: int, all_other: int) -> Column:
+    return F.log((toxic + 0.5) / (all_toxic + 1)) - F.log((other + 0.5) / (all_other + 1))
+
+
+def term_counts(rows: DataFrame, totals: dict[int, tuple[int, int]]) -> list:
+    """The toxic and other training rows of each fold that hold a term, for all terms that some
+    lexicon may hold: those whose odds, with all folds or without one, are not far from the least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
@@ -181,7 +185,12 @@ def term_counts(rows: DataFrame, terms: int = TERMS) -> list:
     counted = rows.select("text", "fold", "toxic").mapInArrow(run, "term string, fold int, other long, toxic long")
     sums = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("other", "toxic") for k in range(1, FOLDS)]
     found = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), *sums).where(F.col("toxic") >= LEAST_DOCS)
-    return found.orderBy(F.desc(F.col("toxic") / (F.col("other") + 1)), F.desc("toxic"), "term").limit(terms).collect()
+    all_other, all_toxic = (sum(t[i] for t in totals.values()) for i in (0, 1))
+    telling = _log_odds(F.col("toxic"), F.col("other"), all_toxic, all_other) > LEAST_ODDS - 1e-6
+    for k in range(1, FOLDS):
+        other, toxic = totals.get(k, (0, 0))
+        telling |= _log_odds(F.col("toxic") - F.col(f"toxic{k}"), F.col("other") - F.col(f"other{k}"), all_toxic - toxic, all_other - other) > LEAST_ODDS - 1e-6
+    return found.where(telling).collect()
 
 
 def lexicon(counts: list, totals: dict[int, tuple[int, int]], without: int = 0) -> frozenset[str]:
@@ -197,14 +206,14 @@ def lexicon(counts: list, totals: dict[int, tuple[int, int]], without: int = 0)
     return frozenset(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from at most ``sample`` labelled training rows."""
     rows = labelled(docs, labels, sample)
     totals = {r["fold"]: (r["other"], r["toxic"]) for r in rows.groupBy("fold").agg(F.count_if(F.col("toxic") <= 0).alias("other"), F.count_if(F.col("toxic") > 0).alias("toxic")).collect()}
     other, toxic = (sum(t[i] for t in totals.values()) for i in (0, 1))
     if not other or not toxic:
         return Model(toxic / max(1, toxic + other))
-    counts = term_counts(rows, terms)
+    counts = term_counts(rows, totals)
     lexicons = {k: lexicon(counts, totals, k) for k in range(FOLDS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

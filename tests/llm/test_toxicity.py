@@ -1,10 +1,13 @@
 """Toxicity: held-out accuracy, folds, and awkward input."""
 
+import math
+import re
 import zlib
 
 import numpy as np
 import pytest
 
+from quire.llm import toxicity
 from quire.llm.boosting import fit_isotonic, fit_trees
 from quire.llm.toxicity import fit, not_toxic, score
 from tests.llm import cases
@@ -73,3 +76,62 @@ def test_trees_learn_an_interaction():
     x = rng.random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     assert ((fit_trees(x, y).raw(x) > 0) == y).mean() > 0.97
+
+
+def plain_features(text, lexicon):
+    """The features by loops over words."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * toxicity.N_FEATURES
+    found = {"word": 0, "stem": 0, "seed": 0, "disguised": 0, "shout": 0, "obfuscated": 0}
+    hits, you = [], []
+    for i, raw in enumerate(words):
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", raw.lower())
+        stems = [word[:k] + "*" for k in (4, 5, 6) if len(word) > k]
+        kinds = {"word": word in lexicon, "stem": any(x in lexicon for x in stems), "seed": word in toxicity.SEED_WORDS, "shout": len(word) > 1 and raw.isupper()}
+        kinds["obfuscated"] = bool(re.search(r"[^\W\d_][*@$!|#0134579._-]+[^\W\d_]", raw))
+        spelt = word
+        for a, b in zip("013457@$!|", "oieastasil", strict=True):
+            spelt = spelt.replace(a, b)
+        spelt = {re.sub(r"[\W_]", "", spelt), re.sub(r"[\W\d_]", "", word)}
+        kinds["disguised"] = kinds["obfuscated"] and any(w in toxicity.SEED_WORDS or w in lexicon for w in spelt)
+        for kind, is_so in kinds.items():
+            found[kind] += is_so
+        if kinds["word"] or kinds["stem"] or kinds["seed"] or kinds["disguised"]:
+            hits.append(i)
+        if word in toxicity.SECOND_PERSON:
+            you.append(i)
+    n, near = len(words), sum(any(abs(i - k) <= toxicity.NEAR for k in you) for i in hits)
+    upper, lower = (len(re.findall(x, text)) for x in ("[A-Z]", "[a-z]"))
+    marks = text.count("!") + text.count("?")
+    rates = [found[k] / n for k in ("word", "stem", "seed", "disguised")]
+    return [*rates, float(np.log1p(len(hits))), len(hits) / n, found["word"], found["seed"], near / n, near / max(1, len(hits)), upper / max(1, upper + lower), found["shout"] / n, marks / n, found["obfuscated"] / n, float(np.log1p(n))]
+
+
+def plain_score(text, model):
+    """The score by walking each tree and a line between two knots."""
+    x = plain_features(text, model.lexicon)
+    raw = model.trees.base
+    for features, thresholds, values in zip(model.trees.features, model.trees.thresholds, model.trees.values, strict=True):
+        node = 0
+        for _ in range(model.trees.depth):
+            node = 2 * node + (2 if x[features[node]] > thresholds[node] else 1)
+        raw += values[node - len(features)]
+    knots, at = model.knots, 0
+    while at < len(knots) and knots[at] < raw:
+        at += 1
+    if at in (0, len(knots)):
+        level = model.values[min(at, len(knots) - 1)]
+    else:
+        (x0, x1), (y0, y1) = knots[at - 1 : at + 1], model.values[at - 1 : at + 1]
+        level = y0 + (y1 - y0) * (raw - x0) / (x1 - x0)
+    return 0.999 * level + 0.001 / (1 + math.exp(-max(-30, min(30, raw))))
+
+
+def test_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    want = {r.doc_id: plain_score(r.text, model) for r in docs.collect()}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert set(got) == set(want) and all(abs(got[d].score - w) < 1e-9 for d, w in want.items())
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())

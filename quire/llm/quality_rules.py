@@ -8,9 +8,10 @@ Repeated passages are found without comparing windows to each other: words becom
 three pairwise hashes (strides 1, 2 and 4) make the hash of each window of eight words, and only a
 text in which two windows agree has its windows sorted.
 
-Defined results: a null text has no words (all measures 0, ``base_failed`` true); an empty table
-gives an empty result; rows are judged one by one, so repeated rows give repeated results; columns
-other than doc_id and text are ignored.
+Defined results: a null text has no words (all measures 0, ``base_failed`` true); very long texts are
+measured whole, and no rule fails a text for being long; an empty table gives an empty result; rows are
+judged one by one, so repeated rows give equal results and there are no ties; columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,6 @@ BASE_RULES = (
 
 #: A text that passes the base rules is kept if it passes these too.
 RULES = (
-    Rule("too_many_words", "n_words", "above", 1_000_000, scale=1),
     Rule("short_words", "word_chars", "below", 250, "n_words"),
     Rule("long_words", "word_chars", "above", 1500, "n_words"),
     Rule("symbols", "n_symbols", "above", 20, "n_words"),

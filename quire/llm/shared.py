@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 SALTS = 64
 
 _written: list[tuple[SparkSession, str]] = []
+_path_by_table: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def _path_of(spark: SparkSession, path: str):
+def path_of(spark: SparkSession, path: str):
+    """A path as Hadoop sees it, and its file system."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -50,10 +53,10 @@ def _path_of(spark: SparkSession, path: str):
 def _clean() -> None:
     for spark, path in _written:
         try:
-            where, system = _path_of(spark, path)
+            where, system = path_of(spark, path)
             system.delete(where, True)
         except Exception:  # noqa: BLE001  the session may have ended before
-            return
+            continue
 
 
 atexit.register(_clean)
@@ -73,7 +76,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _path_by_table[table] = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what ``written`` returned, where nothing reads it any more."""
+    for table in tables:
+        if table is not None and (path := _path_by_table.pop(table, None)):
+            where, system = path_of(table.sparkSession, path)
+            system.delete(where, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

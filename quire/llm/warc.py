@@ -1,10 +1,14 @@
 """WARC: write captures as archives, read them back, assemble transactions.
 
-``write_archives`` turns pages into a request, a response or revisit, and a metadata record each,
-and has Spark's text writer store them (a row is the bytes of one capture; the line separator gives
-the last CR LF), so archives go to any file system Spark knows and a failed task leaves no half
-file. ``read_records`` parses archives record by record out of a streaming decompressor; bodies are
-delimited by Content-Length alone, so HTML that contains record headers does no harm.
+``write_archives`` turns pages into a request, a response or revisit, and a metadata record each.
+Every record is a gzip member of its own, as readers that seek expect, and archives begin with a
+warcinfo record. Spark's text writer stores them, so archives go to any file system Spark knows and a
+failed task leaves no half file: a row is a whole archive of about ``archive_bytes``, and a file has one
+row. The writer ends a row with a separator, which can't be empty: it is the last byte of the last
+member, the highest of its length and so zero below 16 MiB (a longer record is followed by an empty
+member, whose length is zero). ``read_records`` parses archives record by record out of a streaming
+decompressor; bodies are delimited by Content-Length alone, so HTML that contains record headers
+does no harm.
 ``assemble`` joins the records of a capture through WARC-Concurrent-To, which may point either way
 and, for one more step, through another record of the capture; it gives one nested row per capture.
 
@@ -12,10 +16,11 @@ Of pages with equal payloads of at least ``least`` bytes, the one with the small
 response and the others revisit it. Equal payloads may be a third of all pages: the lookups of a
 digest and of a revisited record are salted (``with_hot_key``).
 
-Defined results: a null html is an empty payload; a null url becomes ``urn:unknown``; a null page_id
-counts as larger than any; a row that repeats page_id and payload is a further capture, which
-revisits the first if the payload is long enough; an empty table gives no archive records and an
-empty result; columns other than page_id, url and html are ignored.
+Defined results: a null html is an empty payload; very long pages are stored whole, in an archive that
+is larger by as much; a null url becomes ``urn:unknown``; a null page_id counts as larger than any; on
+ties, a row that repeats page_id and payload is a further capture, which revisits the first if the
+payload is long enough; an empty table gives no archives and an empty result; columns other than
+page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.shared import fresh_path, with_hot_key, written
+from quire.llm.shared import fresh_path, path_of, with_hot_key, written
 
 LEAST_PAYLOAD = 100
-CAPTURES_PER_FILE = 1000
+#: Compressed bytes after which an archive ends.
+ARCHIVE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -54,7 +60,7 @@ def _one_line(text: str) -> str:
     return "".join("%%%02X" % ord(c) if ord(c) <= 32 or ord(c) == 127 else c for c in text)
 
 
-def capture_bytes(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, first_id: int | None, revisit: bool) -> bytes:
+def capture_records(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, first_id: int | None, first_url: str | None, revisit: bool) -> list[bytes]:
     """The three records of one capture."""
     uri = _one_line(url) if url else "urn:unknown"
     main = _urn(page_id, copy, digest)
@@ -63,14 +69,26 @@ def capture_bytes(page_id: int | None, copy: int, url: str | None, payload: byte
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     about = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if revisit:
-        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{_urn(first_id, 1, digest)}>")]
+        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{_urn(first_id, 1, digest)}>"), ("WARC-Refers-To-Date", DATE)]
+        about += [("WARC-Refers-To-Target-URI", _one_line(first_url) if first_url else "urn:unknown")]
     request = _urn(page_id, copy, digest, "request")
     fields = f"page-id: {'' if page_id is None else page_id}\r\n".encode()
-    return (
-        _record("request", request, [("WARC-Target-URI", uri), ("WARC-Concurrent-To", f"<{main}>"), ("Content-Type", "application/http; msgtype=request")], get)
-        + _record("revisit" if revisit else "response", main, about, http if revisit else http + payload)
-        + _record("metadata", _urn(page_id, copy, digest, "metadata"), [("WARC-Concurrent-To", f"<{request}>"), ("Content-Type", "application/warc-fields")], fields)
-    )
+    return [
+        _record("request", request, [("WARC-Target-URI", uri), ("WARC-Concurrent-To", f"<{main}>"), ("Content-Type", "application/http; msgtype=request")], get),
+        _record("revisit" if revisit else "response", main, about, http if revisit else http + payload),
+        _record("metadata", _urn(page_id, copy, digest, "metadata"), [("WARC-Concurrent-To", f"<{request}>"), ("Content-Type", "application/warc-fields")], fields),
+    ]
+
+
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member, ending in a zero byte."""
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = squeeze.compress(record) + squeeze.flush()
+    return out if out[-1] == 0 else out + _member(b"")
+
+
+def _info(name: str) -> bytes:
+    return _record("warcinfo", _urn("warcinfo", name), [("Content-Type", "application/warc-fields")], b"software: quire\r\nformat: WARC File Format 1.1\r\n")
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -83,30 +101,54 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 def decide(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """For each page_id and payload (``_k``): first_id, whether its first copy revisits, and later ones."""
-    seen = _keyed(pages).select("_k", "page_id", "digest", (F.octet_length("payload") >= least).alias("long_enough"))
+    seen = _keyed(pages).select("_k", "page_id", "url", "digest", (F.octet_length("payload") >= least).alias("long_enough"))
     seen = written(seen, "warc-digests")
-    firsts = seen.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_rows"))
-    found = with_hot_key(seen.distinct(), firsts, ["digest"], "_k")
-    main = F.col("page_id").eqNullSafe(F.col("first_id"))
-    return found.select("_k", "first_id", (F.col("long_enough") & ~main).alias("revisit"), F.col("long_enough").alias("again"))
+    # The first row of a digest by page_id; of rows that repeat it, the first url (as copies are numbered).
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")
+    firsts = seen.where("long_enough").groupBy("digest").agg(F.min(order).alias("_first"))
+    found = with_hot_key(seen.drop("url").distinct(), firsts, ["digest"], "_k")
+    main = F.col("page_id").eqNullSafe(F.col("_first.page_id"))
+    return found.select("_k", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url"), (F.col("long_enough") & ~main).alias("revisit"), F.col("long_enough").alias("again"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> None:
-    """Write the archives of all pages under ``path``, at most CAPTURES_PER_FILE captures each.
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the archives of all pages under ``path`` as ``part-*.warc.gz``.
 
     The payloads are shuffled once: the join and the count of copies share the key."""
     joined = _keyed(pages).join(decide(pages, least), "_k")
     copy = F.row_number().over(Window.partitionBy("_k").orderBy("url"))
     revisit = F.when(F.col("copy") == 1, F.col("revisit")).otherwise(F.col("again"))
-    rows = joined.withColumn("copy", copy).select("page_id", "copy", "url", "payload", "digest", "first_id", revisit.alias("revisit"))
+    rows = joined.withColumn("copy", copy).select("page_id", "copy", "url", "payload", "digest", "first_id", "first_url", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = [capture_bytes(*row)[:-2] for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+        members, size = [], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["archive"])
 
-    blocks = rows.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
-    blocks.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = [column[i].as_py() for column in batch.columns]
+                if not members:
+                    members = [_member(_info(f"{row[0]}/{row[1]}/{row[4]}"))]
+                members += map(_member, capture_records(*row))
+                size += sum(map(len, members[-3:]))
+                if size >= archive_bytes:
+                    yield archive()
+                    members, size = [], 0
+        if members:
+            yield archive()
+
+    archives = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
+    where, system = path_of(pages.sparkSession, path)
+    for file in system.listStatus(where):
+        name = file.getPath().getName()
+        if name.endswith(".txt"):
+            if not file.getLen():
+                system.delete(file.getPath(), False)
+            else:
+                system.rename(file.getPath(), path_of(pages.sparkSession, f"{path}/{name[:-4]}.warc.gz")[0])
 
 
 class _Stream:
@@ -215,7 +257,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     return files.mapInArrow(run, _RECORD)
 
 

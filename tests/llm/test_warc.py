@@ -1,6 +1,9 @@
 """WARC archives: round trips, assembly and revisits."""
 
+import gzip
 import hashlib
+import random
+import zlib
 
 from quire.llm import warc
 
@@ -53,12 +56,53 @@ def test_payload_bytes_survive(spark, tmp_path):
     assert all(c.request.target_uri == c.response.target_uri and "page-id" in c.metadata.fields for c in captures)
 
 
-def test_members_and_directions():
-    import gzip
-
-    one = warc.capture_bytes(1, 1, "u", b"a" * 10, "d", None, False)
-    parts = list(warc.parse(gzip.compress(one) + gzip.compress(one)))
-    assert [p[0] for p in parts] == ["request", "response", "metadata"] * 2
+def members_of(data):
+    """The contents of each gzip member."""
+    out = []
+    while data:
+        one = zlib.decompressobj(31)
+        out.append(one.decompress(data))
+        assert one.eof
+        data = one.unused_data
+    return out
+
+
+def test_members():
+    records = warc.capture_records(1, 1, "u", b"a" * 10, "d", None, None, False)
+    data = b"".join(map(warc._member, records))
+    assert members_of(data) == records
+    assert [p[0] for p in warc.parse(data + data)] == ["request", "response", "metadata"] * 2
+    # From 16 MiB on the length's last byte is not zero.
+    long = b"x" * (17 << 20)
+    assert members_of(warc._member(long)) == [long, b""] and warc._member(long)[-1] == 0 == warc._member(b"y")[-1]
+
+
+def test_archives(spark, tmp_path):
+    """Each record is a member, archives begin with a warcinfo record and end by their bytes."""
+    rng = random.Random(4)
+    rows = [(i, f"http://h/{i}", "".join(rng.choices("abcdefgh", k=3000))) for i in range(100)] + [(200, "http://copy/", "same" * 100), (201, None, "same" * 100)]
+    warc.write_archives(pages(spark, rows), str(tmp_path / "a"), archive_bytes=20_000)
+    files = sorted((tmp_path / "a").glob("*.warc.gz"))
+    assert len(files) > 5 and not list((tmp_path / "a").glob("*.txt"))
+    kinds = []
+    for file in files:
+        data = file.read_bytes()
+        records = members_of(data)
+        assert len(data) < 26_000 and all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records)
+        found = [x[0] for r in records for x in warc.parse(r)]
+        assert len(found) == len(records) and found[0] == "warcinfo" and found.count("warcinfo") == 1
+        assert gzip.decompress(data) == b"".join(records)
+        kinds += found
+        for _, _, headers, _ in warc.parse(data):
+            if headers["warc-type"] == ["revisit"]:
+                assert headers["warc-refers-to-target-uri"] == ["http://copy/"] and headers["warc-refers-to-date"] == [warc.DATE]
+    assert (kinds.count("request"), kinds.count("response"), kinds.count("revisit")) == (102, 101, 1)
+
+
+def test_very_long_page(spark):
+    rows = [(1, "u", "long page " * 2_000_000), (2, "u", "long page " * 2_000_000), (3, "u", "short")]
+    got = warc.page_captures(pages(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
 def test_concurrent_to_either_way(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import byte_bpe, exact_dedup, minhash_dedup, source_mix, toxicity
-from quire.llm.shared import written
+from quire.llm.shared import forget, written
 from quire.plans.registry import table
 
 
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

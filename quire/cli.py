@@ -91,8 +91,9 @@ def vault(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def training(spark: SparkSession, a: argparse.Namespace) -> int:
     ext = archive.wanted_extensions(a.ext, tuple(corpora.TRAINING_EXTENSIONS))
-    records, _, manifest = corpora.training_corpus(extracted_files(spark, a.root), a.arc, ext)
+    records, skips, manifest = corpora.training_corpus(extracted_files(spark, a.root), a.arc, ext)
     sinks.write_jsonl(records, f"{a.output}/{a.arc.upper()}/training_corpus", order=["source_path"])
+    sinks.write_jsonl(skips, f"{a.output}/{a.arc.upper()}/skipped", order=["source_file"])
     sinks.write_text(sinks.manifest_json(manifest), spark, f"{a.output}/{a.arc.upper()}/manifest.json")
     return 0
 

@@ -131,15 +131,14 @@ def svg_texts(files: DataFrame) -> DataFrame:
 
 
 def training_manifest(records: DataFrame, skips: DataFrame, arc: str, extensions: list[str]) -> DataFrame:
-    """One row of counts and lists; only counts and the skips are gathered."""
-    both = records.select(F.lit(True).alias("good"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("error")).unionByName(skips.select(F.lit(False).alias("good"), "source_file", "error"))
+    """One row of counts; the skips, which may be many, are a table of their own."""
+    both = records.select(F.lit(True).alias("good")).unionByName(skips.select(F.lit(False).alias("good")))
     return both.agg(
         F.lit(arc).alias("arc"),
         F.lit(sorted(extensions)).alias("source_extensions"),
         F.count(F.lit(1)).alias("source_count"),
         F.count_if("good").alias("record_count"),
         F.count_if(~F.col("good")).alias("skipped_count"),
-        F.sort_array(F.collect_list(F.when(~F.col("good"), F.struct("source_file", "error")))).alias("skipped"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import basename, extension, or_default, query_value, server_path, stem, strip, url_parts, zero_pad
 from quire.operators.ordered import last_wins
 
+# Extensions of assets.
 ASSET_EXTENSIONS = [".jpg", ".jpeg", ".gif", ".png", ".svg", ".pdf"]
 
 # Manual archive and the wiring archive that exports pair with it.
@@ -60,8 +61,8 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def with_wiring(rows: DataFrame, pairs: DataFrame, arc: str = "arc", override: Column | None = None) -> DataFrame:
-    """``wiring_arc``: the override, else the paired archive, else null. The pairs are a fixed table."""
-    paired = rows.join(F.broadcast(pairs.select(F.col("manual_arc").alias("_m"), F.col("wiring_arc").alias("_w"))), F.col(arc) == F.col("_m"), "left")
+    """``wiring_arc``: the override, else the paired archive, else null."""
+    paired = rows.join(pairs.select(F.col("manual_arc").alias("_m"), F.col("wiring_arc").alias("_w")), F.col(arc) == F.col("_m"), "left")
     found = F.coalesce(override, F.col("_w")) if override is not None else F.col("_w")
     return paired.withColumn("wiring_arc", found).drop("_m", "_w")
 
@@ -176,15 +177,13 @@ def wiring_sheets(requests: DataFrame, index: DataFrame, width: int = 3) -> Data
     """First and further sheets of requests (book, cell): names that begin with the book and the
     padded cell and end in ``.svg``.
 
-    Sheets and requests meet on their first characters, the book and three of the cell's, so a
-    prefix lookup is a hash join."""
+    A sheet is listed under each of its prefixes of at least ``width`` characters, as many as its name is
+    long, so a prefix lookup is a hash join and the plan needs no look at the requests."""
     sheets = global_index(index).where(F.col("basename_lc").endswith(".svg"))
     asked = requests.withColumn("prefix", F.lower(F.concat(F.upper("book"), zero_pad(F.coalesce("cell", F.lit("")), width))))
-    keys = asked.select("prefix").distinct().withColumn("_n", F.length("prefix"))
-    lengths = [r[0] for r in keys.select("_n").distinct().orderBy("_n").collect()]
-    cut = sheets.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n")) if lengths else sheets.withColumn("_n", F.lit(0))
-    cut = cut.where(F.length("basename_lc") >= F.col("_n")).withColumn("prefix", F.substring("basename_lc", F.lit(1), F.col("_n")))
-    found = cut.join(keys.select("prefix"), "prefix", "left_semi").groupBy("prefix").agg(F.sort_array(F.collect_list("path")).alias("_all"))
+    lengths = F.sequence(F.lit(width), F.greatest(F.length("basename_lc"), F.lit(width)))
+    cut = sheets.select("path", F.explode(F.transform(lengths, lambda n: F.substring("basename_lc", F.lit(1), n))).alias("prefix"))
+    found = cut.join(asked.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.sort_array(F.collect_list("path")).alias("_all"))
     out = asked.join(found, "prefix", "left")
     return out.withColumn("first_sheet", F.get("_all", F.lit(0))).withColumn("more_sheets", F.coalesce(F.slice("_all", 2, F.greatest(F.size("_all"), F.lit(1))), F.array().cast("array<string>"))).drop("_all")
 

@@ -133,20 +133,21 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.chunk_export(page_files(spark, sf_dir), "PAG", target=300, overlap=60)
 
 
-@REGISTRY.query("decode_roundtrip", "SELECT doc_id, sha256(text) AS payload_sha256, 0 AS n_errors FROM documents WHERE strlen(text) > 0")
+@REGISTRY.query("decode_roundtrip", f"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN sha256(unhex('{decode.BLOCK_MAGIC.hex()}0000')) ELSE sha256(text) END AS payload_sha256, 0 AS n_errors FROM documents")
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts wrapped as raw chunks of a block by SQL functions, and decoded again."""
-    data = F.col("text").cast("binary")
-    count = F.ceil(F.octet_length("text") / 16384).cast("int")
+    """Texts wrapped as raw chunks of a block by SQL functions, and decoded again; an empty block is
+    its own payload."""
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    count = F.ceil(F.octet_length(data) / 16384).cast("int")
 
     def chunk(i):
         part = F.substring(data, i * 16384 + 1, F.lit(16384))
         low = F.lpad(F.hex(65536 - F.octet_length(part)), 4, "0")
         return F.concat(F.substring(low, 3, 2), F.substring(low, 1, 2), F.hex(part))
 
-    body = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), chunk), "")
+    body = F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(0), count - 1), chunk), "")).otherwise("")
     raw = F.unhex(F.concat(F.lit(decode.BLOCK_MAGIC.hex()), body, F.lit("0000")))
-    rows = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", raw.alias("raw"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
     return decode.decoded(rows).select("doc_id", F.sha2("payload", 256).alias("payload_sha256"), F.col("error").isNotNull().cast("int").alias("n_errors"))
 
 

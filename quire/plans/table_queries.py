@@ -30,18 +30,17 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.last_wins(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-PLACED = "SELECT doc_id, coalesce(source, '') AS arc, (sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) - strlen(text) + 16)::BIGINT AS data_offset, strlen(text)::BIGINT AS true_size FROM documents"
+PLACED = "SELECT doc_id, coalesce(source, '') AS arc, (sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n + 16)::BIGINT AS data_offset, n::BIGINT AS true_size FROM (SELECT *, strlen(coalesce(text, '')) AS n FROM documents)"
 
 
-@REGISTRY.query("size_repair", f"SELECT arc, doc_id, data_offset, true_size AS size FROM ({PLACED}) WHERE true_size > 0")
+@REGISTRY.query("size_repair", f"SELECT arc, doc_id, data_offset, true_size AS size FROM ({PLACED})")
 def size_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes stored modulo 65,536 of documents laid end to end, and repaired."""
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("source").orderBy("doc_id")
-    n = F.octet_length("text").cast("long")
-    rows = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0)
-    rows = rows.select("doc_id", F.coalesce("source", F.lit("")).alias("arc"), (F.sum(n).over(order) - n + 16).alias("data_offset"), (n % 65536).alias("size"), (F.sum(n).over(Window.partitionBy("source")) + 16).alias("archive_size"))
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("arc"), (F.sum(n).over(order) - n + 16).alias("data_offset"), (n % 65536).alias("size"), (F.sum(n).over(Window.partitionBy("source")) + 16).alias("archive_size"))
     fixed = ordered.repaired_sizes(rows.withColumn("entry_index", F.col("doc_id")))
     return fixed.select("arc", "doc_id", "data_offset", "size")
 
@@ -120,8 +119,8 @@ def asset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Candidates of a text against a trusted copy: as it is, normalised, without its first character,
 #: and with a tail. The copy is the text without blanks at its end and with one changed byte.
 SCORED = r"""
-WITH base AS (
-  SELECT doc_id, text AS t, CASE WHEN doc_id % 3 = 0 THEN rtrim(text) ELSE left(text, (length(text) // 2)::BIGINT) || '#' || substr(text, (length(text) // 2 + 2)::BIGINT) END AS r FROM documents
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), base AS (
+  SELECT doc_id, text AS t, CASE WHEN doc_id % 3 = 0 THEN rtrim(text) ELSE left(text, (length(text) // 2)::BIGINT) || '#' || substr(text, (length(text) // 2 + 2)::BIGINT) END AS r FROM texts
 ), c AS (
   SELECT doc_id, r, 0 AS place, 'default' AS variant, t AS p FROM base
   UNION ALL SELECT doc_id, r, 1, 'normalised', rtrim(t) FROM base
@@ -141,7 +140,7 @@ FROM s GROUP BY doc_id"""
 
 @REGISTRY.query("best_candidate", SCORED)
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     changed = F.concat(F.substring("text", F.lit(1), half), F.lit("#"), F.substring("text", half + 2, F.length("text")))
     trusted = F.when(F.col("doc_id") % 3 == 0, F.rtrim("text")).otherwise(changed)

@@ -13,25 +13,32 @@ signature. Documents with equal sets are one node, so copies never meet in a buc
 3. Confirmation: inside a cluster, full sets are compared through an inverted index; again only a
    spanning forest of the confirmed links is emitted, and its components are the result.
 
-In both comparisons a member that already belongs to the largest part of its group is not compared
-again: any link between two parts has an end outside the largest one. Groups of more than ``CROWD``
-members are split into blocks that share a hub; what the blocks leave apart is then compared with the
-whole group, in blocks of queries. No pairs are emitted, nothing is dropped or capped.
+Groups of more than ``crowd`` members are split into blocks that share a hub, so that alike members
+are linked through it. A bucket that its blocks leave apart is dealt anew by ``CELLS`` further keys,
+each of ``CELL_FIELDS`` fields of the signatures: members that are not alike fall into different cells,
+so a member has at most ``CELLS`` rows however large the bucket is. What is left apart in a cell or a
+cluster of more than ``crowd`` members is compared in full, in blocks of queries against slices of
+members; queries are the members outside the group's largest part, as any link between two parts has
+an end there. No pairs are emitted, nothing is dropped or capped.
 
 Bands have as many rows as leave a pair at the threshold without a common band with probability
 below 3e-7: 32 bands of 6 rows at 0.85 (2.6e-7), 38 of 5 at 0.8 (2.8e-7). Below a threshold of 0.08
-even bands of one row miss more.
+even bands of one row miss more. Cells add to that only for pairs whose common bands are all crowded
+and left apart; such a pair has ``CELLS`` chances in each of them, each with other fields.
 
 Defined results: null counts as empty; a text without words has an empty set, is linked with nothing
-and stays; fewer words than a shingle make one shingle; a null doc_id counts as larger than any, and a
-component of null ids has a null component_id; rows that repeat a doc_id are separate documents, of
-which ``near_dedup`` keeps one of each component; an empty table gives an empty result; other columns
-are ignored by ``near_groups`` and carried unchanged by ``near_dedup``.
+and stays; fewer words than a shingle make one shingle; very long texts have their whole sets compared;
+a null doc_id counts as larger than any, and a component of null ids has a null component_id; ties
+between equal doc_ids are decided by the order of rows; rows that repeat a doc_id are separate
+documents, of which ``near_dedup`` keeps one of each component; an empty table gives an empty result;
+other columns are ignored by ``near_groups`` and carried unchanged, whatever their names, by
+``near_dedup``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +56,13 @@ MISSED = 3e-7
 BITS = 2
 #: Standard errors of the estimate that a candidate may fall short of the threshold.
 MARGIN = 5.5
-#: Members of a group that one task compares.
-CROWD = 2048
+#: Members of a group that are compared in one block.
+CROWD = 128
+#: Further keys of a member of a crowded bucket, and the fields of a signature that make one.
+CELLS, CELL_FIELDS = 16, 8
 #: Shingles of a group that one task indexes.
 CROWD_SHINGLES = 1 << 21
-#: Clustered nodes up to this number (some 20 MB) may be broadcast; beyond it a shuffle joins them.
+#: Clustered nodes up to this number (some 20 MB) may be broadcast; with more, a shuffle joins them.
 FEW_IDS = 250_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -149,10 +158,13 @@ def estimate(one: np.ndarray, other: np.ndarray) -> float:
     return (1 - mismatches(one, other) / SIZE - chance) / (1 - chance)
 
 
-def forest(size: int, linked_with: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``size`` members; ``linked_with`` gives all links of one."""
-    label, done, edges = np.arange(size), np.zeros(size, bool), []
-    main = -1
+def forest(size: int, linked_with: Callable[[int], np.ndarray], parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``size`` members; ``linked_with`` gives all links of one.
+
+    Members of equal ``parts`` count as linked already: only edges between parts are given."""
+    label = np.arange(size) if parts is None else np.unique(parts, return_inverse=True)[1]
+    done, edges = np.zeros(size, bool), []
+    main = -1 if parts is None else np.bincount(label).argmax()
     while (left := np.flatnonzero(~done & (label != main))).size:
         i = left[0]
         done[i] = True
@@ -241,25 +253,34 @@ def _in_blocks(rows: DataFrame, group: str, blocks: str, hub: str) -> DataFrame:
     return dealt.repartition(group, "block").sortWithinPartitions(group, "block", F.col("node") != F.col(hub), "node")
 
 
-def _left_apart(rows: DataFrame, group: str, edges: DataFrame, crowd: int, crowd_shingles: int = CROWD_SHINGLES) -> DataFrame | None:
-    """Of groups in several blocks that still have several labels: every member in the blocks of
-    queries, a block's queries (members outside the group's largest label) first; None if there are
-    none. ``rows`` holds the groups in several blocks."""
-    if rows.isEmpty():
-        return None
+def _apart(rows: DataFrame, group: str, edges: DataFrame) -> DataFrame:
+    """The rows of groups that the edges leave in several parts, with the label of their part."""
     labels = components(edges)
-    known = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = written(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "minhash-labelled")
+    several = known.groupBy(group).agg((F.min("label") < F.max("label")).alias("_several"))
+    # A group may hold a third of all rows, so facts about groups are salted.
+    return with_hot_key(known, several, [group], "node").where("_several").drop("_several")
+
+
+def _across(known: DataFrame, group: str, crowd: int, crowd_shingles: int = CROWD_SHINGLES) -> DataFrame:
+    """Queries against members: ``known`` has labelled groups in several parts. A block of queries
+    (members outside the group's largest part) meets each slice of members, queries first."""
     counts = known.groupBy(group, "label").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_size"))
     main = F.max_by(F.struct("label", "_n", "_size"), F.struct("_n", "label"))
-    about = counts.groupBy(group).agg(main.alias("_m"), F.sum("_n").alias("_n"), F.sum("_size").alias("_size")).where("_n > _m._n")
+    about = counts.groupBy(group).agg(main.alias("_m"), F.sum("_n").alias("_n"), F.sum("_size").alias("_size"))
     blocks = F.greatest(F.ceil((F.col("_n") - F.col("_m._n")) / crowd), F.ceil((F.col("_size") - F.col("_m._size")) / crowd_shingles))
-    about = about.select(group, F.col("_m.label").alias("_main"), blocks.cast("long").alias("_blocks"))
-    found = known.join(about, group)
-    query = F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block"), F.lit(True).alias("query")))
-    member = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(False).alias("query")))
-    dealt = found.withColumn("_to", F.explode(F.when(F.col("label") != F.col("_main"), F.concat(query, member)).otherwise(member)))
-    dealt = dealt.select("*", "_to.block", "_to.query").drop("_to", "_main", "_blocks")
-    return dealt.repartition(group, "block").sortWithinPartitions(group, "block", F.desc("query"))
+    about = about.select(group, F.col("_m.label").alias("_main"), blocks.cast("long").alias("_blocks"), F.ceil(F.col("_n") / crowd).cast("long").alias("_slices"))
+    place = lambda block, slice_, query: F.struct((block * F.col("_slices") + slice_).alias("block"), F.lit(query).alias("query"))
+    own_block, own_slice = F.pmod(F.xxhash64("node"), F.col("_blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("_slices"))
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    query = F.transform(all_of("_slices"), lambda s: place(own_block, s, True))
+    member = F.transform(all_of("_blocks"), lambda b: place(b, own_slice, False))
+    dealt = with_hot_key(known, about, [group], "node").withColumn("_to", F.explode(F.when(F.col("label") != F.col("_main"), F.concat(query, member)).otherwise(member)))
+    return dealt.select("*", "_to.block", "_to.query").drop("_to", "_main", "_blocks", "_slices")
+
+
+def _queries_first(rows: DataFrame, group: str) -> DataFrame:
+    return rows.repartition(group, "block").sortWithinPartitions(group, "block", F.desc("query"))
 
 
 def _new_links(held: set, label: int, others: np.ndarray, node: int, nodes: np.ndarray) -> list[tuple[int, int]]:
@@ -276,6 +297,33 @@ def _sig_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
+@lru_cache(maxsize=4096)
+def _cell_fields(key: int) -> np.ndarray:
+    """Which fields make the cells of a bucket: rows of CELL_FIELDS numbers."""
+    at = np.arange(CELLS * CELL_FIELDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return (_mix(at ^ np.array([key], np.int64).view(np.uint64)) % np.uint64(SIZE)).astype(np.int64).reshape(CELLS, CELL_FIELDS)
+
+
+def in_cells(known: DataFrame) -> DataFrame:
+    """Labelled members of crowded buckets, once for each of their cells, which take the key's place."""
+    shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
+    weights = (np.uint64(1) << (np.arange(CELL_FIELDS, dtype=np.uint64) * np.uint64(BITS)))[None, :]
+    number = np.arange(1, CELLS + 1, dtype=np.uint64) << np.uint64(BITS * CELL_FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = ((_sig_matrix(batch.column("sig"))[:, :, None] >> shifts) & np.uint64((1 << BITS) - 1)).reshape(batch.num_rows, SIZE)
+            keys = batch.column("key").to_numpy()
+            made = np.empty((batch.num_rows, CELLS), np.uint64)
+            for i, key in enumerate(keys):
+                made[i] = (fields[i][_cell_fields(int(key))] * weights).sum(axis=1, dtype=np.uint64) + number
+            made = _mix(made ^ keys.view(np.uint64)[:, None]).view(np.int64)
+            same = pa.array(np.repeat(np.arange(batch.num_rows), CELLS))
+            yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), *(batch.column(c).take(same) for c in ("node", "n", "sig", "label"))], ["key", "node", "n", "sig", "label"])
+
+    return known.select("key", "node", "n", "sig", "label").mapInArrow(run, "key long, node long, n long, sig binary, label long")
+
+
 def candidate_edges(nodes: DataFrame, percent: int, crowd: int = CROWD) -> DataFrame:
     """Spanning forests of the candidates of each bucket."""
     most = most_mismatches(percent)
@@ -295,21 +343,16 @@ def candidate_edges(nodes: DataFrame, percent: int, crowd: int = CROWD) -> DataF
             bounds = tables.column("run").to_numpy()
             ends = np.append(np.flatnonzero(np.diff(bounds)) + 1, len(bounds))
             starts = np.append(0, ends[:-1])
+            label = tables.column("label").to_numpy()
             two = starts[ends - starts == 2]
-            close = (mismatches(sig[two], sig[two + 1]) <= most) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
+            close = (mismatches(sig[two], sig[two + 1]) <= most) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])) & (label[two] != label[two + 1])
             out += list(zip(node[two[close]].tolist(), node[two[close] + 1].tolist(), strict=True))
             for s, e in zip(starts, ends, strict=True):
                 if e - s > 2:
-                    out += [(node[s + i], node[s + k]) for i, k in forest(e - s, lambda i, s=s, e=e: near(n[s:e], sig[s:e], n[s + i], sig[s + i]))]
+                    out += [(node[s + i], node[s + k]) for i, k in forest(e - s, lambda i, s=s, e=e: near(n[s:e], sig[s:e], n[s + i], sig[s + i]), label[s:e])]
             if out:
                 yield _edges(out)
 
-    columns = ["key", "block", "node", "n", "sig"]
-    edges = written(_in_blocks(met, "key", "blocks", "hub").select(columns).mapInArrow(compare, "a long, b long").distinct(), "minhash-candidates")
-    apart = _left_apart(met.where("blocks > 1"), "key", edges, crowd)
-    if apart is None:
-        return edges
-
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, node, label, n, sig, held = None, [], [], [], [], set()
         for table in runs(batches, ["key", "block", "query"], whole=False):
@@ -327,18 +370,32 @@ def candidate_edges(nodes: DataFrame, percent: int, crowd: int = CROWD) -> DataF
             if out:
                 yield _edges(out)
 
-    more = apart.select("key", "block", "query", "node", "label", "n", "sig").mapInArrow(across, "a long, b long")
+    in_blocks = lambda rows: _in_blocks(rows, "key", "blocks", "hub").select("key", "block", "node", "label", "n", "sig").mapInArrow(compare, "a long, b long")
+    edges = written(in_blocks(met.withColumn("label", F.col("node"))).distinct(), "minhash-candidates")
+    crowded = met.where("blocks > 1")
+    if crowded.isEmpty():
+        return edges
+    cells = written(in_cells(_apart(crowded, "key", edges)), "minhash-cells")
+    full = cells.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.min("node").alias("hub"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi")
+    full = full.withColumn("blocks", F.ceil(F.col("_m") / crowd).cast("long")).drop("_m", "_lo", "_hi")
+    met = written(cells.join(full, "key"), "minhash-in-cells")
+    edges = written(edges.union(in_blocks(met)).distinct(), "minhash-candidates")
+    crowded = met.where("blocks > 1").drop("label")
+    if crowded.isEmpty():
+        return edges
+    rest = _queries_first(_across(_apart(crowded, "key", edges), "key", crowd), "key")
+    more = rest.select("key", "block", "query", "node", "label", "n", "sig").mapInArrow(across, "a long, b long")
     return written(edges.union(more).distinct(), "minhash-candidates")
 
 
-def confirmed_edges(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int, width: int, crowd: int = CROWD, crowd_shingles: int = CROWD_SHINGLES) -> DataFrame:
+def confirmed_edges(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int, width: int, crowd: int = CROWD, crowd_shingles: int = CROWD_SHINGLES, few_ids: int = FEW_IDS) -> DataFrame:
     """Spanning forests of the links of each cluster, confirmed on full sets."""
     sized = clusters.withColumnRenamed("label", "cluster").join(nodes.select("node", "n", "doc_id", "same"), "node")
     about = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / crowd), F.ceil(F.sum("n") / crowd_shingles)).cast("long").alias("blocks"), F.min("node").alias("hub"))
     wanted = written(sized.join(about, "cluster"), "minhash-clusters")
     text = text_or_empty()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_same"), text.cast("binary").alias("text"))
-    ids = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
+    ids = F.broadcast(wanted) if wanted.count() <= few_ids else wanted
     met = texts.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_same") == F.col("same"))).drop("_id", "_same", "same", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,13 +411,12 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, perc
     dealt = _in_blocks(met, "cluster", "blocks", "hub").select("cluster", "block", "node", "text")
     edges = written(dealt.mapInArrow(compare, "a long, b long"), "minhash-links")
     large = wanted.where("blocks > 1")
-    apart = _left_apart(large, "cluster", edges, crowd, crowd_shingles)
-    if apart is None:
+    if large.isEmpty():
         return edges
-    # Texts join what is left apart by node; each block holds as many queries as the caps allow.
-    placed = apart.select("cluster", "block", "query", "node", "label")
+    # Texts join what is left apart by node.
+    placed = _across(_apart(large, "cluster", edges), "cluster", crowd, crowd_shingles).select("cluster", "block", "query", "node", "label")
     large_texts = written(met.where("blocks > 1").select("node", "text").dropDuplicates(["node"]), "minhash-large")
-    across_rows = placed.join(large_texts, "node").repartition("cluster", "block").sortWithinPartitions("cluster", "block", F.desc("query"))
+    across_rows = _queries_first(placed.join(large_texts, "node"), "cluster")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -387,7 +443,7 @@ def confirmed_edges(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, perc
     return written(edges.union(more), "minhash-links")
 
 
-def _grouped(docs: DataFrame, percent: int, width: int, crowd: int) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, width: int, crowd: int, few_ids: int) -> DataFrame:
     """rid, doc_id, same, n, component_id and ``first``: whether the row is its component's least."""
     rows = signed(docs, percent, width)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
@@ -395,7 +451,7 @@ def _grouped(docs: DataFrame, percent: int, width: int, crowd: int) -> DataFrame
     nodes = rows.where("print IS NOT NULL").groupBy("print").agg(best.alias("best"), F.max(F.struct("sig", "keys")).alias("made"), F.first("n").alias("n"))
     nodes = written(nodes.select("print", F.col("best.rid").alias("node"), "best.doc_id", "best.same", "n", "made.sig", "made.keys"), "minhash-nodes")
     clusters = components(candidate_edges(nodes, percent, crowd))
-    labels = components(confirmed_edges(docs, nodes, clusters, percent, width, crowd))
+    labels = components(confirmed_edges(docs, nodes, clusters, percent, width, crowd, few_ids=few_ids))
     known = nodes.select("print", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("least"))
     facts = known.join(least, "label").select("print", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("first_rid"))
@@ -404,17 +460,20 @@ def _grouped(docs: DataFrame, percent: int, width: int, crowd: int) -> DataFrame
     return placed.unionByName(alone).withColumn("first", F.col("rid") == F.col("first_rid"))
 
 
-def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD, few_ids: int = FEW_IDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    found = _grouped(docs, percent, width, crowd)
+    found = _grouped(docs, percent, width, crowd, few_ids)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD, few_ids: int = FEW_IDS) -> DataFrame:
     """One document of each component, all columns unchanged."""
-    stay = written(_grouped(docs, percent, width, crowd).where("first").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")), "minhash-stay")
-    stay = stay.groupBy("_id", "_same").agg(F.count(F.lit(1)).alias("_times"))
-    rows = docs.withColumn("_hash", F.xxhash64(text_or_empty())).withColumn("_doc", F.col("doc_id").cast("long"))
+    stay = written(_grouped(docs, percent, width, crowd, few_ids).where("first").select("doc_id", "same"), "minhash-stay")
+    stay = stay.groupBy(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).agg(F.count(F.lit(1)).alias("_times"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = rows.select(*names, F.xxhash64(text_or_empty(text)).alias("_hash"), F.col(doc_id).cast("long").alias("_doc"))
     met = rows.join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_same")))
     turn = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_doc"))
-    return met.withColumn("_turn", turn).where("_turn <= _times").select(*[rows[c] for c in docs.columns])
+    return met.withColumn("_turn", turn).where("_turn <= _times").select(*names).toDF(*docs.columns)

@@ -64,14 +64,60 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("crowd", [8, m.CROWD])
-def test_against_brute_force(spark, crowd):
+@pytest.mark.parametrize(("crowd", "few_ids"), [(8, m.FEW_IDS), (3, 0), (m.CROWD, 0)])
+def test_against_brute_force(spark, crowd, few_ids):
+    """With crowded groups and without, clustered nodes broadcast and shuffled."""
     rows = [(r[0], r[1]) for r in cases.ROWS]
     rows += family(60, 60, 6, 1) + family(40, 300, 25, 2, 3000) + family(30, 12, 2, 3, 5000)
-    got = m.near_groups(frame(spark, rows).repartition(6), 85, 3, crowd)
+    got = m.near_groups(frame(spark, rows).repartition(6), 85, 3, crowd, few_ids)
     assert rows_of(got) == brute(rows, 85, 3)
 
 
+def synthetic(spark, sigs, key=7):
+    """Nodes that all share one band."""
+    rows = [(i, 100, np.array(x, np.uint64).tobytes(), [key]) for i, x in enumerate(sigs)]
+    return spark.createDataFrame(rows, "node long, n long, sig binary, keys array<long>")
+
+
+def test_unlike_members_of_a_bucket_are_not_compared_in_full(spark, monkeypatch):
+    """Members of one band that are not alike have as many rows as there are cells, and a few alike
+    ones among them are found."""
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 1 << 63, (1500, 6), dtype=np.uint64) * np.uint64(2)
+    for i in range(0, 60, 2):
+        sigs[i + 1] = sigs[i] ^ np.array([1 << int(rng.integers(40)), 0, 0, 1 << int(rng.integers(40)), 0, 0], np.uint64)
+    dealt = []
+    cells = m.in_cells
+    monkeypatch.setattr(m, "in_cells", lambda known: dealt.append(cells(known)) or dealt[-1])
+    monkeypatch.setattr(m, "_across", None)
+    edges = {(min(r), max(r)) for r in m.candidate_edges(synthetic(spark, sigs), 85, crowd=32).collect()}
+    assert edges == {(i, i + 1) for i in range(0, 60, 2)}
+    assert len(dealt) == 1 and dealt[0].count() <= m.CELLS * len(sigs)
+
+
+def test_slices_are_linear_in_members(spark):
+    """A few members apart from a large part: each slice of members meets them once."""
+    known = spark.createDataFrame([(1, i, 5, 0 if i < 990 else i) for i in range(1000)], "cluster long, node long, n long, label long")
+    rows = m._across(known, "cluster", 50)
+    largest = rows.groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert rows.count() == 1000 + 10 * 20 and largest < 110
+
+
+def test_any_column_names(spark):
+    names = ["_hash", "_doc", "_id", "_same", "_times", "_turn", "c0", "first", "same", "a.b"]
+    docs = cases.table(spark, extra=False)
+    for name in names:
+        docs = docs.withColumn(name, m.F.concat(m.F.lit(name), m.F.col("doc_id")))
+    got, rows = m.near_dedup(docs), {r.doc_id: tuple(r) for r in docs.collect()}
+    assert got.columns == docs.columns and all(tuple(r) == rows[r.doc_id] for r in got.collect()) and got.count() == 9
+
+
+def test_repeated_rows_without_id(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (None, "seven eight nine ten"), (5, "seven eight nine ten")]
+    got = m.near_groups(frame(spark, rows), 85, 3)
+    assert rows_of(got) == brute(rows, 85, 3) and m.near_dedup(frame(spark, rows), 85, 3).count() == 2
+
+
 def test_documents_against_brute_force(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import decode, html
-from quire.operators import chunking, corpora, lookup, scoring
+from quire.operators import chunking, corpora, indexes, lookup, scoring
 from quire.plans.registry import Registry, table
 from quire.plans.scratch import scratch_path
 from quire.sources import archive, sinks
@@ -229,11 +229,18 @@ def part_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         lit('<ul> <img src="i'), key, lit('.gif"> </ul><ol start="'), size, lit('"><li>'), "p_type", lit('</li></ol><p>See <span class="x popup">'), "p_brand", lit("</span> now</p><p>"),
         "p_name", lit(" | "), "p_brand", lit(" || "), "p_type", lit(" | "), size, lit("</p>"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(lit("<html><head>"), head, lit("</head><body>"), body, lit("</body></html>")).alias("html"))
+    # A byte that is no UTF-8 goes.
+    page = F.concat(F.concat(lit("<html><head>"), head, lit("</head><body>")).cast("binary"), F.unhex(lit("FF")), F.concat(body, lit("</body></html>")).cast("binary"))
+    return table(spark, sf_dir, "part").select("p_partkey", page.alias("html"))
 
 
-@REGISTRY.query("mended_pages", """SELECT p_partkey, concat_ws(chr(10) || chr(10), '# ' || p_name, '| Brand | Size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_brand || ' | ' || p_size || ' |', '![](i' || p_partkey || '.gif)',
-  '**' || p_size || '.** ' || p_type, 'See ' || p_brand || ' now', '| ' || p_name || ' | ' || p_brand || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_type || ' | ' || p_size || ' |') || chr(10) AS markdown FROM part""")
+def part_markdown(image: str) -> str:
+    """The Markdown of a part's page in SQL, without its last LF; the image is an SQL expression."""
+    return f"""concat_ws(chr(10) || chr(10), '# ' || p_name, '| Brand | Size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_brand || ' | ' || p_size || ' |', {image},
+  '**' || p_size || '.** ' || p_type, 'See ' || p_brand || ' now', '| ' || p_name || ' | ' || p_brand || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_type || ' | ' || p_size || ' |')"""
+
+
+@REGISTRY.query("mended_pages", f"SELECT p_partkey, {part_markdown("'![](i' || p_partkey || '.gif)'")} || chr(10) AS markdown FROM part")
 def mended_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.pages(part_html(spark, sf_dir), fields=("markdown",))
 
@@ -245,6 +252,58 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", *[c.alias(n) for n, c in html.page_section().items()], html.page_title(F.lit("none")).alias("title"))
 
 
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those pages as the files of two archives, the second paired with the first."""
+    arc = F.when(F.col("p_partkey") % 5 == 0, "EEP").otherwise("SEP")
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".htm"))
+    return part_html(spark, sf_dir).select(arc.alias("arc"), F.concat(arc, F.lit("/"), name).alias("path"), F.col("html").alias("content"))
+
+
+PART_FIELDS = """
+about AS (
+  SELECT *, 'p' || p_partkey || '.htm' AS file, CASE WHEN p_size % 4 = 0 THEN p_name ELSE p_brand END AS title, CASE WHEN p_size % 3 > 0 THEN p_size || '06-' || p_brand ELSE 'Uncategorized' END AS code,
+    CASE WHEN p_size % 4 = 0 THEN 'General' ELSE p_brand END AS sub FROM part
+)"""
+
+
+@REGISTRY.query("vault_notes", f"""WITH {PART_FIELDS}
+SELECT file AS source_file, 'P' || p_partkey || '.md' AS md_name, concat_ws(chr(10), '---', 'title: "' || title || '"', 'source_file: "' || file || '"', 'arc: ""', 'section_code: "' || code || '"', 'section_title: "' || p_type || '"', 'subsection_title: "' || sub || '"', '---',
+  {part_markdown("'![](../assets/i' || p_partkey || '.gif)'")} || chr(10)) AS note FROM about WHERE p_partkey % 5 > 0""")
+def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.vault_pages(part_files(spark, sf_dir), "SEP").select("source_file", "md_name", "note")
+
+
+@REGISTRY.query("part_chunks", f"""WITH {PART_FIELDS}, made AS (
+  SELECT *, CASE WHEN p_partkey % 5 = 0 THEN 'EEP' ELSE 'SEP' END AS own, CASE WHEN p_partkey % 5 = 0 THEN 'wiring-' ELSE 'manual-' END || file || '-001' AS chunk_id, {part_markdown("NULL")} AS body FROM about
+)
+SELECT chunk_id, 'SEP' AS arc, own AS source_arc, own || '/' || file AS source_path, title, code AS section_code, p_type AS section_title, sub AS subsection_title, 1 AS chunk_index, 1 AS chunk_count, len(regexp_extract_all(body, '\\S+'))::INTEGER AS chunk_words,
+  sha256(concat_ws(chr(10), '---', 'arc: "SEP"', 'source_arc: "' || own || '"', 'source_file: "' || file || '"', 'source_type: "htm"', 'title: "' || title || '"', 'section_code: "' || code || '"', 'section_title: "' || p_type || '"',
+    'subsection_title: "' || sub || '"', 'chunk_id: "' || chunk_id || '"', 'chunk_index: 1', 'chunk_count: 1', 'chunk_words: ' || len(regexp_extract_all(body, '\\S+')), '---', '', '# ' || title, '', '> Source: ' || own || '/' || file,
+    '> Section: ' || code || ' - ' || p_type, '> Subsection: ' || sub, '> Chunk: 1/1', '', body, '')) AS content_sha256 FROM made""")
+def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of an archive and its paired one: pages of one chunk, without their images."""
+    rows = corpora.chunk_export(part_files(spark, sf_dir), "SEP", "EEP")
+    return rows.drop("source_file", "source_type", "text", "file_name")
+
+
+@REGISTRY.query("probe_candidates", f"WITH {ENTRIES} SELECT arc, entry_index, 'default' AS variant, 'file_00000__default' AS file_name, sha256(t) AS sha256 FROM named WHERE filename = 'file_00000' AND form = 0 AND len > 0")
+def probe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every decoding of every entry of one name, in all archives; those that are no blocks have one."""
+    rows = scoring.probe(archive.with_raw(document_archives(spark, sf_dir)), "FILE_00000")
+    return rows.where(~F.startswith(F.hex("payload"), F.lit(MAGIC))).select("arc", "entry_index", "variant", "file_name", "sha256")
+
+
+@REGISTRY.query("skipped_archives", "SELECT 'N' || n_nationkey AS arc, hex(encode(left(n_name, 8))) AS magic FROM nation")
+def skipped_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("arc"), F.col("n_name").cast("binary").alias("content"))
+    return archive.skipped_archives(as_files(odd).unionByName(part_blocks(spark, sf_dir))).drop("path")
+
+
+@REGISTRY.query("root_index", "SELECT '# SEP Manual Bundle' || chr(10) || chr(10) || 'Pages: ' || (SELECT count(*) FROM part) || chr(10) || 'Assets copied: ' || (SELECT count(*) FROM supplier) || chr(10) AS markdown")
+def root_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.root_index(table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), "SEP")
+
+
 @REGISTRY.query("fenced_units", """SELECT p_partkey, generate_subscripts(u, 1) - 1 AS place, unnest(u) AS unit FROM (SELECT p_partkey, ['# ' || p_name, 'intro ' || p_brand || chr(10) || '```x' || chr(10) || 'code' || chr(10) || chr(10) || '# ' || p_type || chr(10) || '```',
   'after', '## End', 'last ' || p_size || chr(10) || '```' || chr(10) || 'open' || chr(10) || chr(10) || 'end'] AS u FROM part)""")
 def fenced_units(spark: SparkSession, sf_dir: str) -> DataFrame:

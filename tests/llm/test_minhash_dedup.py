@@ -64,7 +64,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("crowd", "few_ids"), [(8, m.FEW_IDS), (3, 0), (m.CROWD, 0)])
+@pytest.mark.parametrize(("crowd", "few_ids"), [(4, 0), (m.CROWD, m.FEW_IDS)])
 def test_against_brute_force(spark, crowd, few_ids):
     """With crowded groups and without, clustered nodes broadcast and shuffled."""
     rows = [(r[0], r[1]) for r in cases.ROWS]

@@ -29,6 +29,17 @@ def alphabetical_groups(pages: DataFrame) -> DataFrame:
     return pages.groupBy(index_letter(F.col("title")).alias("letter")).agg(F.count(F.lit(1)).alias("n_pages"), _in_order(F.lower("title"), F.col("source_file")).alias("links"))
 
 
+INDEX_ORDER = ["letter", "part", "title_key", "source_file"]
+
+
+def alphabetical_lines(pages: DataFrame) -> DataFrame:
+    """The alphabetical index as a table of lines, in the order of ``INDEX_ORDER``: a heading a letter,
+    then its links. No letter is gathered into one row, so any number of pages will do."""
+    links = pages.select(index_letter(F.col("title")).alias("letter"), F.lit(1).alias("part"), F.lower("title").alias("title_key"), "source_file", _link().alias("line"))
+    heads = links.select("letter").distinct().select("letter", F.lit(0).alias("part"), F.lit("").alias("title_key"), F.lit("").alias("source_file"), F.concat(F.lit("## "), "letter").alias("line"))
+    return heads.unionByName(links)
+
+
 def alphabetical_index(pages: DataFrame) -> DataFrame:
     """One row: the index as Markdown."""
     groups = alphabetical_groups(pages).select(F.struct("letter", F.concat(F.lit("## "), "letter", F.lit("\n"), "links").alias("line")).alias("g"))

@@ -364,6 +364,18 @@ def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("null")), 256).alias("text_sha256"), "place")
 
 
+@REGISTRY.query("index_lines", """WITH links AS (SELECT upper(left(p_name, 1)) AS letter, 1 AS part, lower(p_name) AS title_key, 'P' || p_partkey || '.HTM' AS source_file, '- [[P' || p_partkey || '|' || p_name || ']]' AS line FROM part),
+lines AS (SELECT * FROM links UNION ALL SELECT DISTINCT letter, 0, '', '', '## ' || letter FROM links)
+SELECT line, row_number() OVER (ORDER BY letter, part, title_key, source_file) AS place FROM lines""")
+def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alphabetical index written as ordered lines, and read back with their places."""
+    from quire.plans.table_queries import part_pages
+
+    path = scratch_path(spark, "index")
+    sinks.write_lines(indexes.alphabetical_lines(part_pages(spark, sf_dir)), path, indexes.INDEX_ORDER)
+    return sinks.read_ordered_lines(spark, path)
+
+
 @REGISTRY.query("vault_manifest", "SELECT 'PAG' AS arc, 'EEP' AS wiring_arc, false AS copy_all_wiring_assets, count(*) AS page_count, 0::BIGINT AS asset_count, 0::BIGINT AS wiring_asset_count FROM pages")
 def vault_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.plans.page_queries import page_files

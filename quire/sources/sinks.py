@@ -16,12 +16,16 @@ def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None) -> N
     rows.write.option("ignoreNullFields", "false").json(path)
 
 
-def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows with ``place``, their number in the order of files and lines.
+def write_lines(rows: DataFrame, path: str, order: list[str], column: str = "line") -> None:
+    """A text column as lines; the files in order of their names hold the rows in order."""
+    rows.orderBy(*order).select(column).write.text(path)
+
+
+def _with_places(rows: DataFrame) -> DataFrame:
+    """Rows read from files with ``place``, their number in the order of files and lines.
 
     Rows are numbered inside each file; how many rows the files before it have comes from their
     counts, one row a file."""
-    rows = spark.read.schema(schema).json(path)
     columns = rows.columns
     rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_id"))
     files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
@@ -31,6 +35,16 @@ def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame
     return rows.withColumn("_number", number).join(starts, F.col("_file") == F.col("_f")).select(*columns, (F.col("_before") + F.col("_number")).alias("place"))
 
 
+def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of JSON lines with their places."""
+    return _with_places(spark.read.schema(schema).json(path))
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their places."""
+    return _with_places(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """A CSV with a header; null is the empty field."""
     rows.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from quire.llm.shared import SPACE, written
 
@@ -145,14 +145,14 @@ def make_heap(docs: DataFrame, columns: list[str], key_bits: int = KEY_BITS, hel
     """The heap of documents with these columns, named c0, c1, ..., which hold doc_id and text.
 
     Beside them: rid (a number of the row), n (code points), key, ref, size and ``text``, the bytes of
-    the original text in the first row of a ref, else null."""
+    the original text in the first row of a ref, else null. A text among the columns is stored once."""
     at = columns.index("text") if "text" in columns else None
     kept = docs.select(*[(F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = kept.withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     names = [f"c{i}" for i in range(len(columns))]
     source = rows.select(*names, "id", "n", *([] if at is not None else ["text"]))
     from_ = names[at] if at is not None else "text"
-    made = [StructField(c, LongType()) for c in ("rid", "key", "ref", "size")] + [StructField("text", BinaryType())]
+    made = [StructField(c, LongType()) for c in ("rid", "key", "ref", "size")] + [StructField("text", BinaryType()) if at is None else StructField("new", BooleanType())]
     schema = StructType([StructField(f.name, f.dataType) for f in source.schema if f.name in (*names, "id", "n")] + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +164,14 @@ def make_heap(docs: DataFrame, columns: list[str], key_bits: int = KEY_BITS, hel
                 data = b"" if data is None else data.to_pybytes()
                 body = normalised(data)
                 key, ref, new = held.ref(body, rid)
-                for column, x in zip(out, (rid, key - (1 << 64) if key >> 63 else key, ref, len(data), data if new else None), strict=True):
+                for column, x in zip(out, (rid, key - (1 << 64) if key >> 63 else key, ref, len(data), new if at is not None else data if new else None), strict=True):
                     column.append(x)
                 rid += 1
             same = [batch.column(c) for c in (*names, "id", "n")]
-            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary()), strict=True))], schema.names)
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary() if at is None else pa.bool_()), strict=True))], schema.names)
 
-    return written(source.mapInArrow(run, schema), "exact-heap")
+    heap = written(source.mapInArrow(run, schema), "exact-heap")
+    return heap if at is None else heap.withColumn("text", F.when(F.col("new"), F.coalesce(from_, F.lit("")).cast("binary")))
 
 
 _BUCKETS = "ref long, text_ref long, owner long, bucket_depth int, bucket long, key long, chain int, digest binary"

@@ -49,6 +49,8 @@ REACH = LENGTH - CORE
 RUN_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 LEAST_RANGES = 64
+#: Bytes of texts that a task of a merge is meant to have the ranges of.
+TASK_BYTES = 32 << 20
 #: Bytes of answers that may be broadcast; with more, runs are shuffled to them.
 FEW_MARKS = 32 << 20
 
@@ -232,6 +234,12 @@ def _cuts(sorted_keys: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_keys, edges), len(sorted_keys))
 
 
+def _dealt(pieces: DataFrame, bits: int, parts: int) -> DataFrame:
+    """Pieces in order of range and run, a range or some next to each other to a task."""
+    part = F.shiftright(F.col("part").cast("long") * parts, bits).cast("int")
+    return pieces.repartitionById(parts, part).sortWithinPartitions("part", "run")
+
+
 def core_pieces(stored: DataFrame, bits: int) -> DataFrame:
     """Per run and range: the distinct core keys, and whether several documents of the run have them."""
 
@@ -253,7 +261,7 @@ def core_pieces(stored: DataFrame, bits: int) -> DataFrame:
     return stored.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
 
 
-def shared_cores(pieces: DataFrame) -> DataFrame:
+def shared_cores(pieces: DataFrame, bits: int, parts: int) -> DataFrame:
     """Answers: per run and range one bit for each key, whether it is in several documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -269,8 +277,7 @@ def shared_cores(pieces: DataFrame) -> DataFrame:
             for name, key in zip(names, keys, strict=True):
                 yield 1, part, name, np.packbits(count[np.searchsorted(order, key)] > 1).tobytes()
 
-    dealt = pieces.repartition("part").sortWithinPartitions("part", "run")
-    return dealt.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
+    return _dealt(pieces, bits, parts).mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
 
 
 def _fill_contexts(codes: np.ndarray, position: np.ndarray, out: np.ndarray, step: int = 1 << 15) -> None:
@@ -379,10 +386,11 @@ def suffix_pieces(marked: DataFrame, bits: int) -> DataFrame:
 
 def _first_difference(x: bytes, y: bytes, known: int) -> int:
     """Where two texts of one length differ, their length if nowhere; the known prefix is not read."""
-    for d in range(known, len(x)):
-        if x[d] != y[d]:
-            return d
-    return len(x)
+    if x[known:] == y[known:]:
+        return len(x)
+    while x[known] == y[known]:
+        known += 1
+    return known
 
 
 def loser_tree(texts: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -456,7 +464,7 @@ def least_ids(lengths: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.n
     return out
 
 
-def merged(pieces: DataFrame) -> DataFrame:
+def merged(pieces: DataFrame, bits: int, parts: int) -> DataFrame:
     """Kind 4: per run and range, suffixes that a smaller doc_id has too, with the smallest by offset."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -480,8 +488,7 @@ def merged(pieces: DataFrame) -> DataFrame:
                     number = place[mine] - (ends[i] - sizes[i]) + loaded[i][0][0]
                     yield 4, part, name, pack(number, found[mine].ravel())
 
-    dealt = pieces.repartition("part").sortWithinPartitions("part", "run")
-    return dealt.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
+    return _dealt(pieces, bits, parts).mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECES)
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -538,7 +545,8 @@ def without_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, range_bytes: in
     stored = pack_runs(docs, run_bytes)
     total = docs.select(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
     bits = (max(least_ranges, -(-total // range_bytes)) - 1).bit_length()
-    marked = with_marks(stored, written(shared_cores(core_pieces(stored, bits)), "suffix-cores"), few_marks)
-    found = written(merged(suffix_pieces(marked, bits)), "suffix-answers")
+    parts = min(1 << bits, max(least_ranges, -(-total // TASK_BYTES)))
+    marked = with_marks(stored, written(shared_cores(core_pieces(stored, bits), bits, parts), "suffix-cores"), few_marks)
+    found = written(merged(suffix_pieces(marked, bits), bits, parts), "suffix-answers")
     out = remains(marked, found, bits, texts)
     return out if texts else out.drop("kept")

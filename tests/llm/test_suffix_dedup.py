@@ -52,7 +52,7 @@ def tricky():
     return rows
 
 
-@pytest.mark.parametrize(("run_bytes", "ranges", "few_marks"), [(3000, 8, 0), (3000, 1024, s.FEW_MARKS), (s.RUN_BYTES, 8, s.FEW_MARKS)])
+@pytest.mark.parametrize(("run_bytes", "ranges", "few_marks"), [(3000, 8, 0), (3000, 128, s.FEW_MARKS), (s.RUN_BYTES, 8, s.FEW_MARKS)])
 def test_against_brute_force(spark, run_bytes, ranges, few_marks):
     """With answers shuffled and broadcast, few and many runs and ranges."""
     rows = tricky()

@@ -92,17 +92,17 @@ def _info(name: str) -> bytes:
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
-    """page_id, payload, digest and ``_k``, a key of page_id and payload that is never null."""
+    """page_id, url, payload and ``_k``, a key of page_id and payload that is never null: the digest's
+    32 bytes, then the page_id's digits."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    return rows.withColumn("_k", F.concat("digest", F.lit("/"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    return rows.withColumn("_k", F.concat(F.unhex(F.sha2("payload", 256)), F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")))
 
 
 def decide(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """For each page_id and payload (``_k``): first_id, whether its first copy revisits, and later ones."""
-    seen = _keyed(pages).select("_k", "page_id", "url", "digest", (F.octet_length("payload") >= least).alias("long_enough"))
-    seen = written(seen, "warc-digests")
+    seen = _keyed(pages).select("_k", "page_id", "url", (F.octet_length("payload") >= least).alias("long_enough"))
+    seen = written(seen, "warc-digests").withColumn("digest", F.substring("_k", 1, 32))
     # The first row of a digest by page_id; of rows that repeat it, the first url (as copies are numbered).
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")
     firsts = seen.where("long_enough").groupBy("digest").agg(F.min(order).alias("_first"))
@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, arch
     joined = _keyed(pages).join(decide(pages, least), "_k")
     copy = F.row_number().over(Window.partitionBy("_k").orderBy("url"))
     revisit = F.when(F.col("copy") == 1, F.col("revisit")).otherwise(F.col("again"))
-    rows = joined.withColumn("copy", copy).select("page_id", "copy", "url", "payload", "digest", "first_id", "first_url", revisit.alias("revisit"))
+    rows = joined.withColumn("copy", copy).select("page_id", "copy", "url", "payload", F.lower(F.hex(F.substring("_k", 1, 32))).alias("digest"), "first_id", "first_url", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, size = [], 0
@@ -286,6 +286,8 @@ def page_captures(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(pages, path, least)
     records = written(read_records(spark, path, payloads=False), "warc-records")
+    where, system = path_of(spark, path)
+    system.delete(where, True)
     page = F.regexp_extract("metadata.fields", r"(?m)^page-id: (-?\d+)", 1)
     page = page.try_cast("long")
     captures = assemble(records).select("capture", page.alias("page_id"), F.col("type").alias("record_type"), "response.payload_bytes", "response.payload_digest", F.col("response.refers_to").alias("_ref"))

@@ -1,6 +1,7 @@
 """Pages: metadata, titles, structure, Markdown, tables, links, vaults."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import html as h
 from quire.operators import corpora
@@ -38,6 +39,17 @@ def test_markdown(html, markdown):
     assert md(html) == markdown
 
 
+def test_references_end_in_a_semicolon():
+    root = h.parse('<title>a&amp</title><h1>x &amp;&amp y&lt &lt; &#x27;&#x2 &ltz; &copy;&no; <script>a && b&lt;</script></h1><a href="?a=1&copy=2&amp;b">l</a>')
+    assert h.headings(root) == ["x &&amp y&lt < '&#x2 &ltz; ©&no; a && b&lt;", "", "", "", "a&amp"]
+    assert h.references(root) == [("href", "?a=1&copy=2&b")]
+
+
+def test_titles_cut_inside_a_reference(spark):
+    rows = h.pages(spark.createDataFrame([("<h1>by eroninnt&amp</h1>",)], "html string"), fields=("meta", "heading"))
+    assert [r.title for r in rows.select(h.page_title(F.lit("P")).alias("title")).collect()] == ["by eroninnt&amp"]
+
+
 def test_pipe_tables():
     assert h.normalize_pipe_tables("a | b || c | d") == "| a | b |\n| --- | --- |\n| c | d |"
     fine = "| a | b |\n|---|---|\n| c | d |"

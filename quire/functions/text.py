@@ -133,10 +133,18 @@ def section_code(system: Column, group: Column, section: Column) -> Column:
     return F.when(whole, F.concat(parts[0], parts[1], F.lit("-"), parts[2])).otherwise("Uncategorized")
 
 
+# Letters whose upper case takes several characters, but that have a single capital too.
+_ONE_SMALL = "ß" + "".join(map(chr, [*range(0x1F80, 0x1F88), *range(0x1F90, 0x1F98), *range(0x1FA0, 0x1FA8), 0x1FB3, 0x1FC3, 0x1FF3]))
+_ONE_CAPITAL = "ẞ" + "".join(map(chr, [*range(0x1F88, 0x1F90), *range(0x1F98, 0x1FA0), *range(0x1FA8, 0x1FB0), 0x1FBC, 0x1FCC, 0x1FFC]))
+
+
 def index_letter(title: Column) -> Column:
-    """The first character in upper case, ``#`` unless it is a letter or digit."""
-    first = F.upper(F.substring(strip(title), 1, 1))
-    return F.when(first.rlike("^[\\p{L}\\p{N}]"), first).otherwise("#")
+    """The first character in upper case, ``#`` unless it is a letter or digit. It is one character:
+    a letter without a single capital stays as it is."""
+    first = F.substring(strip(title), 1, 1)
+    upper = F.upper(first)
+    letter = F.when(F.length(upper) == 1, upper).otherwise(F.translate(first, _ONE_SMALL, _ONE_CAPITAL))
+    return F.when(letter.rlike("^[\\p{L}\\p{N}]"), letter).otherwise("#")
 
 
 def basename(path: Column) -> Column:

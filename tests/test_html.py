@@ -50,6 +50,11 @@ def test_titles_cut_inside_a_reference(spark):
     assert [r.title for r in rows.select(h.page_title(F.lit("P")).alias("title")).collect()] == ["by eroninnt&amp"]
 
 
+def test_training_titles_cut_inside_a_reference(spark):
+    files = spark.createDataFrame([("PAG", "PAG/P1.HTM", b"<h1>a &quot; b&quot</h1>")], "arc string, path string, content binary")
+    assert [r.title for r in corpora.training_corpus(files, "PAG")[0].collect()] == ['a " b&quot']
+
+
 def test_pipe_tables():
     assert h.normalize_pipe_tables("a | b || c | d") == "| a | b |\n| --- | --- |\n| c | d |"
     fine = "| a | b |\n|---|---|\n| c | d |"

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import decode, html
 from quire.operators import chunking, corpora, indexes, lookup, scoring
-from quire.plans.registry import Registry, table
+from quire.plans.registry import Registry, dealt, table
 from quire.plans.scratch import scratch_path
 from quire.sources import archive, sinks
 
@@ -231,7 +231,7 @@ def part_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # A byte that is no UTF-8 goes.
     page = F.concat(F.concat(lit("<html><head>"), head, lit("</head><body>")).cast("binary"), F.unhex(lit("FF")), F.concat(body, lit("</body></html>")).cast("binary"))
-    return table(spark, sf_dir, "part").select("p_partkey", page.alias("html"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", page.alias("html"))
 
 
 def part_markdown(image: str) -> str:

@@ -33,3 +33,9 @@ class Registry:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the path may be any that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table dealt by a key to four tasks a core. A small file is read by one task, or one for
+    each of its row groups, however long the work on a row."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)

@@ -113,3 +113,12 @@ def test_vault(spark):
     assert (m.page_count, m.asset_count, m.wiring_asset_count) == (2, 2, 1)
     assert vault["alphabetical"].first()[0] == '# Alphabetical Index\n\n## O\n- [[ONE|One "1"]]\n\n## T\n- [[TWO]]\n'
     assert "206-03A - Brakes" in vault["summary"].first()[0]
+
+
+def test_rows_of_a_small_file_are_dealt(spark, tmp_path):
+    from quire.plans import container_queries
+
+    rows = spark.range(200).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "7 AS p_size", "1D AS p_retailprice")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    pages = container_queries.part_html(spark, str(tmp_path))
+    assert pages.count() == 200 and pages.select(F.spark_partition_id()).distinct().count() > 8

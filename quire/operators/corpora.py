@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import html
+from quire.functions.batches import pieces
 from quire.functions.text import basename, extension, normalize_text, quoted, stem, strip, strip_prolog, wikilinks, without_images
 from quire.operators.chunking import chunk_records, chunk_settings
 from quire.operators.lookup import copied_assets, copied_wiring, file_index, image_source, rewritten_links
 
 TRAINING_EXTENSIONS = [".htm", ".html", ".pdf", ".txt", ".wcf", ".xml"]
 CHUNK_EXTENSIONS = [".htm", ".html", ".pdf"]
+PAGE_EXTENSIONS = (".htm", ".html")
 
 #: Converts the bytes of a file to (title, markdown); raises if it can't.
 Converter = Callable[[bytes], tuple[str, str]]
@@ -43,33 +45,36 @@ def page_text(data: bytes) -> tuple[str, str]:
     return heads[4], html.markdown_of(html.body_of(root))
 
 
-def converted(files: DataFrame, converters: dict[str, Converter] | None = None) -> DataFrame:
-    """files with converted_title, markdown and error in place of their content.
-
-    Rows with a column ``page`` (title and Markdown) that is not null are converted already."""
+def converted(files: DataFrame, converters: dict[str, Converter] | None = None, about: bool = False) -> DataFrame:
+    """files with converted_title, markdown and error in place of their content; with ``about`` also the
+    meta and heading of pages, from the same parse."""
     known = dict(CONVERTERS if converters is None else converters)
-    paged, keep = "page" in files.columns, [c for c in files.columns if c not in ("content", "page")]
+    own = {ext for ext, convert in known.items() if convert is page_text}
+    keep = [c for c in files.columns if c != "content"]
+    fields = ("meta", "heading") if about else ()
 
-    def one(ext: str, data: bytes | None, page: dict | None) -> tuple[str | None, str | None, str | None]:
-        if page is not None:
-            return page["title"], page["markdown"], None
-        if ext not in known:
-            return None, None, f"no converter for {ext or 'files without extension'}"
+    def one(ext: str, data: bytes | None) -> tuple:
+        shown = (None,) * len(fields)
         try:
-            return (*known[ext](data or b""), None)
+            if about and ext in PAGE_EXTENSIONS:
+                *shown, markdown = html.page_fields(data or b"", (*fields, "markdown")) if ext in own else (*html.page_fields(data or b"", fields), None)
+                if markdown is not None:
+                    return shown[1][4], markdown, None, *shown
+            if ext not in known:
+                return None, None, f"no converter for {ext or 'files without extension'}", *shown
+            return *known[ext](data or b""), None, *shown
         except Exception as error:  # noqa: BLE001  a record says which file failed and why
-            return None, None, f"{type(error).__name__}: {error}"
+            return None, None, f"{type(error).__name__}: {error}", *shown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages = batch.column("page").to_pylist() if paged else [None] * batch.num_rows
-            rows = [one(e.as_py(), d.as_py(), p) for e, d, p in zip(batch.column("ext"), batch.column("content"), pages, strict=True)]
-            if rows:
-                made = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "converted_title", "markdown", "error"])
+        for batch in pieces(batches, "content"):
+            rows = [one(e.as_py(), d.as_py()) for e, d in zip(batch.column("ext"), batch.column("content"), strict=True)]
+            types = (pa.string(), pa.string(), pa.string(), *html.arrow_types(fields))
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "converted_title", "markdown", "error", *fields])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
-    return files.mapInArrow(run, f"{kept}, converted_title string, markdown string, error string")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema]
+    return files.mapInArrow(run, ", ".join([*kept, "converted_title string, markdown string, error string", *html.ddl(fields)]))
 
 
 def source_files(files: DataFrame, arc: str, extensions: list[str]) -> DataFrame:
@@ -80,7 +85,7 @@ def source_files(files: DataFrame, arc: str, extensions: list[str]) -> DataFrame
 
 
 def _is_page() -> Column:
-    return F.col("ext").isin(".htm", ".html")
+    return F.col("ext").isin(*PAGE_EXTENSIONS)
 
 
 def source_columns() -> list[Column]:
@@ -91,13 +96,8 @@ def source_columns() -> list[Column]:
 def training_corpus(files: DataFrame, arc: str, extensions: list[str] = TRAINING_EXTENSIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, skips, manifest) of an archive's documents; records and skips make up the sources."""
     chosen = source_files(files, arc, extensions)
-    # Pages are parsed once, for metadata and text, unless another converter is registered for them.
-    own = all(CONVERTERS.get(x) is page_text for x in (".htm", ".html"))
-    about = html.pages(chosen.withColumn("_html", F.when(_is_page(), F.col("content"))), "_html", fields=("meta", "heading", "markdown") if own else ("meta", "heading"))
-    if own:
-        page = F.when(_is_page(), F.struct(F.get("heading", F.lit(4)).alias("title"), "markdown"))
-        about = about.withColumns({"page": page, "content": F.when(~_is_page(), F.col("content"))}).drop("markdown")
-    rows = converted(about).withColumn("text", normalize_text(F.coalesce("markdown", F.lit(""))))
+    # Pages are parsed once, for metadata and text, in the map that converts the others.
+    rows = converted(chosen, about=True).withColumn("text", normalize_text(F.coalesce("markdown", F.lit(""))))
     parts = html.page_section()
     pick = lambda name, other: F.when(_is_page(), parts[name]).otherwise(other).alias(name)
     plain_title = F.coalesce(F.when(strip(F.col("converted_title")) != "", strip(F.col("converted_title"))), stem(F.col("source_file")))
@@ -122,7 +122,7 @@ def svg_texts(files: DataFrame) -> DataFrame:
     """(arc, path, svg) of SVG files, without XML declaration; undecodable bytes become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "content"):
             text = [(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("content")]
             yield pa.RecordBatch.from_arrays([batch.column("arc"), batch.column("path"), pa.array(text, pa.string())], ["arc", "path", "svg"])
 

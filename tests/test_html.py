@@ -122,3 +122,25 @@ def test_rows_of_a_small_file_are_dealt(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     pages = container_queries.part_html(spark, str(tmp_path))
     assert pages.count() == 200 and pages.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_batches_are_cut_by_bytes(spark):
+    import pyarrow as pa
+
+    from quire.functions.batches import pieces
+
+    values = [b"x" * 3, None, b"x" * 4, b"x" * 9, b"", b"x", b"x"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "v": values})
+    cut = list(pieces(iter([batch, batch.slice(0, 0)]), "v", 6))
+    assert [p.column("i").to_pylist() for p in cut] == [[0, 1], [2], [3], [4, 5, 6]]
+    # What a map of long texts makes comes in batches of some of them, not in one.
+    files = spark.createDataFrame([("A", f"A/{i}.txt", b"y" * (1 << 20)) for i in range(12)], "arc string, path string, content binary").coalesce(1)
+    sizes = corpora.converted(corpora.source_files(files, "A", [".txt"])).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert sum(r.n for r in sizes.collect()) == 12
+
+
+def test_training_runs_one_python_stage(spark):
+    records, skips, _ = corpora.training_corpus(files(spark), "SEB")
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {r.source_file for r in records.collect()} == {"one.htm", "TWO.htm", "note.txt"}

@@ -93,15 +93,17 @@ def source_columns() -> list[Column]:
     return [F.concat("arc", F.lit("/"), "source_file").alias("source_path"), F.regexp_replace("ext", "^\\.", "").alias("source_type")]
 
 
-def training_corpus(files: DataFrame, arc: str, extensions: list[str] = TRAINING_EXTENSIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, skips, manifest) of an archive's documents; records and skips make up the sources."""
+def training_corpus(files: DataFrame, arc: str, extensions: list[str] = TRAINING_EXTENSIONS, empty_pages: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, skips, manifest) of an archive's documents; records and skips make up the sources.
+
+    Empty documents are skips; with ``empty_pages`` pages without text are records all the same."""
     chosen = source_files(files, arc, extensions)
     # Pages are parsed once, for metadata and text, in the map that converts the others.
     rows = converted(chosen, about=True).withColumn("text", normalize_text(F.coalesce("markdown", F.lit(""))))
     parts = html.page_section()
     pick = lambda name, other: F.when(_is_page(), parts[name]).otherwise(other).alias(name)
     plain_title = F.coalesce(F.when(strip(F.col("converted_title")) != "", strip(F.col("converted_title"))), stem(F.col("source_file")))
-    good = F.col("error").isNull() & (F.col("text") != "")
+    good = F.col("error").isNull() & ((F.col("text") != "") | (_is_page() if empty_pages else F.lit(False)))
     records = rows.where(good).select(
         "arc",
         "source_file",

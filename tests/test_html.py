@@ -55,6 +55,22 @@ def test_training_titles_cut_inside_a_reference(spark):
     assert [r.title for r in corpora.training_corpus(files, "PAG")[0].collect()] == ['a " b&quot']
 
 
+def test_deep_pages():
+    deep = lambda tag, n: f"<h1>t</h1>{f'<{tag}>' * n}x{f'</{tag}>' * n}"
+    assert md(deep("div", 3000)) == "# t\n\nx\n" and md(deep("span", 20_000)) == "# t\n\nx\n"
+    assert md("<ul><li>" * 400 + "x").endswith("- x\n")
+    assert md("<blockquote>" * 1200 + "x").endswith("> x\n")
+
+
+def test_every_page_is_a_training_record(spark, tmp_path):
+    from quire.plans import page_queries
+
+    pages = [(1, None), (2, ""), (3, "<title>only</title><body></body>"), (4, "<h1>deep</h1>" + "<div>" * 2000 + "x"), (5, "<h1>h</h1>text")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = page_queries.training_records(spark, str(tmp_path)).collect()
+    assert {r.source_file: r.title for r in rows} == {"P1.HTM": "P1", "P2.HTM": "P2", "P3.HTM": "only", "P4.HTM": "deep", "P5.HTM": "h"}
+
+
 def test_pipe_tables():
     assert h.normalize_pipe_tables("a | b || c | d") == "| a | b |\n| --- | --- |\n| c | d |"
     fine = "| a | b |\n|---|---|\n| c | d |"

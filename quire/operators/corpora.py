@@ -185,13 +185,19 @@ def page_links(files: DataFrame, arc: str, wiring_arc: str | None) -> DataFrame:
     """(arc, source_file, kind, raw, target, asset) of all references of an archive's pages."""
     chosen = source_files(files, arc, [".htm", ".html"])
     refs = html.pages(chosen, "content", fields=("refs",)).select("arc", "source_file", F.explode("refs").alias("r")).select("arc", "source_file", F.col("r.kind").alias("ref"), F.col("r.raw").alias("raw"))
+    # Both kinds go one way, so that pages are parsed once; what the lookup says of an image is not used.
+    linked = F.col("ref") == "href"
     refs = refs.distinct().withColumn("wiring_arc", F.lit(wiring_arc).cast("string"))
-    index = file_index(files)
-    hrefs = rewritten_links(refs.where("ref = 'href'"), index, href="raw")
-    image = image_source(F.col("raw"))
     name = basename(F.regexp_extract("raw", "^[^?#]*", 0))
-    srcs = refs.where("ref = 'src'").withColumn("kind", F.lit("image")).withColumn("target", image).withColumn("asset", F.when(name != "", name))
-    return hrefs.unionByName(srcs).drop("wiring_arc", "ref")
+    links = rewritten_links(refs, file_index(files), href="raw")
+    return links.select(
+        "arc",
+        "source_file",
+        "raw",
+        F.when(linked, F.col("kind")).otherwise("image").alias("kind"),
+        F.when(linked, F.col("target")).otherwise(image_source(F.col("raw"))).alias("target"),
+        F.when(linked, F.col("asset")).otherwise(F.when(name != "", name)).alias("asset"),
+    )
 
 
 def with_targets(chosen: DataFrame, links: DataFrame) -> DataFrame:

@@ -160,3 +160,10 @@ def test_training_runs_one_python_stage(spark):
     plan = records._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert {r.source_file for r in records.collect()} == {"one.htm", "TWO.htm", "note.txt"}
+
+
+def test_links_parse_pages_once(spark):
+    links = corpora.page_links(files(spark), "SEB", "EEB")
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r.raw, r.kind, r.target, r.asset) for r in links.where("source_file = 'one.htm'").collect()}
+    assert got == {("TWO.HTM#x", "page", "TWO.md#x", None), ("http://x/y", "absolute", "http://x/y", None), ("W1.svg", "wiring", "../wiring_assets/W1.svg", "W1.svg"), ("pic/A.gif", "image", "../assets/A.gif", "A.gif")}

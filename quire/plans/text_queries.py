@@ -165,7 +165,8 @@ made AS (
 
 @REGISTRY.query("semantic_units", f"WITH RECURSIVE {filled(UNITS, TARGET)} SELECT doc_id, (u - 1)::INTEGER AS place, unit, w AS n_words FROM units")
 def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = chunking.with_units(table(spark, sf_dir, "documents"), "text", TARGET).select("doc_id", F.posexplode("units").alias("place", "unit"))
+    # Exploded as an expression: of a column Spark first asks whether it is empty, which makes it twice.
+    units = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.semantic_units(F.col("text"), TARGET)).alias("place", "unit"))
     return units.withColumn("n_words", T.word_count(F.col("unit")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import decode, html
+from quire.functions.text import let
 from quire.operators import chunking, corpora, indexes, lookup, scoring
 from quire.plans.registry import Registry, dealt, table
 from quire.plans.scratch import scratch_path
@@ -38,22 +39,28 @@ def block(digits: Column, n_bytes: int, encoded=None) -> Column:
     """A block of hex digits: a magic, chunks with signed sizes, an end mark. Without an encoding the
     chunks are raw, which a negative size says."""
 
-    def chunk(piece: Column) -> Column:
-        data = encoded(piece) if encoded else piece
+    def framed(data: Column) -> Column:
         size = (F.length(data) / 2).cast("long")
         return F.concat(low_first(size if encoded else 65536 - size, 2), data)
 
+    def chunk(piece: Column) -> Column:
+        return let(encoded(piece), framed) if encoded else framed(piece)
+
     return F.concat(F.lit(MAGIC), F.array_join(F.transform(chunks_of(digits, n_bytes), chunk), ""), F.lit("0000"))
 
 
 def as_runs(digits: Column) -> Column:
-    """Each byte as a run of three, sixteen to a control word."""
-    return F.regexp_replace(F.regexp_replace(digits, "(..)", "00$1"), "(.{1,64})", "FFFF$1")
+    """Each byte as a run of three, sixteen to a control word; one match takes all of a full word."""
+    names = "abcdefghijklmnop"
+    whole = F.length(digits) - F.length(digits) % 32
+    full = F.regexp_replace(F.substring(digits, F.lit(1), whole), "".join(f"(?<{n}>..)" for n in names), "FFFF" + "".join(f"00${{{n}}}" for n in names))
+    rest = F.substring(digits, whole + 1, F.lit(32))
+    return F.concat(full, F.regexp_replace(F.regexp_replace(rest, "(..)", "00$1"), "(.{1,64})", "FFFF$1"))
 
 
 def as_copies(digits: Column) -> Column:
-    """Each three bytes and a copy of them, four times to a control word."""
-    return F.regexp_replace(F.regexp_replace(digits, "(.{6})", "$13000"), "(.{40})", "1111$1")
+    """Each three bytes and a copy of them, four times to a control word: digits of twelve bytes or more times that."""
+    return F.regexp_replace(digits, "(.{6})" * 4, "1111$13000$23000$33000$43000")
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,8 +316,7 @@ def root_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fenced_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings, a fence with an empty line and a heading inside, and one that never closes."""
     text = F.concat(F.lit("# "), "p_name", F.lit("\r\nintro "), "p_brand", F.lit(" \n```x\ncode\n\n# "), "p_type", F.lit("\n```\nafter\n## End\n\n\n\nlast "), F.col("p_size").cast("string"), F.lit("\n```\nopen\n\nend\n"))
-    units = chunking.with_units(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "text", 300)
-    return units.select("p_partkey", F.posexplode("units").alias("place", "unit"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).select("p_partkey", F.posexplode(chunking.semantic_units(F.col("text"), 300)).alias("place", "unit"))
 
 
 #: Labelled documents as a probe report: a third match; of the others, by doc_id, copies that are equal,

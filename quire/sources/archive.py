@@ -29,6 +29,8 @@ DIRECTORY_AT, ENTRY_SIZE = 16, 16
 
 ENTRY = "path string, arc string, entry_index int, filename string, data_offset bigint, size bigint"
 ARC_NAME = "^(.*/)?([^/]*?)(\\.[^./]*)?$"
+#: Of more archives than these, small ones share a range.
+FEW_ARCHIVES = 64
 #: Bytes of a batch of entries.
 BATCH_BYTES = 16 << 20
 
@@ -240,8 +242,14 @@ def extension_histogram(entries: DataFrame) -> DataFrame:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, entries: list[Entry]) -> None:
-        self.path, self.entries = path, entries
+    """Entries of one archive or, of small ones, of several."""
+
+    def __init__(self, parts: list[tuple[str, list[Entry]]]) -> None:
+        self.parts = parts
+
+    @property
+    def entries(self) -> list[Entry]:
+        return [e for _, entries in self.parts for e in entries]
 
 
 def _arc_of(path: str) -> str:
@@ -283,31 +291,39 @@ class ArchiveReader(DataSourceReader):
         return sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.lower().endswith(".arc"))
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of at most ``range_bytes`` and an entry. An archive's end closes one; where archives are
+        many, only from a quarter of that on."""
         out: list[InputPartition] = []
-        for path in self._files():
+        parts, size, files = [], 0, self._files()
+        least = self.range_bytes // 4 if len(files) > FEW_ARCHIVES else 0
+        for path in files:
             if self.arcs is not None and _arc_of(path) not in self.arcs:
                 continue
-            held, size = [], 0
+            held = []
             for e in file_entries(path):
                 if (self.names is not None and e.name not in self.names) or not _has(self.extensions, e.name):
                     continue
                 held.append(e)
                 size += e.size
                 if size >= self.range_bytes:
-                    out.append(_Range(path, held))
-                    held, size = [], 0
+                    out.append(_Range([*parts, (path, held)]))
+                    parts, held, size = [], [], 0
             if held:
-                out.append(_Range(path, held))
-        return out
+                parts.append((path, held))
+            if parts and size >= least:
+                out.append(_Range(parts))
+                parts, size = [], 0
+        return [*out, _Range(parts)] if parts else out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(partition.path, "rb") as file:
-            for e in partition.entries:
-                row = (partition.path, _arc_of(partition.path), e.index, e.name, e.offset, e.size)
-                if self.payload:
-                    file.seek(e.offset)
-                    row += (file.read(e.size) if e.offset and e.size else b"",)
-                yield row
+        for path, entries in partition.parts:
+            with open(path, "rb") as file:
+                for e in entries:
+                    row = (path, _arc_of(path), e.index, e.name, e.offset, e.size)
+                    if self.payload:
+                        file.seek(e.offset)
+                        row += (file.read(e.size) if e.offset and e.size else b"",)
+                    yield row
 
 
 class ArchiveSource(DataSource):

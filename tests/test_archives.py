@@ -110,3 +110,14 @@ def test_both_sniffers():
 def test_wanted_extensions():
     assert a.wanted_extensions("htm, .PDF,,") == [".htm", ".pdf"]
     assert a.wanted_extensions(None, (".x",)) == [".x"] == a.wanted_extensions(" , ", (".x",))
+
+
+def test_small_archives_share_ranges(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"A{i}.arc").write_bytes(e.directory_archive([(b"A.TXT", b"x" * 400), (b"B.TXT", b"%d" % i)]))
+    reader = a.ArchiveReader(str(tmp_path), True, 20_000, [])
+    ranges = reader.partitions()
+    assert len(ranges) < 12 and sum(len(p.entries) for p in ranges) == 200
+    rows = [r for p in ranges for r in reader.read(p)]
+    assert sorted((r[1], r[6]) for r in rows if r[3] == "B.TXT") == sorted((f"A{i}", b"%d" % i) for i in range(100))
+    assert sum(r[6] == b"x" * 400 for r in rows) == 100

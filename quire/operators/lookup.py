@@ -204,7 +204,8 @@ def rewritten_links(links: DataFrame, index: DataFrame, arc: str = "arc", href:
     cell = F.when(wiring_page, strip(query_value(F.col("_query"), "cell", "CELL")))
     side = F.when(F.lower("_path").endswith("2colframeset.asp"), query_value(F.col("_query"), "rightside", "leftside"))
     rows = rows.withColumn("_sheet", F.when(cell != "", F.concat(wiring_arc, cell, F.lit(".svg")))).withColumn("_side", side)
-    rows = rows.withColumn("_name", basename(F.col("_path"))).withColumn("_key", F.lower("_name")).withColumn("_sheet_key", F.lower("_sheet"))
+    # References without a sheet, which are most, look for a name that no file has: nulls would meet in one task.
+    rows = rows.withColumn("_name", basename(F.col("_path"))).withColumn("_key", F.lower("_name")).withColumn("_sheet_key", F.coalesce(F.lower("_sheet"), F.concat(F.lit("/"), "_key")))
     own = index.select(F.col("arc").alias("_o_arc"), F.col("basename_lc").alias("_o_key")).withColumn("_own", F.lit(True))
     paired = index.select(F.col("arc").alias("_p_arc"), F.col("basename_lc").alias("_p_key")).withColumn("_paired", F.lit(True))
     sheet = index.select(F.col("arc").alias("_s_arc"), F.col("basename_lc").alias("_s_key")).withColumn("_has_sheet", F.lit(True))

@@ -127,3 +127,24 @@ def test_streams(spark, tmp_path):
 def test_registry():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 60
+
+
+def test_links_without_sheets_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import lookup
+
+    links = spark.range(400).selectExpr("if(id < 0, 'X', 'SEB') AS arc", "concat('P', id, '.HTM') AS href", "if(id < 0, 'X', 'EEB') AS wiring_arc")
+    index = lookup.file_index(spark.range(400).selectExpr("if(id < 0, 'X', 'SEB') AS arc", "concat('SEB/P', id, '.htm') AS path"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = lookup.rewritten_links(links, index)
+        assert {r.kind: r.n for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()} == {"page": 400}
+        parts = rows.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("target"), F.max("kind")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(r.n for r in parts) < 300

@@ -90,7 +90,7 @@ def safe_file_name(text: Column, default: str = "Untitled") -> Column:
 
 def without_images(markdown: Column) -> Column:
     """Inline images to their stripped alternative text."""
-    return F.regexp_replace(markdown, f"!\\[[{SPACE}]*([^\\]]*?)[{SPACE}]*\\]\\([^)]+\\)", "$1")
+    return _replaced_if(markdown, ("![",), f"!\\[[{SPACE}]*([^\\]]*?)[{SPACE}]*\\]\\([^)]+\\)", "$1")
 
 
 def sentences(text: Column) -> Column:

@@ -146,6 +146,11 @@ def training_manifest(records: DataFrame, skips: DataFrame, arc: str, extensions
 
 def source_documents(files: DataFrame, arc: str, extensions: list[str] = CHUNK_EXTENSIONS) -> DataFrame:
     """Documents with normalised Markdown; empty ones are left out."""
+    return _all_documents(files, arc, extensions).where("markdown <> ''")
+
+
+def _all_documents(files: DataFrame, arc: str, extensions: list[str]) -> DataFrame:
+    """The same with empty ones. A test of the Markdown makes it twice, and an empty text has no chunk."""
     chosen = source_files(files, arc, extensions)
     links = page_links(files, arc, None)
     paged = html.pages(with_targets(chosen.where(_is_page()), links), "content", "targets", ("meta", "heading", "markdown"))
@@ -155,15 +160,15 @@ def source_documents(files: DataFrame, arc: str, extensions: list[str] = CHUNK_E
     title = F.coalesce(F.when(F.col("converted_title") != "", F.col("converted_title")), stem(F.col("source_file")))
     rest = other.select("arc", "source_file", "ext", title.alias("title"), F.col("arc").alias("section_code"), F.lit("General").alias("section_title"), F.lit("General").alias("subsection_title"), without_images(F.col("markdown")).alias("markdown"))
     both = pages_.unionByName(rest).withColumn("markdown", normalize_text("markdown"))
-    return both.where("markdown <> ''").select("arc", "source_file", F.regexp_replace("ext", "^\\.", "").alias("source_type"), "title", "section_code", "section_title", "subsection_title", "markdown")
+    return both.select("arc", "source_file", F.regexp_replace("ext", "^\\.", "").alias("source_type"), "title", "section_code", "section_title", "subsection_title", "markdown")
 
 
 def chunk_export(files: DataFrame, arc: str, wiring_arc: str | None = None, target: int = 900, overlap: int = 120, extensions: list[str] = CHUNK_EXTENSIONS) -> DataFrame:
     """Chunk records of an archive and of its paired wiring archive; a missing pair adds nothing."""
     target, overlap = chunk_settings(target, overlap)
-    docs = source_documents(files, arc, extensions)
+    docs = _all_documents(files, arc, extensions)
     if wiring_arc:
-        docs = docs.unionByName(source_documents(files, wiring_arc, extensions))
+        docs = docs.unionByName(_all_documents(files, wiring_arc, extensions))
     return chunk_records(docs, F.lit(arc.upper()), role_of(F.col("arc"), wiring_arc), target, overlap)
 
 

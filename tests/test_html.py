@@ -167,3 +167,11 @@ def test_links_parse_pages_once(spark):
     assert links._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     got = {(r.raw, r.kind, r.target, r.asset) for r in links.where("source_file = 'one.htm'").collect()}
     assert got == {("TWO.HTM#x", "page", "TWO.md#x", None), ("http://x/y", "absolute", "http://x/y", None), ("W1.svg", "wiring", "../wiring_assets/W1.svg", "W1.svg"), ("pic/A.gif", "image", "../assets/A.gif", "A.gif")}
+
+
+def test_chunks_make_markdown_once(spark):
+    rows = spark.createDataFrame([("A", "A/e.htm", b""), ("A", "A/p.htm", b"<p>text</p>")], "arc string, path string, content binary")
+    made = corpora.chunk_export(rows, "A")
+    tests = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("btrim" in line for line in tests)
+    assert [r.source_file for r in made.collect()] == ["p.htm"] == [r.source_file for r in corpora.source_documents(rows, "A").collect()]

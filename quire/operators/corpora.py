@@ -12,7 +12,7 @@ from quire.functions import html
 from quire.functions.batches import pieces
 from quire.functions.text import basename, extension, normalize_text, quoted, stem, strip, strip_prolog, wikilinks, without_images
 from quire.operators.chunking import chunk_records, chunk_settings
-from quire.operators.lookup import copied_assets, copied_wiring, file_index, image_source, rewritten_links
+from quire.operators.lookup import copied_assets, copied_wiring, file_index, image_source, image_target, rewritten_links
 
 TRAINING_EXTENSIONS = [".htm", ".html", ".pdf", ".txt", ".wcf", ".xml"]
 CHUNK_EXTENSIONS = [".htm", ".html", ".pdf"]
@@ -152,8 +152,7 @@ def source_documents(files: DataFrame, arc: str, extensions: list[str] = CHUNK_E
 def _all_documents(files: DataFrame, arc: str, extensions: list[str]) -> DataFrame:
     """The same with empty ones. A test of the Markdown makes it twice, and an empty text has no chunk."""
     chosen = source_files(files, arc, extensions)
-    links = page_links(files, arc, None)
-    paged = html.pages(with_targets(chosen.where(_is_page()), links), "content", "targets", ("meta", "heading", "markdown"))
+    paged = linked_pages(chosen.where(_is_page()), files, None)
     parts = html.page_section()
     pages_ = paged.select("arc", "source_file", "ext", html.page_title(stem(F.col("source_file"))).alias("title"), *[parts[c].alias(c) for c in ("section_code", "section_title", "subsection_title")], without_images(F.col("markdown")).alias("markdown"))
     other = converted(chosen.where(~_is_page())).where("error IS NULL")
@@ -188,7 +187,10 @@ def chunk_manifest(records: DataFrame, settings: dict[str, int]) -> DataFrame:
 
 def page_links(files: DataFrame, arc: str, wiring_arc: str | None) -> DataFrame:
     """(arc, source_file, kind, raw, target, asset) of all references of an archive's pages."""
-    chosen = source_files(files, arc, [".htm", ".html"])
+    return _links(source_files(files, arc, [".htm", ".html"]), files, wiring_arc)
+
+
+def _links(chosen: DataFrame, files: DataFrame, wiring_arc: str | None) -> DataFrame:
     refs = html.pages(chosen, "content", fields=("refs",)).select("arc", "source_file", F.explode("refs").alias("r")).select("arc", "source_file", F.col("r.kind").alias("ref"), F.col("r.raw").alias("raw"))
     # Both kinds go one way, so that pages are parsed once; what the lookup says of an image is not used.
     linked = F.col("ref") == "href"
@@ -212,10 +214,20 @@ def with_targets(chosen: DataFrame, links: DataFrame) -> DataFrame:
     return chosen.join(maps, ["arc", "source_file"], "left")
 
 
+def linked_pages(chosen: DataFrame, files: DataFrame, wiring_arc: str | None) -> DataFrame:
+    """meta, heading and Markdown of pages, with their references rewritten as ``page_links`` says.
+
+    Images need no lookup, so a page without links is parsed once and meets no other row. One that may
+    have links is parsed for its references, and again when they are looked up."""
+    fields, linked = ("meta", "heading", "markdown"), html.with_links(chosen, "content")
+    looked_up = html.pages(with_targets(linked, _links(linked, files, wiring_arc)), "content", "targets", fields)
+    return looked_up.unionByName(html.pages(chosen, "content", image_target, fields))
+
+
 def vault_pages(files: DataFrame, arc: str, wiring_arc: str | None = None, links: DataFrame | None = None) -> DataFrame:
     """Pages of a vault: file names, titles, sections, Markdown with front matter and wiki links."""
-    links = page_links(files, arc, wiring_arc) if links is None else links
-    paged = html.pages(with_targets(source_files(files, arc, [".htm", ".html"]), links), "content", "targets", ("meta", "heading", "markdown"))
+    chosen = source_files(files, arc, [".htm", ".html"])
+    paged = linked_pages(chosen, files, wiring_arc) if links is None else html.pages(with_targets(chosen, links), "content", "targets", ("meta", "heading", "markdown"))
     parts = html.page_section()
     rows = paged.select("arc", "source_file", html.page_title(stem(F.col("source_file"))).alias("title"), *[c.alias(n) for n, c in parts.items()], wikilinks(F.col("markdown")).alias("markdown"))
     head = F.concat_ws("\n", F.lit("---"), _field("title", quoted(F.col("title"))), _field("source_file", F.col("source_file")), _field("arc", F.col("book")), _field("section_code", F.col("section_code")), _field("section_title", quoted(F.col("section_title"))), _field("subsection_title", quoted(F.col("subsection_title"))), F.lit("---"), F.lit(""))

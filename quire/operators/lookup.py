@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -243,6 +244,19 @@ def image_source(src: Column) -> Column:
     return F.when(name != "", F.concat(F.lit("../assets/"), name)).otherwise(src)
 
 
+# The patterns of ``url_parts`` and ``basename`` with Java's end of input, before a last line end too, and its dot.
+_END = r"(?:\Z|(?=\r\n\Z)|(?<!\r)(?=\n\Z)|(?=[\r\x85\u2028\u2029]\Z))"
+_URL_PATH = re.compile(rf"(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)(?:\?[^#]*)?(?:#[^\n\r\x85\u2028\u2029]*)?{_END}")
+_BASENAME = re.compile(rf"([^/]*)/*{_END}")
+
+
+def image_target(src: str) -> str:
+    """``image_source`` of one value, for maps in Python."""
+    path = _URL_PATH.match(src)
+    name = _BASENAME.search(path[1])[1] if path else ""
+    return f"../assets/{name}" if name else src
+
+
 def copied_assets(index: DataFrame, links: DataFrame, arc: str) -> DataFrame:
     """Names to copy for an export: the archive's assets and those referenced that exist."""
     here = index.where(F.col("arc") == arc.upper()).select("basename_lc", basename(F.col("path")).alias("name"))

@@ -175,3 +175,42 @@ def test_chunks_make_markdown_once(spark):
     tests = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
     assert tests and not any("trim(" in line for line in tests)
     assert [r.source_file for r in made.collect()] == ["p.htm"] == [r.source_file for r in corpora.source_documents(rows, "A").collect()]
+
+
+def test_plain_pages_as_the_parser_reads_them():
+    pages = [
+        '<META Name="A" name="b" CONTENT="&lt;&copy&amp;"><body><P>a<br/>b<BR>c &amp;amp; &copy</p>x',
+        '<title>a &amp; b</title><script>x &amp; y</SCRIPT>t<style></style><p>z',
+        '<ul><li>one<li>two<ul><li class="q" >in</ul><li/>three</ul><table><th>h<td>c<tr ><td>d</table>',
+        '<p>plain</p><script>if (a<b) x()</script><b>bold</b><!-- c --><p a=1>rest</p >end',
+        "no tag", "", "text <p>then</b></p></p>", "<p>cut <a href=", "<p/ ><p:x>y</p:x><div\tid='1'>z</div>",
+    ]
+
+    def tree(node):
+        return node if isinstance(node, str) else (node.tag, node.attrs, [tree(c) for c in node.children])
+
+    for page in pages:
+        whole = h._Builder()
+        whole.feed(page.replace("&", "&amp;"))
+        whole.close()
+        assert tree(h.parse(page)) == tree(whole.root)
+    for page in pages[1:3]:
+        assert h._Builder().read_plain(page) == len(page)
+
+
+def test_images_as_their_column_function(spark):
+    from quire.operators import lookup
+
+    sources = ["x/a.gif?1", "x/", "", "a.gif", "http://h/p/b.png#f", "//h", "//h/", "c:d", "a/\n", "a\n", "a#b\n", "a#b\nc", "a# ", "a/\r\n", "a/b\r", "?q", "#f", "a//", "é.gif", "a\n/b\n", "x/\u0085", " p/q.gif "]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "i int, s string").select("i", lookup.image_source(F.col("s")).alias("t"))
+    assert {sources[r.i]: r.t for r in rows.collect()} == {s: lookup.image_target(s) for s in sources}
+
+
+def test_pages_without_links_are_parsed_once(spark):
+    rows = [("A", f"A/{i}.htm", p) for i, p in enumerate([b'<p>x<img src="q/i.gif?1"></p>', b'<abbr>s</abbr><IMG SRC="j.gif">', b'<\xffa href="0.htm">l</a><img src="k.gif">', b'<A\xff href="1.htm">l</A>', None, b"<p>&lt;a &lt;b</p>"])]
+    files = spark.createDataFrame(rows, "arc string, path string, content binary")
+    assert [h.may_link(p) for _, _, p in rows] == [False, False, True, True, False, False]
+    plan = corpora.linked_pages(corpora.source_files(files, "A", [".htm"]), files, None)._jdf.queryExecution().optimizedPlan()
+    assert plan.children().size() == 2 and [("Join" in p, p.count("MapInArrow")) for p in (plan.children().apply(i).toString() for i in range(2))] == [(True, 4), (False, 1)]
+    notes = {r.source_file: r.note.split("---\n")[-1] for r in corpora.vault_pages(files, "A").collect()}
+    assert notes == {"0.htm": "x![](../assets/i.gif)\n", "1.htm": "s![](../assets/j.gif)\n", "2.htm": "[[0|l]]![](../assets/k.gif)\n", "3.htm": "[[1|l]]\n", "4.htm": "\n", "5.htm": "<a <b\n"}
